@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom.functions import fixed, patterns
-from pageloom.functions.text import attribute, decode_entities, drop_tags, strip, sub_each
+from pageloom.functions.text import attribute, decode_entities, drop_tags, let, strip, sub_each
 
 ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]*"|'[^']*')[^>]*>.*?</a>"""
 FILLED_ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]+"|'[^']+')[^>]*>.*?</a>"""
@@ -43,7 +43,7 @@ def link_text(html: Column) -> Column:
     """Readable text that keeps link targets and marks headings."""
     text = decode_entities(F.coalesce(html, F.lit("")))
     text = F.regexp_replace(text, r"(?is)<(script|style|noscript).*?</\1>", "")
-    text = F.when(text.rlike(r"(?i)<a\s"), sub_each(text, FILLED_ANCHOR, _link_as_text)).otherwise(text)
+    text = sub_each(text, FILLED_ANCHOR, _link_as_text)
     for level in range(1, 7):
         text = F.regexp_replace(text, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", f"[H{level}] $1")
     text = F.regexp_replace(
@@ -56,11 +56,13 @@ def link_text(html: Column) -> Column:
 
 def drop_shortcodes(text: Column) -> Column:
     """Page-builder shortcodes go, their contents stay."""
-    builders = "|".join(p.removeprefix("(?i)") for p in SHORTCODES.values())
-    cleaned = F.regexp_replace(text, RAW_HTML_SHORTCODE, "")
-    cleaned = F.regexp_replace(cleaned, "(?i)" + builders, "")
-    cleaned = F.regexp_replace(cleaned, OTHER_SHORTCODE, "")
-    return F.when(text.contains("["), cleaned).otherwise(text)
+    builders = "(?i)" + "|".join(p.removeprefix("(?i)") for p in SHORTCODES.values())
+
+    def cleaned(t: Column) -> Column:
+        kept = F.regexp_replace(F.regexp_replace(t, RAW_HTML_SHORTCODE, ""), builders, "")
+        return F.when(t.contains("["), F.regexp_replace(kept, OTHER_SHORTCODE, "")).otherwise(t)
+
+    return let(text, cleaned)
 
 
 def drop_marker_noise(text: Column) -> Column:
@@ -80,7 +82,7 @@ def directory_text(text: Column) -> Column:
     text = F.regexp_replace(text, fixed.ANY_PHONE, "$1$2-$3-$4")
     text = F.regexp_replace(text, rf"(?<!\n)({fixed.DASHED_PHONE})", "\n$1")
     text = F.regexp_replace(text, r"\b(\d{5}(?:-\d{4})?)\b(?!-\d)(?!\n)", "$1\n")
-    text = F.regexp_replace(text, r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]++(?=\n|\z)", "")
+    text = F.regexp_replace(text, r"[\p{Z}\t\x0B\f\r\x85]+(?=\n|\z)", "")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
@@ -120,24 +122,32 @@ def line_class(line: Column) -> Column:
 
 
 def markdown_line(line: Column) -> Column:
-    """Decorate one stripped line; blank lines stay empty."""
-    shown = F.when(line.rlike(fixed.DASHED_PHONE), F.concat(F.lit(fixed.PHONE_MARK), line)).otherwise(line)
+    """Decorate one stripped line of class text; a line that matches nothing stays as it is."""
+    phone = F.when(line.rlike(fixed.DASHED_PHONE), F.concat(F.lit(fixed.PHONE_MARK), line)).otherwise(line)
+    return let(let(let(phone, _website_line), _email_line), _address_line)
+
+
+def _website_line(line: Column) -> Column:
     target = F.when(line.contains("| "), F.regexp_extract(line, r"(?s)^.*?\| (.*)", 1)).otherwise(
         F.replace(line, F.lit("Website "), F.lit(""))
     )
-    shown = F.when(
-        shown.startswith("Website |"),
-        F.concat(F.lit(fixed.WEBSITE_MARK + "["), target, F.lit("]("), target, F.lit(")")),
-    ).otherwise(shown)
-    email = F.regexp_extract(shown, patterns.EMAIL, 0)
-    shown = F.when(
-        email != "",
-        F.concat(F.lit(fixed.EMAIL_MARK + "["), email, F.lit("](mailto:"), email, F.lit(")")),
-    ).otherwise(shown)
-    shown = F.when(
-        shown.rlike(patterns.CITY), F.concat(F.lit(fixed.ADDRESS_MARK), shown)
-    ).otherwise(shown)
-    return F.when(line_class(line) == "heading", F.concat(F.lit("## "), line)).otherwise(shown)
+    shown = F.concat(F.lit(fixed.WEBSITE_MARK + "["), target, F.lit("]("), target, F.lit(")"))
+    return F.when(line.startswith("Website |"), shown).otherwise(line)
+
+
+def _email_line(line: Column) -> Column:
+    """A line with an e-mail address shows nothing else."""
+
+    def shown(email: Column) -> Column:
+        mail = F.concat(F.lit(fixed.EMAIL_MARK + "["), email, F.lit("](mailto:"), email, F.lit(")"))
+        return F.when(email != "", mail).otherwise(line)
+
+    return F.when(line.contains("@"), let(F.regexp_extract(line, patterns.EMAIL, 0), shown)).otherwise(line)
+
+
+def _address_line(line: Column) -> Column:
+    held = line.rlike(patterns.STATE_AND_ZIP) & line.rlike(patterns.CITY)
+    return F.when(held, F.concat(F.lit(fixed.ADDRESS_MARK), line)).otherwise(line)
 
 
 def text_lines(text: Column) -> Column:
@@ -147,30 +157,33 @@ def text_lines(text: Column) -> Column:
 def markdown(text: Column, title: Column, url: Column) -> Column:
     """The whole markdown document of a text, empty for an empty text."""
 
-    def block(line: Column, i: Column) -> Column:
-        kind = line_class(line)
-        after_text = (i > 0) & (line_class(F.get(lines, i - 1)) == "text")
+    def body(lines: Column) -> Column:
+        kinds = F.transform(lines, line_class)
+        return let(kinds, lambda known: F.transform(lines, lambda line, i: block(known, line, i)))
+
+    def block(kinds: Column, line: Column, i: Column) -> Column:
+        kind = F.get(kinds, i)
+        after_text = (i > 0) & (F.get(kinds, i - 1) == "text")
         gap = F.when(after_text, F.lit("\n")).otherwise("")
         return (
-            F.when(kind == "heading", F.concat(gap, markdown_line(line), F.lit("\n")))
+            F.when(kind == "heading", F.concat(gap, F.lit("## "), line, F.lit("\n")))
             .when(kind == "text", markdown_line(line))
             .when(after_text, F.lit(""))
         )
 
-    lines = text_lines(text)
     head = strip(F.coalesce(title, F.lit("")))
     link = F.coalesce(url, F.lit(""))
-    parts = F.concat(
-        F.when(head != "", F.array(F.concat(F.lit("# "), head), F.lit(""))).otherwise(F.array().cast("array<string>")),
-        F.when(
-            link != "",
-            F.array(
-                F.concat(F.lit("**Source:** ["), link, F.lit("]("), link, F.lit(")")),
-                F.lit(""),
-                F.lit("---"),
-                F.lit(""),
-            ),
-        ).otherwise(F.array().cast("array<string>")),
-        F.transform(lines, block),
+    none = F.array().cast("array<string>")
+    source = F.array(
+        F.concat(F.lit("**Source:** ["), link, F.lit("]("), link, F.lit(")")), F.lit(""), F.lit("---"), F.lit("")
     )
-    return F.when(text != "", F.array_join(parts, "\n")).otherwise("")
+
+    def document(t: Column) -> Column:
+        parts = F.concat(
+            F.when(head != "", F.array(F.concat(F.lit("# "), head), F.lit(""))).otherwise(none),
+            F.when(link != "", source).otherwise(none),
+            let(text_lines(t), body),
+        )
+        return F.when(t != "", F.array_join(parts, "\n")).otherwise("")
+
+    return let(text, document)

@@ -12,10 +12,10 @@ from pageloom.functions import fixed
 _LOCAL = "[a-zA-Z0-9._%+-]"
 EMAIL = rf"(?:(?<!{_LOCAL})|\G)(?={_LOCAL}++@)" + fixed.EMAIL
 
+# What every address holds; a quick test before the patterns below.
+STATE_AND_ZIP = r",\s*[A-Z]{2}\s*\d{5}"
 # Groups: 1 whole address, 2 city, 3 state, 4 ZIP.
 CITY = r"(?<![a-zA-Z\s])[a-z\s]*+(" + fixed.CITY_STATE_ZIP + ")"
-CITY_SAME_LINE = r"(?<![a-zA-Z \t])[a-z \t]*+(" + fixed.CITY_STATE_ZIP.replace(r"\s", r"[ \t]").replace(
-    "[a-zA-Z[ \\t]]", "[a-zA-Z \\t]"
-) + ")"
+CITY_SAME_LINE = CITY.replace(r"\s", r"[ \t]")
 # Groups: 1 whole address, 2 street, 3 city, 4 state, 5 ZIP.
 STREET = "(" + fixed.STREET_CITY_STATE_ZIP + ")"

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom.functions import fixed
+from pageloom.functions.text import let
 
 VOWELS = "[aeiouy]+"
 
@@ -30,28 +31,30 @@ def filled_sentences(text: Column) -> Column:
     return count_of(text, r"(?U)[^\s.!?][^.!?]*")
 
 
-def _syllables(text: Column, inside: str, before: str, after: str) -> Column:
+def _syllables(text: Column, between: str) -> Column:
     """Vowel runs of all words, less a silent final e, and at least one for each word.
 
-    inside is the class body of a word's characters; before and after assert the word's ends.
+    between matches what parts two words. It becomes two spaces, one for each neighbour, so that plain
+    character classes find the words; possessive runs keep the patterns linear in a word's length.
     """
-    lower = F.lower(text)
-    consonant = rf"[{inside}&&[^aeiouy]]"
-    # Possessive runs keep both patterns linear in the length of a word.
-    silent = rf"{before}{consonant}*+[aeiouy]++{consonant}[{inside}]*e{after}"
-    toneless = rf"{before}{consonant}++{after}"
-    return count_of(lower, VOWELS) - count_of(lower, silent) + count_of(lower, toneless)
+    silent = " [^ aeiouy]*+[aeiouy]++[^ aeiouy][^ ]*e "
+    toneless = " [^ aeiouy]++ "
+
+    def counted(spaced: Column) -> Column:
+        return count_of(spaced, VOWELS) - count_of(spaced, silent) + count_of(spaced, toneless)
+
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), between, "  "), F.lit(" "))
+    return let(spaced, counted)
 
 
 def spaced_syllables(text: Column) -> Column:
     """Syllables of the whitespace-separated words."""
-    return _syllables(text, r"\S", r"(?U)(?<!\S)", r"(?!\S)")
+    return _syllables(text, r"(?U)\s+")
 
 
 def token_syllables(text: Column) -> Column:
     """Syllables of the word tokens."""
-    inside = r"\p{L}\p{N}_"
-    return _syllables(text, inside, rf"(?<![{inside}])", rf"(?![{inside}])")
+    return _syllables(text, r"[^\p{L}\p{N}_]+")
 
 
 def reading_ease(words: Column, sentences: Column, syllables: Column) -> Column:

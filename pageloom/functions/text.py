@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from html.entities import html5
 
@@ -15,6 +14,11 @@ TAG = "<[^>]+>"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, body: Fn) -> Column:
+    """Evaluate a costly value once and use it several times in one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def every(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches of a pattern, one group of each."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -59,10 +63,13 @@ def word_tokens(text: Column) -> Column:
 
 def sub_each(text: Column, pattern: str, change: Fn) -> Column:
     """Replace every match by an expression of the match."""
-    gaps = F.split(text, pattern, -1)
-    changed = F.transform(every(text, pattern), change)
-    joined = F.zip_with(gaps, changed, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))))
-    return F.array_join(joined, "")
+
+    def woven(t: Column) -> Column:
+        gaps = F.split(t, pattern, -1)
+        changed = F.transform(every(t, pattern), change)
+        return F.array_join(F.zip_with(gaps, changed, lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
+
+    return let(text, woven)
 
 
 # --- character references -------------------------------------------------------------------
@@ -81,49 +88,87 @@ def _windows_1252() -> dict[str, str]:
     return {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
 
 
-def _constant_map(entries: dict[str, str]) -> Column:
-    """A map the optimizer folds to one constant."""
-    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+def _lookup(entries: dict[str, str], key: Column) -> Column:
+    """Value of a key in a small constant table, empty where the table lacks it.
+
+    The table is one string literal, which plans and ships faster than a map literal of its size.
+    """
+    table = F.lit("\x01" + "\x01".join(f"{k}\x02{v}" for k, v in entries.items()) + "\x01")
+    after = F.call_function("substring_index", table, F.concat(F.lit("\x01"), key, F.lit("\x02")), F.lit(-1))
+    return F.substring_index(after, "\x01", 1)
 
 
 def _numbered(ref: Column) -> Column:
     """The character of a numeric reference such as #8217; or #x2019;"""
     digits = F.concat(F.lit("0"), F.regexp_replace(ref, r"^#[xX]?0*|;\z", ""))
-    code = F.when(
-        F.length(digits) <= 8,
-        F.when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long"),
-    )
-    unusable = (
-        code.between(0x1, 0x8)
-        | (code == 0xB)
-        | code.between(0xE, 0x1F)
-        | (code == 0x7F)
-        | code.between(0xFDD0, 0xFDEF)
-        | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
-    )
-    return (
-        F.when(code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd")
-        .when(code.between(0x80, 0x9F), _constant_map(_windows_1252())[code.cast("string")])
-        .when(unusable, "")
-        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    number = let(
+        digits,
+        lambda d: F.when(
+            F.length(d) <= 8,
+            F.when(ref.rlike("^#[xX]"), F.conv(d, 16, 10)).otherwise(F.conv(d, 10, 10)).cast("long"),
+        ),
     )
 
+    def character(code: Column) -> Column:
+        unusable = (
+            code.between(0x1, 0x8)
+            | (code == 0xB)
+            | code.between(0xE, 0x1F)
+            | (code == 0x7F)
+            | code.between(0xFDD0, 0xFDEF)
+            | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        )
+        return (
+            F.when(code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd")
+            .when(code.between(0x80, 0x9F), _lookup(_windows_1252(), code.cast("string")))
+            .when(unusable, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        )
+
+    return let(number, character)
+
 
 def _decode_piece(piece: Column) -> Column:
     """Decode the reference a piece starts with; the piece is what follows one ampersand."""
-    names = _constant_map(html5)
-    name = F.regexp_extract(piece, _NAME, 1)
-    bare = F.regexp_extract(name, _BARE, 1)
 
-    def rest(head: Column) -> Column:
+    def after(head: Column) -> Column:
         return F.substr(piece, F.length(head) + 1)
 
-    return (
-        F.when(name.startswith("#"), F.concat(_numbered(name), rest(name)))
-        .when(names[name].isNotNull(), F.concat(names[name], rest(name)))
-        .when(bare != "", F.concat(names[bare], rest(bare)))
-        .otherwise(F.concat(F.lit("&"), piece))
+    def by_prefix(bare: Column) -> Column:
+        names = {n: c for n, c in html5.items() if not n.endswith(";")}
+        return F.when(bare != "", F.concat(_lookup(names, bare), after(bare))).otherwise(
+            F.concat(F.lit("&"), piece)
+        )
+
+    def by_name(name: Column) -> Column:
+        rare = let(
+            _lookup(html5, name),
+            lambda value: F.when(value != "", F.concat(value, after(name))).otherwise(
+                let(F.regexp_extract(name, _BARE, 1), by_prefix)
+            ),
+        )
+        return F.when(name.startswith("#"), F.concat(_numbered(name), after(name))).otherwise(
+            let(
+                _lookup({n: html5[n] for n in _PLAIN}, name),
+                lambda value: F.when(value != "", F.concat(value, after(name))).otherwise(rare),
+            )
+        )
+
+    return let(F.regexp_extract(piece, _NAME, 1), by_name)
+
+
+def _decode(text: Column) -> Column:
+    plain = text
+    for name in _PLAIN:
+        plain = F.replace(plain, F.lit("&" + name), F.lit(html5[name]))
+    general = let(
+        F.split(text, "&", -1),
+        lambda pieces: F.concat(
+            F.get(pieces, F.lit(0)),
+            F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), _decode_piece), ""),
+        ),
     )
+    return F.when(~text.contains("&"), text).when(~text.rlike(_RARE), plain).otherwise(general)
 
 
 def decode_entities(text: Column) -> Column:
@@ -132,13 +177,12 @@ def decode_entities(text: Column) -> Column:
     Texts without an ampersand pass as they are, texts with everyday references take a chain of
     replacements, and only texts with rarer ones are cut at each ampersand and looked up.
     """
-    plain = text
-    for name in _PLAIN:
-        plain = F.replace(plain, F.lit("&" + name), F.lit(html5[name]))
-    pieces = F.split(text, "&", -1)
-    decoded = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _decode_piece)
-    general = F.concat(F.get(pieces, F.lit(0)), F.array_join(decoded, ""))
-    return F.when(~text.contains("&"), text).when(~text.rlike(_RARE), plain).otherwise(general)
+    return let(text, _decode)
+
+
+def decode_all(*texts: Column) -> Column:
+    """Several texts decoded as one array; the plan then holds the decoding once."""
+    return F.transform(F.array(*texts), _decode)
 
 
 # --- pages and keys ---------------------------------------------------------------------------
@@ -193,9 +237,8 @@ def preview(text: Column, limit: int = 1000) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of a quoted attribute of one tag, NULL where the tag lacks it."""
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    value = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
-    return F.when(tag.rlike(pattern), value)
+    quoted = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return let(quoted, lambda q: F.when(q != "", F.substr(q, F.lit(2), F.length(q) - 2)))
 
 
 def has_all(text: Column, needles: tuple[str, ...]) -> Column:
