@@ -39,8 +39,6 @@ class _Blocks(HTMLParser):
             self.open.append(block)
         if tag not in VOID_TAGS:
             self.stack.append((tag, block))
-        elif block is not None:
-            self.open.remove(block)
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in (name for name, _ in self.stack):

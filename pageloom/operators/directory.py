@@ -506,12 +506,13 @@ def section_businesses(pages: DataFrame, start_marker: str | None = None) -> Dat
     second = F.get("lines", F.lit(1))
     tail = (F.length(second) < 20) & (second.startswith("&") | F.lower(second).isin(*fixed.NAME_TAILS))
     full_name = F.concat_ws(" ", F.get("lines", F.lit(0)), F.when(tail, second))
-    href = F.coalesce(
-        first(F.col("next_raw"), r'(?i)href="(http[^"]*)"', 1),
-        first(F.col("next_raw"), r"(?i)href='(http[^']*)'", 1),
-        first(F.col("next_raw"), r"(?i)href=(http[^\s>]+)", 1),
+    links = [
+        first(F.col("next_raw"), pattern, 1)
+        for pattern in (r'(?i)href="([^"]*)"', r"(?i)href='([^']*)'", r"(?i)href=([^\s>]+)")
+    ]
+    site = F.coalesce(
+        *[F.when(link.startswith("http") & ~link.contains("google.com/maps"), link) for link in links]
     )
-    site = F.when(~href.contains("google.com/maps"), href)
     facts = islands.select(
         "page_id",
         "biz_no",
@@ -580,14 +581,28 @@ def _substrings(text: Column, lengths: Column) -> Column:
     )
 
 
+# Rows of one page are dealt to this many tasks where they meet the page's needles.
+SALTS = 8
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod("pos", F.lit(SALTS)))
+
+
+def _for_each_salt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _pieces(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """Rows (page_id, pos, piece): the substrings of each text as long as some needle of its page.
+    """Rows (page_id, salt, pos, piece): the substrings of each text as long as some needle of its page.
 
     The lengths of a page's needles are a set of small numbers, whatever the number of needles.
     """
     lengths = needles.groupBy("page_id").agg(F.collect_set(F.length("needle")).alias("lengths"))
-    return texts.join(lengths, "page_id").select(
-        "page_id", "pos", F.explode(_substrings(F.col("text"), F.col("lengths"))).alias("piece")
+    return (
+        _salted(texts)
+        .join(_for_each_salt(lengths), ["page_id", "salt"])
+        .select("page_id", "salt", "pos", F.explode(_substrings(F.col("text"), F.col("lengths"))).alias("piece"))
     )
 
 
@@ -595,10 +610,10 @@ def first_needle_inside(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """For each text(page_id, pos, text) the lowest pos among the needles(page_id, pos, needle) it holds.
 
     Needles are reduced to one row per page and string before the join on equal strings, so neither
-    side can multiply the other.
+    side can multiply the other; salting keeps a string that every text holds off a single task.
     """
     lowest = needles.groupBy("page_id", F.col("needle").alias("piece")).agg(F.min("pos").alias("found"))
-    met = _pieces(texts, needles).join(lowest, ["page_id", "piece"])
+    met = _pieces(texts, needles).join(_for_each_salt(lowest), ["page_id", "salt", "piece"])
     return met.groupBy("page_id", "pos").agg(F.min("found").alias("found"))
 
 
