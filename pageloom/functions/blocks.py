@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom.functions.fixed import BLOCK_CLASSES
 
+# The parser travels inside the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_TAGS = ("div", "article", "section")
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 BLOCK = "array<struct<block_no:int,tag:string,class:string,text:string,is_outermost:boolean>>"

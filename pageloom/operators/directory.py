@@ -606,25 +606,22 @@ def _pieces(texts: DataFrame, needles: DataFrame) -> DataFrame:
     )
 
 
-def first_needle_inside(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """For each text(page_id, pos, text) the lowest pos among the needles(page_id, pos, needle) it holds.
+def needles_inside(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """For each text(page_id, pos, text) the lowest pos among the needles(page_id, pos, kind, needle) it
+    holds, one row per kind.
 
-    Needles are reduced to one row per page and string before the join on equal strings, so neither
+    Needles are reduced to one row per page, kind and string before the join on equal strings, so neither
     side can multiply the other; salting keeps a string that every text holds off a single task.
     """
-    lowest = needles.groupBy("page_id", F.col("needle").alias("piece")).agg(F.min("pos").alias("found"))
+    lowest = needles.groupBy("page_id", "kind", F.col("needle").alias("piece")).agg(F.min("pos").alias("found"))
     met = _pieces(texts, needles).join(_for_each_salt(lowest), ["page_id", "salt", "piece"])
-    return met.groupBy("page_id", "pos").agg(F.min("found").alias("found"))
+    return met.groupBy("page_id", "pos", "kind").agg(F.min("found").alias("found"))
 
 
-def first_text_around(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """For each needle the lowest pos among the texts of its page that hold it."""
-    lowest = (
-        _pieces(texts, needles).groupBy("page_id", "piece").agg(F.min("pos").alias("found"))
-    )
-    return needles.join(
-        lowest, [needles["page_id"] == lowest["page_id"], needles["needle"] == lowest["piece"]]
-    ).select(needles["page_id"], needles["pos"], "found")
+def texts_around(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """For each needle(page_id, pos, needle) the lowest pos among the texts of its page that hold it."""
+    lowest = _pieces(texts, needles).groupBy("page_id", F.col("piece").alias("needle")).agg(F.min("pos").alias("found"))
+    return needles.select("page_id", "pos", "needle").join(lowest, ["page_id", "needle"]).select("page_id", "pos", "found")
 
 
 def match_points(points: DataFrame, businesses: DataFrame) -> DataFrame:
@@ -634,25 +631,27 @@ def match_points(points: DataFrame, businesses: DataFrame) -> DataFrame:
     business name stands in the point's name, else 'new'; business_pos names the first such business.
     Points are matched against the given businesses only, so the result does not depend on order.
     """
-    named = points.withColumn("key", F.lower("name"))
-    known = businesses.select("page_id", "pos", F.lower("name").alias("key"))
-    as_text = lambda df: df.select("page_id", "pos", F.col("key").alias("text"))
-    as_needle = lambda df: df.select("page_id", "pos", F.col("key").alias("needle"))
-
-    holds = first_needle_inside(as_text(named), as_needle(known))
-    held = first_text_around(as_needle(named), as_text(known))
-    existing = (
-        holds.unionByName(held).groupBy("page_id", "pos").agg(F.min("found").alias("existing_pos"))
-    )
+    point = points.select("page_id", "pos", F.lower("name").alias("text"))
+    known = businesses.select("page_id", "pos", "name", F.lower("name").alias("text"))
     base = F.col("name")
     for noise in ("&", ",", "LLC", "Inc"):
         base = F.replace(base, F.lit(noise), F.lit(""))
-    words = businesses.select("page_id", "pos", F.explode(X.words(F.lower(base))).alias("needle")).where(
-        F.length("needle") > 3
+    long_words = F.filter(X.words(F.lower(base)), lambda w: F.length(w) > 3)
+    wanted = F.concat(
+        F.array(F.struct(F.lit("existing").alias("kind"), F.col("text").alias("needle"))),
+        F.transform(long_words, lambda w: F.struct(F.lit("extra").alias("kind"), w.alias("needle"))),
+    )
+    needles = known.select("page_id", "pos", F.inline(wanted))
+    held = texts_around(point.withColumnRenamed("text", "needle"), known.select("page_id", "pos", "text"))
+    hits = (
+        needles_inside(point, needles)
+        .unionByName(held.withColumn("kind", F.lit("existing")))
+        .groupBy("page_id", "pos")
+        .agg(
+            *[F.min(F.when(F.col("kind") == kind, F.col("found"))).alias(f"{kind}_pos") for kind in ("existing", "extra")]
+        )
     )
-    extra = first_needle_inside(as_text(named), words).withColumnRenamed("found", "extra_pos")
-    joined = named.join(existing, ["page_id", "pos"], "left").join(extra, ["page_id", "pos"], "left")
-    return joined.select(
+    return points.join(hits, ["page_id", "pos"], "left").select(
         "page_id",
         "pos",
         "name",
