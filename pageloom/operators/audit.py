@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import fixed, stats
 from pageloom.functions import markup as M
 from pageloom.functions import text as X
+from pageloom.functions.rows import exploded
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
@@ -215,8 +216,8 @@ def note_counts(audit: DataFrame, notes: str) -> DataFrame:
     A large site costs nothing extra: counts are formed before the shuffle.
     """
     return (
-        audit.select("site", F.explode(F.col(notes)["code"]).alias("code"))
-        .groupBy("site", "code")
+        exploded(audit, F.col(notes)["code"], "site")
+        .groupBy("site", F.col("e").alias("code"))
         .agg(F.count("*").alias("pages"))
     )
 

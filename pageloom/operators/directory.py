@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import fixed, forms
 from pageloom.functions import text as X
 from pageloom.functions.blocks import html_blocks
+from pageloom.functions.rows import exploded
 from pageloom.functions.text import every, first, let, squash, strip
 
 EXTRA = "array<struct<name:string,lat:double,lon:double>>"
@@ -134,8 +135,8 @@ def line_businesses(texts: DataFrame) -> DataFrame:
             F.slice(lines, head + 2, F.coalesce(F.get(heads, k + 1), F.size(lines)) - head - 1).alias("lines"),
         ),
     )
-    rows = marked.select("page_id", F.posexplode(blocks).alias("pos", "b"))
-    read = rows.select("page_id", "pos", F.col("b.name").alias("name"), _listing(F.col("b.lines")).alias("r"))
+    rows = exploded(marked, blocks, "page_id")
+    read = rows.select("page_id", "pos", F.col("e.name").alias("name"), _listing(F.col("e.lines")).alias("r"))
     return _with_listing(read, "lines")
 
 
@@ -164,19 +165,25 @@ def block_businesses(pages: DataFrame) -> DataFrame:
     html = F.col("html")
     classes = "|".join(fixed.BLOCK_CLASSES)
     likely = pages.where(html.rlike(rf"(?is)<(?:div|article|section)\b[^>]*class\s*=[^>]*(?:{classes})"))
-    blocks = likely.select("page_id", F.explode(html_blocks(html)).alias("b"))
-    lined = blocks.select(
-        "page_id",
-        F.col("b.block_no").alias("pos"),
-        F.col("b.is_outermost").alias("is_outermost"),
-        _filled_lines(F.col("b.text")).alias("lines"),
-    ).where(F.size("lines") >= 2)
-    read = lined.select(
+    parsed = likely.select("page_id", html_blocks(html).alias("blocks"))
+    lined = F.filter(
+        F.transform(
+            "blocks",
+            lambda b: F.struct(
+                b["block_no"].alias("pos"),
+                b["is_outermost"].alias("is_outermost"),
+                _filled_lines(b["text"]).alias("lines"),
+            ),
+        ),
+        lambda b: F.size(b["lines"]) >= 2,
+    )
+    lines = F.col("e.lines")
+    read = exploded(parsed, lined, "page_id").select(
         "page_id",
-        "pos",
-        "is_outermost",
-        F.get("lines", F.lit(0)).alias("name"),
-        _listing(F.slice(F.col("lines"), 2, F.size("lines"))).alias("r"),
+        F.col("e.pos").alias("pos"),
+        F.col("e.is_outermost").alias("is_outermost"),
+        F.get(lines, F.lit(0)).alias("name"),
+        _listing(F.slice(lines, 2, F.size(lines))).alias("r"),
     )
     return _with_listing(read, "blocks", "is_outermost")
 
@@ -211,9 +218,14 @@ def marker_array(html: Column) -> Column:
     return F.filter(parsed, lambda m: m["lat"].isNotNull() & m["lon"].isNotNull() & (m["name"] != ""))
 
 
+def _mapped(pages: DataFrame) -> DataFrame:
+    """Pages with a map widget; the plain test spares all others the patterns."""
+    return pages.where(F.col("html").contains("map_markers="))
+
+
 def map_markers(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.posexplode(marker_array(F.col("html"))).alias("pos", "m")).select(
-        "page_id", "pos", F.col("m.name").alias("name"), F.col("m.lat").alias("lat"), F.col("m.lon").alias("lon")
+    return exploded(_mapped(pages), marker_array(F.col("html")), "page_id").select(
+        "page_id", "pos", F.col("e.name").alias("name"), F.col("e.lat").alias("lat"), F.col("e.lon").alias("lon")
     )
 
 
@@ -277,9 +289,8 @@ def with_markers(pages: DataFrame) -> DataFrame:
 
 def business_details(pages: DataFrame) -> DataFrame:
     """One row per marker with phone, website, e-mail, address and services found at its name."""
-    found = with_markers(pages.select("page_id", "html")).select("page_id", "markers", "text")
-    rows = found.select("page_id", F.posexplode(detail_array(F.col("markers"), F.col("text"))).alias("pos", "d"))
-    return rows.select("page_id", "pos", "d.*")
+    found = with_markers(_mapped(pages).select("page_id", "html")).select("page_id", "markers", "text")
+    return exploded(found, detail_array(F.col("markers"), F.col("text")), "page_id").select("page_id", "pos", "e.*")
 
 
 def detail_businesses(pages: DataFrame) -> DataFrame:
@@ -308,22 +319,32 @@ def detail_businesses(pages: DataFrame) -> DataFrame:
 
 def map_businesses(texts: DataFrame) -> DataFrame:
     """Businesses of the map widget in raw directory texts(page_id, text)."""
+    mapped = texts.where(F.col("text").contains("map_markers="))
     quoted = F.concat(
         F.regexp_extract("text", QUOTED_MARKER_LIST, 1), F.regexp_extract("text", QUOTED_MARKER_LIST, 2)
     )
-    entries = texts.select("page_id", F.posexplode(every(quoted, INFO_MARKER)).alias("pos", "e"))
-    entry = F.col("e")
-    read = entries.select(
-        "page_id",
-        "pos",
-        F.regexp_extract(entry, INFO_MARKER, 1).alias("lat"),
-        F.regexp_extract(entry, INFO_MARKER, 2).alias("lon"),
-        squash(X.decode_entities(F.regexp_extract(entry, INFO_MARKER, 3))).alias("info"),
-    ).where(F.length("info") >= 10)
-    parts = F.filter(
-        F.transform(F.split("info", r"<br\s*/?>\s*", -1), lambda p: squash(X.decode_entities(p))), lambda p: p != ""
-    )
-    parted = read.select("page_id", "pos", "lat", "lon", "info", parts.alias("parts")).where(F.size("parts") > 0)
+
+    def entry(marker: Column, i: Column) -> Column:
+        info = squash(X.decode_entities(F.regexp_extract(marker, INFO_MARKER, 3)))
+        return let(
+            info,
+            lambda text: F.struct(
+                i.alias("pos"),
+                F.regexp_extract(marker, INFO_MARKER, 1).alias("lat"),
+                F.regexp_extract(marker, INFO_MARKER, 2).alias("lon"),
+                text.alias("info"),
+                F.filter(
+                    F.transform(F.split(text, r"<br\s*/?>\s*", -1), lambda p: squash(X.decode_entities(p))),
+                    lambda p: p != "",
+                ).alias("parts"),
+            ),
+        )
+
+    entries = F.filter(
+        F.transform(every(quoted, INFO_MARKER), entry),
+        lambda e: (F.length(e["info"]) >= 10) & (F.size(e["parts"]) > 0),
+    )
+    parted = exploded(mapped, entries, "page_id").select("page_id", "e.*")
     classed = parted.select(
         "*",
         F.transform(
@@ -371,14 +392,20 @@ CELL = r"(?s)\[vc_column_text\](.*?)\[/vc_column_text\]"
 
 def table_businesses(texts: DataFrame) -> DataFrame:
     """Businesses of table-like rows in raw directory texts: name, address, phone, then services."""
-    rows = texts.select("page_id", F.posexplode(every(F.col("text"), ROW, 1)).alias("pos", "row"))
-    likely = rows.where(~F.col("row").contains("divider") & (F.length(strip(F.col("row"))) >= 100))
-    cells = F.filter(
-        F.transform(every(F.col("row"), CELL, 1), lambda c: squash(X.decode_entities(c))), lambda c: c != ""
-    )
-    celled = likely.select("page_id", "pos", cells.alias("cells")).where(
-        (F.size("cells") >= 3) & F.exists("cells", lambda c: c.rlike(fixed.PAGE_PHONES[0]))
+    def cells(row: Column) -> Column:
+        found = F.transform(every(row, CELL, 1), lambda c: squash(X.decode_entities(c)))
+        return F.filter(found, lambda c: c != "")
+
+    def listed(row: Column, i: Column) -> Column:
+        likely = ~row.contains("divider") & (F.length(strip(row)) >= 100)
+        return F.struct(i.alias("pos"), F.when(likely, cells(row)).alias("cells"))
+
+    tabled = texts.where(F.col("text").contains("[vc_row_inner"))
+    rows = F.filter(
+        F.transform(every(F.col("text"), ROW, 1), listed),
+        lambda r: (F.size(r["cells"]) >= 3) & F.exists(r["cells"], lambda c: c.rlike(fixed.PAGE_PHONES[0])),
     )
+    celled = exploded(tabled, rows, "page_id").select("page_id", "e.*")
     address = F.get("cells", F.lit(1))
     labels = F.flatten(
         F.transform(F.slice(F.col("cells"), 4, F.size("cells")), lambda c: service_labels("cell", c))
@@ -439,9 +466,18 @@ def _three_entities(text: Column) -> Column:
 
 def sections(pages: DataFrame) -> DataFrame:
     """Text sections of shortcode pages in page order; positions count empty sections too."""
-    rows = pages.select("page_id", F.posexplode(every(F.col("html"), SECTION, 1)).alias("pos", "raw"))
-    return rows.select(
-        "page_id", "pos", "raw", _filled_lines(_three_entities(X.drop_tags(F.col("raw")))).alias("lines")
+    return exploded(pages, _section_array(F.col("html")), "page_id").select(
+        "page_id", "pos", F.col("e.raw").alias("raw"), F.col("e.lines").alias("lines")
+    )
+
+
+def _section_array(html: Column) -> Column:
+    """array<struct<pos, raw, lines>>."""
+    return F.transform(
+        every(html, SECTION, 1),
+        lambda raw, i: F.struct(
+            i.alias("pos"), raw.alias("raw"), _filled_lines(_three_entities(X.drop_tags(raw))).alias("lines")
+        ),
     )
 
 
@@ -473,7 +509,9 @@ def section_businesses(pages: DataFrame, start_marker: str | None = None) -> Dat
     before = page.rowsBetween(W.unboundedPreceding, -1)
     upto = page.rowsBetween(W.unboundedPreceding, W.currentRow)
 
-    filled = sections(pages).where(F.size("lines") > 0)
+    coded = pages.where(F.col("html").contains("[vc_column_text"))
+    held = F.filter(_section_array(F.col("html")), lambda s: F.size(s["lines"]) > 0)
+    filled = exploded(coded, held, "page_id").select("page_id", "e.*")
     classed = filled.select(
         "page_id",
         "pos",
@@ -558,8 +596,8 @@ def section_businesses(pages: DataFrame, start_marker: str | None = None) -> Dat
 def marker_lines(pages: DataFrame) -> DataFrame:
     """Coordinate lines (lat | lon | name) of the first section of a page that holds any."""
     held = F.filter(every(F.col("html"), SECTION, 1), lambda s: s.rlike(_COORDINATES))
-    lines = pages.select("page_id", F.posexplode(F.split(F.get(held, F.lit(0)), "<br />", -1)).alias("pos", "line"))
-    parts = lines.select("page_id", "pos", F.split("line", r"\|", -1).alias("p")).where(F.size("p") >= 3)
+    lines = exploded(pages, F.split(F.get(held, F.lit(0)), "<br />", -1), "page_id")
+    parts = lines.select("page_id", "pos", F.split("e", r"\|", -1).alias("p")).where(F.size("p") >= 3)
     return parts.select(
         "page_id",
         "pos",
@@ -599,11 +637,8 @@ def _pieces(texts: DataFrame, needles: DataFrame) -> DataFrame:
     The lengths of a page's needles are a set of small numbers, whatever the number of needles.
     """
     lengths = needles.groupBy("page_id").agg(F.collect_set(F.length("needle")).alias("lengths"))
-    return (
-        _salted(texts)
-        .join(_for_each_salt(lengths), ["page_id", "salt"])
-        .select("page_id", "salt", "pos", F.explode(_substrings(F.col("text"), F.col("lengths"))).alias("piece"))
-    )
+    met = _salted(texts).join(_for_each_salt(lengths), ["page_id", "salt"])
+    return met.select("page_id", "salt", "pos", F.explode(_substrings(F.col("text"), F.col("lengths"))).alias("piece"))
 
 
 def needles_inside(texts: DataFrame, needles: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import markup as M
 from pageloom.functions import text as X
 from pageloom.functions.fixed import BRAND_WORDS
+from pageloom.functions.rows import exploded
 
 
 def _html() -> Column:
@@ -24,7 +25,7 @@ def _url() -> Column:
 
 def _explode(pages: DataFrame, elements: Column, *keep: Column) -> DataFrame:
     """One row per element with its position; pages without elements give no row."""
-    return pages.select("page_id", X.site_key(_url()).alias("site"), *keep, F.posexplode(elements).alias("pos", "e"))
+    return exploded(pages, elements, "page_id", X.site_key(_url()).alias("site"), *keep)
 
 
 def headings(pages: DataFrame) -> DataFrame:
@@ -144,8 +145,8 @@ def forms(pages: DataFrame) -> DataFrame:
 
 
 def form_fields(pages: DataFrame) -> DataFrame:
-    return forms(pages).select("page_id", "site", "form_no", F.posexplode("fields").alias("pos", "f")).select(
-        "page_id", "site", "form_no", "pos", "f.name", "f.type"
+    return exploded(forms(pages), "fields", "page_id", "site", "form_no").select(
+        "page_id", "site", "form_no", "pos", "e.name", "e.type"
     )
 
 
@@ -238,7 +239,7 @@ def page_contacts(texts: DataFrame, same_line: bool = False) -> DataFrame:
             kind("social", M.social(text)),
         ]
     )
-    return texts.select("page_id", F.posexplode(found).alias("pos", "e")).select(
+    return exploded(texts, found, "page_id").select(
         "page_id",
         "pos",
         "e.kind",
@@ -259,11 +260,11 @@ def corpus_contacts(texts: DataFrame) -> DataFrame:
         [kind("phone", M.corpus_phones(text)), kind("email", M.emails(text)), kind("url", M.urls(text))]
     )
     keys = [c for c in texts.columns if c != "text"]
-    return texts.select(*keys, F.posexplode(found).alias("pos", "e")).select(*keys, "pos", "e.kind", "e.value")
+    return exploded(texts, found, *keys).select(*keys, "pos", "e.kind", "e.value")
 
 
 def corpus_addresses(texts: DataFrame) -> DataFrame:
     keys = [c for c in texts.columns if c != "text"]
-    return texts.select(*keys, F.posexplode(M.corpus_addresses(F.col("text"))).alias("pos", "e")).select(
+    return exploded(texts, M.corpus_addresses(F.col("text")), *keys).select(
         *keys, "pos", "e.city", "e.state", "e.zip_code"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import fixed
+from pageloom.functions.rows import exploded
 from pageloom.operators import elements, texts as text_jobs
 from pageloom.operators.audit import messages
 
@@ -72,12 +73,12 @@ def site_insights(content: DataFrame) -> DataFrame:
     """Remarks on each site, one row per remark; sites without text get none."""
     with_text = content.where(F.col("avg_readability").isNotNull())
     noted = with_text.select("site", _insights().alias("notes"))
-    return noted.select("site", F.posexplode("notes").alias("pos", "note")).select(
+    return exploded(noted, "notes", "site").select(
         "site",
         "pos",
-        F.col("note.code").alias("code"),
-        F.col("note.detail").alias("detail"),
-        F.get(messages(F.array("note"), fixed.INSIGHTS), F.lit(0)).alias("message"),
+        F.col("e.code").alias("code"),
+        F.col("e.detail").alias("detail"),
+        F.get(messages(F.array("e"), fixed.INSIGHTS), F.lit(0)).alias("message"),
     )
 
 

@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import stats
 from pageloom.functions import text as X
+from pageloom.functions.rows import exploded
 
 
 def tokens(texts: DataFrame) -> DataFrame:
     """One row per word token with its position."""
     keys = [c for c in texts.columns if c != "text"]
-    return texts.select(*keys, F.posexplode(X.word_tokens(F.col("text"))).alias("pos", "token"))
+    return exploded(texts, X.word_tokens(F.col("text")), *keys).withColumnRenamed("e", "token")
 
 
 def sentences(texts: DataFrame) -> DataFrame:
     """Pieces between sentence ends; blank ones are kept and flagged."""
     keys = [c for c in texts.columns if c != "text"]
     pieces = F.split(F.col("text"), "[.!?]+", -1)
-    return texts.select(*keys, F.posexplode(pieces).alias("pos", "sentence")).withColumn(
-        "is_blank", X.blank(F.col("sentence"))
-    )
+    rows = exploded(texts, pieces, *keys).withColumnRenamed("e", "sentence")
+    return rows.withColumn("is_blank", X.blank(F.col("sentence")))
 
 
 def _counted(rows: DataFrame, keys: list[str], lists: dict[str, Column]) -> DataFrame:
@@ -47,12 +47,12 @@ def _counted(rows: DataFrame, keys: list[str], lists: dict[str, Column]) -> Data
 def _ranked(rows: DataFrame, keys: list[str], name: str, kind: str, k: int | None) -> DataFrame:
     top = F.col(name) if k is None else F.slice(F.col(name), 1, k)
     total = F.col(f"{name}_total")
-    return rows.select(*keys, total.alias("total"), F.posexplode(top).alias("_at", "t")).select(
+    return exploded(rows, top, *keys, total.alias("total")).select(
         *keys,
         F.lit(kind).alias("kind"),
-        (F.col("_at") + 1).alias("rank"),
-        F.col("t.term").alias("term"),
-        (-F.col("t.less")).alias("n"),
+        (F.col("pos") + 1).alias("rank"),
+        F.col("e.term").alias("term"),
+        (-F.col("e.less")).alias("n"),
         "total",
     )
 
@@ -106,6 +106,6 @@ def keyword_density(texts: DataFrame) -> DataFrame:
         )
 
     tops = F.flatten(F.array(labelled("keyword", 20), labelled("bigram", 10), labelled("trigram", 5)))
-    return rows.select(*keys, F.col("keyword_total").alias("total_words"), F.explode(tops).alias("t")).select(
-        *keys, "total_words", "t.kind", "t.rank", "t.term", "t.n"
+    return exploded(rows, tops, *keys, F.col("keyword_total").alias("total_words")).select(
+        *keys, "total_words", "e.kind", "e.rank", "e.term", "e.n"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import forms, stats
 from pageloom.functions import text as X
+from pageloom.functions.rows import exploded
 
 
 def _empty() -> Column:
@@ -68,7 +69,7 @@ def shortcode_counts(texts: DataFrame) -> DataFrame:
 def markdown_lines(texts: DataFrame) -> DataFrame:
     """Lines of each text with their class and decorated form."""
     keys = [c for c in texts.columns if c != "text"]
-    lines = texts.select(*keys, F.posexplode(forms.text_lines(F.col("text"))).alias("line_no", "line"))
+    lines = exploded(texts, forms.text_lines(F.col("text")), *keys).withColumnsRenamed({"pos": "line_no", "e": "line"})
     kind, line = F.col("line_class"), F.col("line")
     return lines.select(*keys, "line_no", "line", forms.line_class(line).alias("line_class")).select(
         *keys,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as X
+from pageloom.functions.rows import exploded
 from pageloom.operators import audit, elements, rollups
 
 
@@ -33,8 +34,8 @@ def site_issue_report(pages: DataFrame, k: int = 5) -> DataFrame:
     # One extra entry per page carries the score; the others carry an issue each.
     entries = F.concat(F.array(F.lit(None).cast("string")), F.col("codes"))
     counted = (
-        page_audit.select("site", "seo_score", F.explode(entries).alias("code"))
-        .groupBy("site", "code")
+        exploded(page_audit, entries, "site", "seo_score")
+        .groupBy("site", F.col("e").alias("code"))
         .agg(F.count("*").alias("pages"), F.sum("seo_score").alias("points"))
     )
     issues = F.filter(F.collect_list(F.struct((-F.col("pages")).alias("less"), "code")), lambda e: e["code"].isNotNull())
