@@ -17,6 +17,7 @@ from pageloom.functions import text as X
 from pageloom.functions.blocks import html_blocks
 from pageloom.functions.rows import exploded
 from pageloom.functions.text import every, first, let, squash, strip
+from pageloom.session import settled
 
 EXTRA = "array<struct<name:string,lat:double,lon:double>>"
 BUSINESS = {
@@ -731,8 +732,8 @@ def shortcode_businesses(pages: DataFrame, start_marker: str | None = None) -> D
 
     The extra locations of a business all stand in one page's row, so their list stays small.
     """
-    listed = section_businesses(pages, start_marker)
-    matched = match_points(marker_lines(pages), listed)
+    listed = settled(section_businesses(pages, start_marker))
+    matched = settled(match_points(settled(marker_lines(pages)), listed))
     place = F.struct(
         "pos", "name", F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lon")
     )

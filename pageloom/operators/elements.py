@@ -249,18 +249,20 @@ def page_contacts(texts: DataFrame, same_line: bool = False) -> DataFrame:
     )
 
 
-def corpus_contacts(texts: DataFrame) -> DataFrame:
-    """Contacts of corpus texts, each value once per text: phones, e-mails, URLs."""
-    text = F.col("text")
+def corpus_contact_array(text: Column) -> Column:
+    """array<struct<kind, value>>: phones, e-mails and URLs, each value once."""
 
     def kind(name: str, found: Column) -> Column:
         return F.transform(found, lambda v: F.struct(F.lit(name).alias("kind"), v.alias("value")))
 
-    found = M.flat(
-        [kind("phone", M.corpus_phones(text)), kind("email", M.emails(text)), kind("url", M.urls(text))]
-    )
+    return M.flat([kind("phone", M.corpus_phones(text)), kind("email", M.emails(text)), kind("url", M.urls(text))])
+
+
+def corpus_contacts(texts: DataFrame) -> DataFrame:
+    """Contacts of corpus texts, each value once per text: phones, e-mails, URLs."""
     keys = [c for c in texts.columns if c != "text"]
-    return exploded(texts, found, *keys).select(*keys, "pos", "e.kind", "e.value")
+    rows = exploded(texts, corpus_contact_array(F.col("text")), *keys)
+    return rows.select(*keys, "pos", "e.kind", "e.value")
 
 
 def corpus_addresses(texts: DataFrame) -> DataFrame:

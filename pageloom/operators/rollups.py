@@ -24,26 +24,45 @@ def category_counts(texts: DataFrame) -> DataFrame:
 
 
 def site_content(texts: DataFrame) -> DataFrame:
-    """Totals of each site over texts(site, category, text).
+    """Totals of each site over texts(site, category, text), with its distinct contacts counted.
 
-    An empty text counts as a file but has no part in the averages.
+    An empty text counts as a file but has no part in the averages. Figures and contacts travel through
+    one scan: each text yields an entry without a contact that carries its figures, and an entry per
+    contact. Grouping by (site, kind, value) removes repeats before anything is counted per site, and a
+    large site's figures arrive there as one sum per task.
     """
-    measured = text_jobs.measured(texts.select("site", "category", "text"))
+    measured = text_jobs.measured(texts.select("site", "category", "text", F.col("text").alias("_text")))
     filled = F.col("has_text")
-    sizes = measured.groupBy("site").agg(
-        F.count("*").alias("total_files"),
-        F.count_if(F.col("category") == "pages").alias("page_files"),
-        F.coalesce(F.sum(F.when(filled, F.col("word_count"))), F.lit(0)).alias("total_words"),
-        F.coalesce(F.sum(F.when(filled, F.col("character_count"))), F.lit(0)).alias("total_characters"),
-        F.round(F.avg(F.when(filled, F.col("readability_score"))), 2).alias("avg_readability"),
+    no_contact = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value")))
+    entries = exploded(
+        measured,
+        F.concat(no_contact, elements.corpus_contact_array(F.coalesce("_text", F.lit("")))),
+        "site",
+        (F.col("category") == "pages").alias("is_page"),
+        "has_text",
+        "word_count",
+        "character_count",
+        "readability_score",
+    )
+    kind = F.col("e.kind")
+    figure = F.col("pos") == 0
+    distinct = entries.groupBy("site", kind.alias("kind"), F.col("e.value").alias("value")).agg(
+        F.count_if(figure).alias("files"),
+        F.count_if(figure & F.col("is_page")).alias("page_files"),
+        F.count_if(figure & filled).alias("filled"),
+        F.sum(F.when(figure & filled, F.col("word_count"))).alias("words"),
+        F.sum(F.when(figure & filled, F.col("character_count"))).alias("characters"),
+        F.sum(F.when(figure & filled, F.col("readability_score"))).alias("readability"),
     )
-    found = (
-        site_contacts(texts)
-        .groupBy("site")
-        .agg(*[F.count_if(F.col("kind") == kind).alias(f"{kind}_count") for kind in ("phone", "email", "url")])
+    total = F.sum("filled")
+    return distinct.groupBy("site").agg(
+        F.sum("files").alias("total_files"),
+        F.sum("page_files").alias("page_files"),
+        F.coalesce(F.sum("words"), F.lit(0)).alias("total_words"),
+        F.coalesce(F.sum("characters"), F.lit(0)).alias("total_characters"),
+        F.when(total > 0, F.round(F.sum("readability") / total, 2)).alias("avg_readability"),
+        *[F.count_if(F.col("kind") == kind).alias(f"{kind}_count") for kind in ("phone", "email", "url")],
     )
-    joined = sizes.join(found, "site", "left")
-    return joined.fillna(0, ["phone_count", "email_count", "url_count"])
 
 
 def _insights() -> Column:

@@ -114,7 +114,10 @@ def measured(texts: DataFrame) -> DataFrame:
 
 def text_stats(texts: DataFrame) -> DataFrame:
     """Figures of each non-empty text; an empty text has none."""
-    return measured(texts.where(F.col("text") != "")).drop("has_text")
+    figures = measured(texts)
+    kept = [c for c in figures.columns if c != "has_text"]
+    # An array of one or no row, because a filter would move down and compute a derived text twice.
+    return exploded(figures, F.when(F.col("has_text"), F.array(F.struct(*kept)))).select("e.*")
 
 
 def _sentence_words(text: Column) -> Column:

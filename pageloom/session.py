@@ -36,6 +36,15 @@ def local_session(cores: int | str = 8, name: str = "pageloom", **extra: str) ->
     return spark
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A table several later steps read, computed once.
+
+    Where the cluster names a shared folder the table is checkpointed there and survives lost executors;
+    elsewhere the plan stays as it is.
+    """
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
