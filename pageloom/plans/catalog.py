@@ -366,7 +366,7 @@ def business_source_counts(spark, sf_dir):
 @query
 def business_csv(spark, sf_dir):
     merged = directory.merged_businesses(samples.directory_texts(spark, sf_dir))
-    return sinks.business_csv(merged).where(F.col("source") == "map_coordinates").drop("address", "source")
+    return sinks.business_csv(merged)
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -561,10 +561,12 @@ SQL["business_source_counts"] = """
 SELECT 'table_format' AS source, count(*) AS businesses FROM supplier
 UNION ALL SELECT 'map_coordinates', count(*) FROM supplier WHERE s_suppkey % 2 = 1"""
 SQL["business_csv"] = f"""
-WITH {_LOCATED}, {_MAP}
-SELECT name, address_url, phone, website_url, services,
-  concat(lat_lon, ' (', CAST(lat AS VARCHAR), ', ', CAST(lon AS VARCHAR), ')') AS extra_locations
-FROM (SELECT *, replace(address_url, 'https://maps.google.com/?q=', '') AS lat_lon FROM maps WHERE k % 2 = 1)"""
+WITH {_LOCATED}, {_TABLE}, {_MAP}
+SELECT name, address, address_url, phone, website_url, services, '' AS extra_locations, source FROM tables
+UNION ALL
+SELECT name, CASE WHEN k % 2 = 1 THEN '9 elm street' END, address_url, phone, website_url, services,
+  concat(replace(address_url, 'https://maps.google.com/?q=', ''), ' (', CAST(lat AS VARCHAR), ', ', CAST(lon AS VARCHAR), ')'), source
+FROM maps WHERE k % 2 = 1"""
 
 SQL["geo_existing_match"] = f"""
 WITH {_LOCATED}

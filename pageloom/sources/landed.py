@@ -77,10 +77,9 @@ def text_corpus(spark: SparkSession, root: str) -> DataFrame:
     choice of folder is made on distinct (site, folder) pairs and not on the texts.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.txt")
+        spark.read.option("pathGlobFilter", "*.txt")
         .option("recursiveFileLookup", True)
-        .text(root)
+        .text(root, wholetext=True)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     )
     parts = F.split("path", "/")
@@ -98,7 +97,7 @@ def text_corpus(spark: SparkSession, root: str) -> DataFrame:
 
 def raw_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as (path, text)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
