@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import fixed, patterns
 from pageloom.functions.forms import ANCHOR
-from pageloom.functions.text import absolute, attribute, drop_tags, every, strip
+from pageloom.functions.text import absolute, attribute, drop_tags, every, let, strip
 
 OPEN_TAG = "^<[^>]*>"
 PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>.*?</p>"
@@ -42,9 +42,13 @@ def headings(html: Column) -> Column:
 
 
 def heading_levels(html: Column) -> Column:
-    """Number of headings of each level, array of six counts."""
-    return F.array(
-        *[F.regexp_count(html, F.lit(rf"(?is)<h{n}[^>]*>.*?</h{n}>")) for n in range(1, 7)]
+    """Number of headings of each level, array of six counts.
+
+    One pass takes the heading tags out of the page, and only those few are searched level by level.
+    """
+    tags = F.array_join(every(html, "(?i)<h[1-6][^>]*>|</h[1-6]>"), "")
+    return let(
+        tags, lambda t: F.array(*[F.regexp_count(t, F.lit(rf"(?is)<h{n}[^>]*>.*?</h{n}>")) for n in range(1, 7)])
     )
 
 

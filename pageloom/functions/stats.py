@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom.functions import fixed
-from pageloom.functions.text import let
+from pageloom.functions.text import every, let
 
 VOWELS = "[aeiouy]+"
 
@@ -86,17 +86,24 @@ def keywords(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: (F.length(t) > 2) & not_stop(t))
 
 
+def plain_words(text: Column) -> Column:
+    """Lower-cased tokens made of the letters a to z only."""
+    return every(F.lower(text), r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])")
+
+
 def ngrams(tokens: Column, n: int) -> Column:
-    """Runs of n adjacent tokens free of stop words."""
+    """Runs of n adjacent tokens free of stop words.
+
+    A stop word becomes NULL, and so does every run over one or over the end.
+    """
+
+    def runs(marked: Column) -> Column:
+        def run(token: Column, i: Column) -> Column:
+            return F.concat(token, *[part for k in range(1, n) for part in (F.lit(" "), F.get(marked, i + k))])
 
-    def gram(token: Column, i: Column) -> Column:
-        run = [token] + [F.get(tokens, i + k) for k in range(1, n)]
-        clean = run[0].isNotNull()
-        for word in run:
-            clean = clean & word.isNotNull() & not_stop(word)
-        return F.when(clean, F.concat_ws(" ", *run))
+        return F.array_compact(F.transform(marked, run))
 
-    return F.array_compact(F.transform(tokens, gram))
+    return let(F.transform(tokens, lambda t: F.when(not_stop(t), t)), runs)
 
 
 def located(terms: Column) -> Column:

@@ -49,8 +49,11 @@ def page_facts(pages: DataFrame) -> DataFrame:
         F.get("_levels", F.lit(0)).alias("h1_count"),
         F.aggregate("_levels", F.lit(0), lambda a, n: a + n).alias("total_headings"),
         M.hierarchy_ok(F.col("_levels")).alias("has_proper_hierarchy"),
-        stats.count_of(F.lower(visible), X.WORD).alias("word_count"),
         stats.count_of(visible, X.WORD).alias("_words"),
+        # Lower-casing changes the words only where it changes the length.
+        F.when(
+            F.length(F.lower(visible)) != F.length(visible), stats.count_of(F.lower(visible), X.WORD)
+        ).alias("_lower_words"),
         stats.filled_sentences(visible).alias("_sentences"),
         stats.token_syllables(visible).alias("_syllables"),
         links_of("internal").alias("internal_links"),
@@ -59,10 +62,15 @@ def page_facts(pages: DataFrame) -> DataFrame:
         F.size(F.filter("_alts", lambda a: a)).alias("images_with_alt"),
     )
     words, sentences = F.col("_words"), F.col("_sentences")
-    scored = counted.withColumn("_ease", stats.reading_ease(words, sentences, F.col("_syllables")))
+    scored = counted.withColumns(
+        {
+            "_ease": stats.reading_ease(words, sentences, F.col("_syllables")),
+            "word_count": F.coalesce("_lower_words", "_words"),
+        }
+    )
     readable = (words > 0) & (sentences > 0)
     return scored.select(
-        *[c for c in counted.columns if not c.startswith("_")],
+        *[c for c in scored.columns if not c.startswith("_")],
         (F.col("total_images") - F.col("images_with_alt")).alias("images_without_alt"),
         F.round("_ease", 1).alias("flesch_score"),
         stats.grade(F.col("_ease"), readable).alias("grade_level"),
@@ -71,85 +79,71 @@ def page_facts(pages: DataFrame) -> DataFrame:
     )
 
 
-def _points(condition: Column, points: int) -> Column:
-    return F.when(condition, points).otherwise(0)
-
-
-def points() -> dict[str, Column]:
-    """One entry per scored figure; the score of a page is their sum, at most 100."""
-    return {
-        "title_length_points": _points(F.col("title_length").between(30, 60), 15),
-        "title_words_points": _points(F.col("title_words") >= 3, 5),
-        "description_points": _points(F.col("description_length").between(120, 160), 15),
-        "h1_points": _points(F.col("h1_count") == 1, 10),
-        "hierarchy_points": _points(F.col("has_proper_hierarchy"), 10),
-        "content_points": F.when(F.col("word_count") >= 300, 15).when(F.col("word_count") >= 150, 10).otherwise(0),
-        "image_points": F.when(
-            F.col("total_images") > 0, (F.col("images_with_alt") / F.col("total_images") * 10).cast("int")
-        ).otherwise(0),
-        "reading_points": F.when(F.col("flesch_score") >= 60, 10).when(F.col("flesch_score") >= 30, 5).otherwise(0),
-        "internal_link_points": _points(F.col("internal_links") >= 3, 5),
-        "external_link_points": _points(F.col("external_links").between(1, 5), 5),
-    }
-
-
-def _findings() -> tuple[Column, Column]:
-    """Issues and recommendations as arrays of (code, detail); detail is the figure in the text."""
-    titled = F.col("title") != ""
-    described = F.col("description") != ""
-    words = F.col("word_count")
-    off_title = titled & ~F.col("title_length").between(30, 60)
-    off_description = described & ~F.col("description_length").between(120, 160)
-    medium = words.between(150, 299)
-    fair = (F.col("flesch_score") >= 30) & (F.col("flesch_score") < 60)
-
-    def note(condition: Column, code: str, detail: str | None = None) -> Column:
-        figure = F.col(detail) if detail else F.lit(None).cast("int")
-        return F.when(condition, F.struct(F.lit(code).alias("code"), figure.alias("detail")))
-
-    issues = F.array(
-        note(off_title, "title_length", "title_length"),
-        note(titled & (F.col("title_words") < 3), "title_few_words"),
-        note(~titled, "title_missing"),
-        note(off_description, "description_length", "description_length"),
-        note(~described, "description_missing"),
-        note(F.col("h1_count") == 0, "h1_missing"),
-        note(F.col("h1_count") > 1, "h1_multiple", "h1_count"),
-        note(~F.col("has_proper_hierarchy"), "hierarchy_poor"),
-        note(words < 150, "content_short", "word_count"),
-        note(F.col("images_without_alt") > 0, "alt_missing", "images_without_alt"),
-        note(F.col("flesch_score") < 30, "hard_to_read"),
-    )
-    advice = F.array(
-        note(off_title, "title_length"),
-        note(~titled, "title_missing"),
-        note(off_description, "description_length"),
-        note(~described, "description_missing"),
-        note(F.col("h1_count") == 0, "h1_missing"),
-        note(F.col("h1_count") > 1, "h1_multiple"),
-        note(~F.col("has_proper_hierarchy"), "hierarchy_poor"),
-        note(medium, "content_medium", "word_count"),
-        note(words < 150, "content_short"),
-        note(F.col("images_without_alt") > 0, "alt_missing"),
-        note(fair, "fairly_hard_to_read"),
-        note(F.col("flesch_score") < 30, "hard_to_read"),
-        note(F.col("internal_links") < 3, "few_internal_links"),
-        note(F.col("external_links") > 5, "many_external_links"),
+# One condition ladder per scored figure; the score of a page is their sum, at most 100.
+POINTS = {
+    "title_length_points": "CASE WHEN title_length BETWEEN 30 AND 60 THEN 15 ELSE 0 END",
+    "title_words_points": "CASE WHEN title_words >= 3 THEN 5 ELSE 0 END",
+    "description_points": "CASE WHEN description_length BETWEEN 120 AND 160 THEN 15 ELSE 0 END",
+    "h1_points": "CASE WHEN h1_count = 1 THEN 10 ELSE 0 END",
+    "hierarchy_points": "CASE WHEN has_proper_hierarchy THEN 10 ELSE 0 END",
+    "content_points": "CASE WHEN word_count >= 300 THEN 15 WHEN word_count >= 150 THEN 10 ELSE 0 END",
+    "image_points": "CASE WHEN total_images > 0 THEN CAST(images_with_alt / total_images * 10 AS INT) ELSE 0 END",
+    "reading_points": "CASE WHEN flesch_score >= 60 THEN 10 WHEN flesch_score >= 30 THEN 5 ELSE 0 END",
+    "internal_link_points": "CASE WHEN internal_links >= 3 THEN 5 ELSE 0 END",
+    "external_link_points": "CASE WHEN external_links BETWEEN 1 AND 5 THEN 5 ELSE 0 END",
+}
+
+# When a page earns an issue or a recommendation, by code. The last part names the figure in its text.
+_OFF_TITLE = "title <> '' AND title_length NOT BETWEEN 30 AND 60"
+_OFF_DESCRIPTION = "description <> '' AND description_length NOT BETWEEN 120 AND 160"
+ISSUE_RULES = (
+    ("title_length", _OFF_TITLE, "title_length"),
+    ("title_few_words", "title <> '' AND title_words < 3", None),
+    ("title_missing", "title = ''", None),
+    ("description_length", _OFF_DESCRIPTION, "description_length"),
+    ("description_missing", "description = ''", None),
+    ("h1_missing", "h1_count = 0", None),
+    ("h1_multiple", "h1_count > 1", "h1_count"),
+    ("hierarchy_poor", "NOT has_proper_hierarchy", None),
+    ("content_short", "word_count < 150", "word_count"),
+    ("alt_missing", "images_without_alt > 0", "images_without_alt"),
+    ("hard_to_read", "flesch_score < 30", None),
+)
+ADVICE_RULES = (
+    ("title_length", _OFF_TITLE, None),
+    ("title_missing", "title = ''", None),
+    ("description_length", _OFF_DESCRIPTION, None),
+    ("description_missing", "description = ''", None),
+    ("h1_missing", "h1_count = 0", None),
+    ("h1_multiple", "h1_count > 1", None),
+    ("hierarchy_poor", "NOT has_proper_hierarchy", None),
+    ("content_medium", "word_count BETWEEN 150 AND 299", "word_count"),
+    ("content_short", "word_count < 150", None),
+    ("alt_missing", "images_without_alt > 0", None),
+    ("fairly_hard_to_read", "flesch_score >= 30 AND flesch_score < 60", None),
+    ("hard_to_read", "flesch_score < 30", None),
+    ("few_internal_links", "internal_links < 3", None),
+    ("many_external_links", "external_links > 5", None),
+)
+
+
+def _notes(rules: tuple[tuple[str, str, str | None], ...]) -> Column:
+    """array<struct<code, detail>> of the rules a page meets."""
+    notes = ", ".join(
+        f"CASE WHEN {condition} THEN named_struct('code', '{code}', 'detail', CAST({figure or 'NULL'} AS INT)) END"
+        for code, condition, figure in rules
     )
-    return F.array_compact(issues), F.array_compact(advice)
+    return F.expr(f"array_compact(array({notes}))")
 
 
 def page_audit(pages: DataFrame) -> DataFrame:
     """Facts, sub-scores, score, issues and recommendations of each page."""
-    parts = points()
-    scored = page_facts(pages).select("*", *[c.alias(name) for name, c in parts.items()])
-    issues, advice = _findings()
-    total = sum((F.col(name) for name in parts), F.lit(0))
+    scored = page_facts(pages).select("*", *[F.expr(rule).alias(name) for name, rule in POINTS.items()])
     return scored.select(
         "*",
-        F.least(F.lit(100), total).alias("seo_score"),
-        issues.alias("issues"),
-        advice.alias("recommendations"),
+        F.expr(f"least(100, {' + '.join(POINTS)})").alias("seo_score"),
+        _notes(ISSUE_RULES).alias("issues"),
+        _notes(ADVICE_RULES).alias("recommendations"),
     )
 
 

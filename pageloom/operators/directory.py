@@ -655,9 +655,15 @@ def needles_inside(texts: DataFrame, needles: DataFrame) -> DataFrame:
 
 
 def texts_around(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """For each needle(page_id, pos, needle) the lowest pos among the texts of its page that hold it."""
+    """For each needle(page_id, pos, needle) the lowest pos among the texts of its page that hold it.
+
+    Equal needles are looked up once; the result then meets the needles salted, for one string may be
+    most of a page.
+    """
     lowest = _pieces(texts, needles).groupBy("page_id", F.col("piece").alias("needle")).agg(F.min("pos").alias("found"))
-    return needles.select("page_id", "pos", "needle").join(lowest, ["page_id", "needle"]).select("page_id", "pos", "found")
+    strings = needles.select("page_id", "needle").distinct().join(lowest, ["page_id", "needle"])
+    met = _salted(needles).join(_for_each_salt(strings), ["page_id", "salt", "needle"])
+    return met.select("page_id", "pos", "found")
 
 
 def match_points(points: DataFrame, businesses: DataFrame) -> DataFrame:

@@ -23,6 +23,31 @@ def _url() -> Column:
     return F.col("url")
 
 
+# How each element array is read off a page.
+_ARRAYS = {
+    "headings": lambda: M.headings(_html()),
+    "links": lambda: M.links(_html()),
+    "images": lambda: M.images(_html(), _url()),
+    "media": lambda: M.media_urls(_html(), _url()),
+    "forms": lambda: M.forms(_html()),
+    "json_ld": lambda: M.json_ld(_html()),
+    "tags": lambda: M.metas(F.col("head")),
+}
+
+
+def array_of(pages: DataFrame, name: str) -> Column:
+    """An element array of the pages: the stored column of parsed pages, else read off the HTML."""
+    return F.col(name) if name in pages.columns else _ARRAYS[name]()
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """Pages with all element arrays beside the HTML, for writing once where many child tables follow.
+
+    The child jobs take the arrays from a table that has them and do not touch its HTML again.
+    """
+    return with_heads(pages).select("*", *[array().alias(name) for name, array in _ARRAYS.items()])
+
+
 def _explode(pages: DataFrame, elements: Column, *keep: Column) -> DataFrame:
     """One row per element with its position; pages without elements give no row."""
     return exploded(pages, elements, "page_id", X.site_key(_url()).alias("site"), *keep)
@@ -30,7 +55,7 @@ def _explode(pages: DataFrame, elements: Column, *keep: Column) -> DataFrame:
 
 def headings(pages: DataFrame) -> DataFrame:
     """All headings level by level, with the empty ones flagged."""
-    rows = _explode(pages, M.headings(_html())).select(
+    rows = _explode(pages, array_of(pages, "headings")).select(
         "page_id", "site", "pos", F.col("e.level").alias("level"), X.decode_entities(F.col("e.text")).alias("text")
     )
     return rows.select(
@@ -43,7 +68,7 @@ def headings(pages: DataFrame) -> DataFrame:
 
 def filled_headings(pages: DataFrame) -> DataFrame:
     """Headings as the page listing shows them: no empty ones, level written H1..H6."""
-    rows = _explode(pages, M.headings(_html())).where(F.col("e.text") != "")
+    rows = _explode(pages, array_of(pages, "headings")).where(F.col("e.text") != "")
     return rows.select(
         "page_id", "site", "pos", F.concat(F.lit("H"), F.col("e.level")).alias("level"), F.col("e.text").alias("text")
     )
@@ -63,7 +88,7 @@ def heading_structure(pages: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame) -> DataFrame:
     """All anchors: text, kind by look (link_type) and against the page's domain (scope)."""
-    rows = _explode(pages, M.links(_html()), _url().alias("page_url"), X.authority(_url()).alias("page_domain")).select(
+    rows = _explode(pages, array_of(pages, "links"), _url().alias("page_url"), X.authority(_url()).alias("page_domain")).select(
         "page_id",
         "site",
         "pos",
@@ -90,7 +115,7 @@ def links(pages: DataFrame) -> DataFrame:
 
 def listed_links(pages: DataFrame) -> DataFrame:
     """Links as the page listing shows them: neither target nor text empty."""
-    rows = _explode(pages, M.links(_html())).where((F.col("e.url") != "") & (F.col("e.text") != ""))
+    rows = _explode(pages, array_of(pages, "links")).where((F.col("e.url") != "") & (F.col("e.text") != ""))
     return rows.select(
         "page_id", "site", "pos", "e.url", "e.text", M.link_type(F.col("e.url")).alias("link_type")
     )
@@ -105,7 +130,7 @@ def external_links(pages: DataFrame) -> DataFrame:
 
 
 def images(pages: DataFrame) -> DataFrame:
-    return _explode(pages, M.images(_html(), _url())).select(
+    return _explode(pages, array_of(pages, "images")).select(
         "page_id",
         "site",
         "pos",
@@ -120,26 +145,26 @@ def images(pages: DataFrame) -> DataFrame:
 
 def first_images(pages: DataFrame, k: int = 10) -> DataFrame:
     """The first k images of each page; cut inside the row, before anything is exploded."""
-    return _explode(pages, F.slice(M.images(_html(), _url()), 1, k)).select("page_id", "site", "pos", "e.src", "e.alt", "e.has_alt")
+    return _explode(pages, F.slice(array_of(pages, "images"), 1, k)).select("page_id", "site", "pos", "e.src", "e.alt", "e.has_alt")
 
 
 def media(pages: DataFrame) -> DataFrame:
     """Images with a source, videos and audio files with absolute URLs."""
     pictures = F.transform(
-        F.filter(M.images(_html(), _url()), lambda i: i["src"] != ""),
+        F.filter(array_of(pages, "images"), lambda i: i["src"] != ""),
         lambda i: F.struct(
             F.lit("image").alias("kind"), F.lit(1).alias("pattern_no"), i["url"].alias("url"), i["alt"].alias("alt")
         ),
     )
     others = F.transform(
-        M.media_urls(_html(), _url()),
+        array_of(pages, "media"),
         lambda m: F.struct(m["kind"].alias("kind"), m["pattern_no"].alias("pattern_no"), m["url"].alias("url"), F.lit("").alias("alt")),
     )
     return _explode(pages, F.concat(pictures, others)).select("page_id", "site", "pos", "e.kind", "e.pattern_no", F.col("e.url").alias("src"), "e.alt")
 
 
 def forms(pages: DataFrame) -> DataFrame:
-    return _explode(pages, M.forms(_html())).select(
+    return _explode(pages, array_of(pages, "forms")).select(
         "page_id", "site", F.col("pos").alias("form_no"), "e.action", "e.method", M.form_fields(F.col("e.body")).alias("fields")
     )
 
@@ -174,6 +199,8 @@ def seo_tag_columns(source: Column, tags: Column) -> list[Column]:
 
 def with_heads(pages: DataFrame) -> DataFrame:
     """Pages with a column 'head': where their SEO tags are read from."""
+    if "head" in pages.columns:
+        return pages
     for name in ("yoast_head", "rankmath_head"):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast("string"))
@@ -181,13 +208,14 @@ def with_heads(pages: DataFrame) -> DataFrame:
 
 
 def seo_tags(pages: DataFrame) -> DataFrame:
-    rows = with_heads(pages).select("page_id", X.site_key(_url()).alias("site"), "head", M.metas(F.col("head")).alias("tags"))
+    headed = with_heads(pages)
+    rows = headed.select("page_id", X.site_key(_url()).alias("site"), "head", array_of(headed, "tags").alias("tags"))
     return rows.select("page_id", "site", *seo_tag_columns(F.col("head"), F.col("tags")))
 
 
 def schema_markup(pages: DataFrame) -> DataFrame:
     """Structured-data scripts that hold valid JSON, one variant each."""
-    return _explode(pages, M.json_ld(_html())).withColumnRenamed("e", "markup")
+    return _explode(pages, array_of(pages, "json_ld")).withColumnRenamed("e", "markup")
 
 
 def page_titles(pages: DataFrame, brand_words: tuple[str, ...] = BRAND_WORDS) -> DataFrame:

@@ -76,8 +76,8 @@ def top_phrases(texts: DataFrame, n: int, k: int | None) -> DataFrame:
 def top_words(texts: DataFrame, k: int | None = 20) -> DataFrame:
     """Most frequent purely a-z words, stop words included."""
     keys = [c for c in texts.columns if c != "text"]
-    plain = F.filter(X.word_tokens(F.col("text")), lambda t: t.rlike("^[a-z]+$"))
-    return _ranked(_counted(texts, keys, {"w": plain}), keys, "w", "word", k).drop("kind", "total")
+    rows = _counted(texts, keys, {"w": stats.plain_words(F.col("text"))})
+    return _ranked(rows, keys, "w", "word", k).drop("kind", "total")
 
 
 def keyword_density(texts: DataFrame) -> DataFrame:

@@ -36,16 +36,21 @@ def readable_text(html: Column) -> Column:
 
 def page_metrics(pages: DataFrame) -> DataFrame:
     """Words, characters, paragraphs, headings, links and images of each page."""
+    return _read(pages).select("page_id", *_metric_columns())
+
+
+def _read(pages: DataFrame, *keep: Column | str) -> DataFrame:
+    """What the metrics are computed from, next to the columns to keep."""
     html = F.col("html")
-    read = pages.select(
+    return pages.select(
         "page_id",
-        readable_text(html).alias("text"),
-        M.headings(html).alias("headings"),
-        M.links(html).alias("links"),
+        *keep,
+        (F.col("text") if "text" in pages.columns else readable_text(html)).alias("text"),
+        elements.array_of(pages, "headings").alias("headings"),
+        elements.array_of(pages, "links").alias("links"),
         stats.count_of(html, M.PARAGRAPH).alias("paragraph_count"),
         stats.count_of(html, M.IMAGE).alias("image_count"),
     )
-    return read.select("page_id", *_metric_columns())
 
 
 def _metric_columns() -> list[Column]:
@@ -62,20 +67,15 @@ def _metric_columns() -> list[Column]:
 def page_summary(pages: DataFrame, businesses: DataFrame | None = None) -> DataFrame:
     """One wide row per page. All figures but the business count come from the page's own row, so the
     only join is with the counted businesses, one row per page."""
-    html = F.col("html")
     head = elements.with_heads(_with_item_columns(pages))
-    read = head.select(
-        *[c for c in head.columns if c not in ("html", "yoast_head", "rankmath_head")],
-        M.metas(F.col("head")).alias("tags"),
-        readable_text(html).alias("text"),
-        M.headings(html).alias("headings"),
-        M.links(html).alias("links"),
-        stats.count_of(html, M.PARAGRAPH).alias("paragraph_count"),
-        stats.count_of(html, M.IMAGE).alias("image_count"),
-        F.size(M.json_ld(html)).alias("schema_markup_count"),
-        M.images(html, F.col("url")).alias("images"),
-        M.media_urls(html, F.col("url")).alias("media"),
-        stats.count_of(html, M.FORM).alias("form_count"),
+    read = _read(
+        head,
+        *("url", "head", *ITEM_COLUMNS),
+        elements.array_of(head, "tags").alias("tags"),
+        F.size(elements.array_of(head, "json_ld")).alias("schema_markup_count"),
+        elements.array_of(head, "images").alias("images"),
+        elements.array_of(head, "media").alias("media"),
+        stats.count_of(F.col("html"), M.FORM).alias("form_count"),
     )
     text = F.col("text")
     values = lambda found: F.transform(found, lambda v: v["value"])
@@ -111,29 +111,40 @@ def page_summary(pages: DataFrame, businesses: DataFrame | None = None) -> DataF
     return counted.withColumn("extracted_at", F.current_timestamp())
 
 
-def page_extract(pages: DataFrame, start_marker: str | None = None) -> dict[str, DataFrame]:
-    """All tables of an extraction by name; nothing runs until one is written."""
+def page_extract(
+    pages: DataFrame, start_marker: str | None = None, store: str | None = None
+) -> dict[str, DataFrame]:
+    """All tables of an extraction by name; none is computed until it is written.
+
+    Eleven tables would parse the HTML eleven times. With a store path in a folder all executors share, the
+    parsed pages are written there once and the tables read them back.
+    """
+    ready = elements.parsed(pages).withColumn("text", readable_text(F.col("html")))
+    if store is not None:
+        ready.drop("json_ld").write.mode("overwrite").parquet(store)
+        ready = pages.sparkSession.read.parquet(store)
     businesses = directory.page_businesses(pages.select("page_id", "url", "html"), start_marker)
-    texts = pages.select("page_id", readable_text(F.col("html")).alias("text"))
+    media = elements.media(ready)
     return {
-        "page_summary": page_summary(pages, businesses),
-        "headings": elements.filled_headings(pages),
-        "links": elements.listed_links(pages),
-        "images": elements.media(pages).where(F.col("kind") == "image"),
-        "media": elements.media(pages),
-        "forms": elements.forms(pages),
-        "seo_tags": elements.seo_tags(pages),
-        "schema_markup": elements.schema_markup(pages),
-        "contacts": elements.page_contacts(texts),
+        "page_summary": page_summary(ready, businesses),
+        "headings": elements.filled_headings(ready),
+        "links": elements.listed_links(ready),
+        "images": media.where(F.col("kind") == "image"),
+        "media": media,
+        "forms": elements.forms(ready),
+        "seo_tags": elements.seo_tags(ready),
+        "schema_markup": elements.schema_markup(ready),
+        "contacts": elements.page_contacts(ready.select("page_id", "text")),
         "business_data": businesses,
-        "previews": previews(pages),
+        "previews": previews(ready),
     }
 
 
 def previews(pages: DataFrame, limit: int = 1000) -> DataFrame:
     """The first characters of each page's HTML and text."""
     html = F.col("html")
-    read = pages.select("page_id", "html", forms.drop_marker_noise(readable_text(html)).alias("text"))
+    text = F.col("text") if "text" in pages.columns else readable_text(html)
+    read = pages.select("page_id", "html", forms.drop_marker_noise(text).alias("text"))
     return read.select(
         "page_id", X.preview(html, limit).alias("html"), X.preview(F.col("text"), limit).alias("text")
     )

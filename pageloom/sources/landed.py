@@ -73,26 +73,24 @@ def find_pages(wanted: DataFrame, items: DataFrame) -> DataFrame:
 def text_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Text files of root/<site>/pretty_pages, else raw_pages, as (site, path, category, text).
 
-    The category is the part of the file name before its first dash. Sites have few folders, so the
-    choice of folder is made on distinct (site, folder) pairs and not on the texts.
+    The category is the part of the file name before its first dash. The folder of a site is chosen from
+    the file names alone, so no text is read for it.
     """
-    files = (
-        spark.read.option("pathGlobFilter", "*.txt")
-        .option("recursiveFileLookup", True)
-        .text(root, wholetext=True)
-        .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
-    )
+    listing = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True)
+    texts = listing.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    names = listing.format("binaryFile").load(root).select(F.col("_metadata.file_path").alias("path"))
+    chosen = _in_folders(names).groupBy("site").agg(F.min("folder").alias("folder"))
+    placed = _in_folders(texts).join(chosen, ["site", "folder"], "left_semi")
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.txt$", "")
+    category = F.when(stem.contains("-"), F.split_part(stem, F.lit("-"), F.lit(1))).otherwise("unknown")
+    return placed.select("site", "folder", "path", category.alias("category"), "text")
+
+
+def _in_folders(files: DataFrame) -> DataFrame:
+    """Files with the site and folder their path names, of the two text folders only."""
     parts = F.split("path", "/")
-    stem = F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "")
-    placed = files.select(
-        F.element_at(parts, -3).alias("site"),
-        F.element_at(parts, -2).alias("folder"),
-        "path",
-        F.when(stem.contains("-"), F.split_part(stem, F.lit("-"), F.lit(1))).otherwise("unknown").alias("category"),
-        "text",
-    ).where(F.col("folder").isin("pretty_pages", "raw_pages"))
-    chosen = placed.groupBy("site").agg(F.min("folder").alias("folder"))
-    return placed.join(chosen, ["site", "folder"], "left_semi")
+    named = files.select(F.element_at(parts, -3).alias("site"), F.element_at(parts, -2).alias("folder"), "*")
+    return named.where(F.col("folder").isin("pretty_pages", "raw_pages"))
 
 
 def raw_files(spark: SparkSession, path: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_full_marks_and_none(pages):
 
 def test_score_is_the_sum_of_its_parts(pages):
     df = audit.page_audit(pages(FULL, FULL.replace("<h1>a</h1>", ""), "<title>x</title>", "<img src=a><img src=b alt=''>"))
-    total = sum((F.col(name) for name in audit.points()), F.lit(0))
+    total = sum((F.col(name) for name in audit.POINTS), F.lit(0))
     assert df.where((total != F.col("seo_score")) | ~F.col("seo_score").between(0, 100)).count() == 0
 
 

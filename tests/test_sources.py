@@ -157,6 +157,20 @@ def test_every_extract_table_runs(pages):
         assert table.count() >= (0 if name == "business_data" else 1), name
 
 
+def test_stored_extract_equals_the_direct_one(pages, tmp_path):
+    html = '<title>t</title><h1>a</h1><a href="/b">c</a><img src="/i.png" alt="x"><form><input name="q"></form><script type="application/ld+json">{"a":1}</script>x@y.test'
+    df = pages(html, "plain")
+    direct = page_extract.page_extract(df)
+    stored = page_extract.page_extract(df, store=str(tmp_path / "store"))
+    for name, table in direct.items():
+        other = stored[name]
+        if name == "page_summary":
+            table, other = table.drop("extracted_at"), other.drop("extracted_at")
+        if name == "schema_markup":
+            table, other = (t.withColumn("markup", F.to_json("markup")) for t in (table, other))
+        assert rows(table) == rows(other.select(table.columns)), name
+
+
 def test_business_csv_joins_lists(spark):
     df = spark.range(1).select(
         F.lit("Acme").alias("name"), *[F.lit(None).cast("string").alias(c) for c in ("address", "address_url", "phone", "website_url")],
