@@ -42,7 +42,13 @@ def settled(df: DataFrame) -> DataFrame:
     Where the cluster names a shared folder the table is checkpointed there and survives lost executors;
     elsewhere the plan stays as it is.
     """
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def shared_dir(spark: SparkSession) -> str:
