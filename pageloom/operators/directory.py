@@ -8,6 +8,8 @@ job pairs all names of a page with each other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,23 +122,36 @@ def _filled_lines(text: Column) -> Column:
     return F.filter(forms.text_lines(text), lambda line: line != "")
 
 
+def _entries(
+    source: DataFrame, name: str, array: Callable[[], Column], likely: Column | None = None
+) -> DataFrame:
+    """Rows (page_id, pos, e) of one kind of raw entry.
+
+    A table of candidates has the entries as a column. Otherwise they are read off the source, of which
+    the plain test 'likely' keeps what can hold any.
+    """
+    if name in source.columns:
+        return exploded(source, name, "page_id")
+    return exploded(source if likely is None else source.where(likely), array(), "page_id")
+
+
+def line_block_array(text: Column) -> Column:
+    """array<struct<name, lines>>: an all-capitals name line and the lines up to the next one."""
+
+    def blocks(lines: Column) -> Column:
+        at = F.transform(lines, lambda line, i: F.when(_is_header(line), i))
+        return let(F.array_compact(at), lambda heads: F.transform(heads, lambda head, k: block(lines, heads, head, k)))
+
+    def block(lines: Column, heads: Column, head: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(heads, k + 1), F.size(lines))
+        return F.struct(F.get(lines, head).alias("name"), F.slice(lines, head + 2, end - head - 1).alias("lines"))
+
+    return let(_filled_lines(text), blocks)
+
+
 def line_businesses(texts: DataFrame) -> DataFrame:
     """Listings of texts(page_id, text) that open with an all-capitals name line."""
-    lined = texts.select("page_id", _filled_lines(F.col("text")).alias("lines"))
-    marked = lined.select(
-        "page_id",
-        "lines",
-        F.filter(F.transform("lines", lambda x, i: F.when(_is_header(x), i)), lambda i: i.isNotNull()).alias("heads"),
-    )
-    lines, heads = F.col("lines"), F.col("heads")
-    blocks = F.transform(
-        heads,
-        lambda head, k: F.struct(
-            F.get(lines, head).alias("name"),
-            F.slice(lines, head + 2, F.coalesce(F.get(heads, k + 1), F.size(lines)) - head - 1).alias("lines"),
-        ),
-    )
-    rows = exploded(marked, blocks, "page_id")
+    rows = _entries(texts, "line_blocks", lambda: line_block_array(F.col("text")))
     read = rows.select("page_id", "pos", F.col("e.name").alias("name"), _listing(F.col("e.lines")).alias("r"))
     return _with_listing(read, "lines")
 
@@ -157,31 +172,35 @@ def _with_listing(read: DataFrame, source: str, *extra: str) -> DataFrame:
     )
 
 
+def _has_blocks(html: Column) -> Column:
+    classes = "|".join(fixed.BLOCK_CLASSES)
+    return html.rlike(rf"(?is)<(?:div|article|section)\b[^>]*class\s*=[^>]*(?:{classes})")
+
+
+def block_array(html: Column) -> Column:
+    """array<struct<block_no, is_outermost, lines>> of the listing blocks with two lines or more."""
+    lined = F.transform(
+        html_blocks(html),
+        lambda b: F.struct(
+            b["block_no"].alias("block_no"),
+            b["is_outermost"].alias("is_outermost"),
+            _filled_lines(b["text"]).alias("lines"),
+        ),
+    )
+    return F.filter(lined, lambda b: F.size(b["lines"]) >= 2)
+
+
 def block_businesses(pages: DataFrame) -> DataFrame:
     """Listings in div, article and section elements whose class names a listing.
 
     Only pages that mention such a class reach the parser. Nested blocks repeat their text and are
     told apart by is_outermost.
     """
-    html = F.col("html")
-    classes = "|".join(fixed.BLOCK_CLASSES)
-    likely = pages.where(html.rlike(rf"(?is)<(?:div|article|section)\b[^>]*class\s*=[^>]*(?:{classes})"))
-    parsed = likely.select("page_id", html_blocks(html).alias("blocks"))
-    lined = F.filter(
-        F.transform(
-            "blocks",
-            lambda b: F.struct(
-                b["block_no"].alias("pos"),
-                b["is_outermost"].alias("is_outermost"),
-                _filled_lines(b["text"]).alias("lines"),
-            ),
-        ),
-        lambda b: F.size(b["lines"]) >= 2,
-    )
-    lines = F.col("e.lines")
-    read = exploded(parsed, lined, "page_id").select(
+    html, lines = F.col("html"), F.col("e.lines")
+    rows = _entries(pages, "blocks", lambda: block_array(html), _has_blocks(html))
+    read = rows.select(
         "page_id",
-        F.col("e.pos").alias("pos"),
+        F.col("e.block_no").alias("pos"),
         F.col("e.is_outermost").alias("is_outermost"),
         F.get(lines, F.lit(0)).alias("name"),
         _listing(F.slice(lines, 2, F.size(lines))).alias("r"),
@@ -290,8 +309,10 @@ def with_markers(pages: DataFrame) -> DataFrame:
 
 def business_details(pages: DataFrame) -> DataFrame:
     """One row per marker with phone, website, e-mail, address and services found at its name."""
-    found = with_markers(_mapped(pages).select("page_id", "html")).select("page_id", "markers", "text")
-    return exploded(found, detail_array(F.col("markers"), F.col("text")), "page_id").select("page_id", "pos", "e.*")
+    if "details" not in pages.columns:
+        pages = with_markers(_mapped(pages).select("page_id", "html")).select("page_id", "markers", "text")
+    rows = _entries(pages, "details", lambda: detail_array(F.col("markers"), F.col("text")))
+    return rows.select("page_id", "pos", "e.*")
 
 
 def detail_businesses(pages: DataFrame) -> DataFrame:
@@ -318,12 +339,9 @@ def detail_businesses(pages: DataFrame) -> DataFrame:
 # --- raw directory pages ----------------------------------------------------------------------
 
 
-def map_businesses(texts: DataFrame) -> DataFrame:
-    """Businesses of the map widget in raw directory texts(page_id, text)."""
-    mapped = texts.where(F.col("text").contains("map_markers="))
-    quoted = F.concat(
-        F.regexp_extract("text", QUOTED_MARKER_LIST, 1), F.regexp_extract("text", QUOTED_MARKER_LIST, 2)
-    )
+def map_entry_array(text: Column) -> Column:
+    """array<struct<pos, lat, lon, info, parts>> of the map widget of a raw directory text."""
+    quoted = F.concat(F.regexp_extract(text, QUOTED_MARKER_LIST, 1), F.regexp_extract(text, QUOTED_MARKER_LIST, 2))
 
     def entry(marker: Column, i: Column) -> Column:
         info = squash(X.decode_entities(F.regexp_extract(marker, INFO_MARKER, 3)))
@@ -341,11 +359,17 @@ def map_businesses(texts: DataFrame) -> DataFrame:
             ),
         )
 
-    entries = F.filter(
+    return F.filter(
         F.transform(every(quoted, INFO_MARKER), entry),
         lambda e: (F.length(e["info"]) >= 10) & (F.size(e["parts"]) > 0),
     )
-    parted = exploded(mapped, entries, "page_id").select("page_id", "e.*")
+
+
+def map_businesses(texts: DataFrame) -> DataFrame:
+    """Businesses of the map widget in raw directory texts(page_id, text)."""
+    text = F.col("text")
+    rows = _entries(texts, "map_entries", lambda: map_entry_array(text), text.contains("map_markers="))
+    parted = rows.select("page_id", "e.*")
     classed = parted.select(
         "*",
         F.transform(
@@ -391,8 +415,9 @@ ROW = r"(?s)\[vc_row_inner[^\]]*\](.*?)\[/vc_row_inner\]"
 CELL = r"(?s)\[vc_column_text\](.*?)\[/vc_column_text\]"
 
 
-def table_businesses(texts: DataFrame) -> DataFrame:
-    """Businesses of table-like rows in raw directory texts: name, address, phone, then services."""
+def table_row_array(text: Column) -> Column:
+    """array<struct<pos, cells>> of the table-like rows that hold three cells or more and a phone."""
+
     def cells(row: Column) -> Column:
         found = F.transform(every(row, CELL, 1), lambda c: squash(X.decode_entities(c)))
         return F.filter(found, lambda c: c != "")
@@ -401,12 +426,17 @@ def table_businesses(texts: DataFrame) -> DataFrame:
         likely = ~row.contains("divider") & (F.length(strip(row)) >= 100)
         return F.struct(i.alias("pos"), F.when(likely, cells(row)).alias("cells"))
 
-    tabled = texts.where(F.col("text").contains("[vc_row_inner"))
-    rows = F.filter(
-        F.transform(every(F.col("text"), ROW, 1), listed),
+    return F.filter(
+        F.transform(every(text, ROW, 1), listed),
         lambda r: (F.size(r["cells"]) >= 3) & F.exists(r["cells"], lambda c: c.rlike(fixed.PAGE_PHONES[0])),
     )
-    celled = exploded(tabled, rows, "page_id").select("page_id", "e.*")
+
+
+def table_businesses(texts: DataFrame) -> DataFrame:
+    """Businesses of table-like rows in raw directory texts: name, address, phone, then services."""
+    text = F.col("text")
+    rows = _entries(texts, "table_rows", lambda: table_row_array(text), text.contains("[vc_row_inner"))
+    celled = rows.select("page_id", "e.*")
     address = F.get("cells", F.lit(1))
     labels = F.flatten(
         F.transform(F.slice(F.col("cells"), 4, F.size("cells")), lambda c: service_labels("cell", c))
@@ -482,6 +512,10 @@ def _section_array(html: Column) -> Column:
     )
 
 
+def _filled_sections(html: Column) -> Column:
+    return F.filter(_section_array(html), lambda s: F.size(s["lines"]) > 0)
+
+
 def _section_kind(line: Column, second: Column) -> Column:
     lower = F.lower(line)
     address = (
@@ -510,9 +544,9 @@ def section_businesses(pages: DataFrame, start_marker: str | None = None) -> Dat
     before = page.rowsBetween(W.unboundedPreceding, -1)
     upto = page.rowsBetween(W.unboundedPreceding, W.currentRow)
 
-    coded = pages.where(F.col("html").contains("[vc_column_text"))
-    held = F.filter(_section_array(F.col("html")), lambda s: F.size(s["lines"]) > 0)
-    filled = exploded(coded, held, "page_id").select("page_id", "e.*")
+    html = F.col("html")
+    rows = _entries(pages, "sections", lambda: _filled_sections(html), html.contains("[vc_column_text"))
+    filled = rows.select("page_id", "e.*")
     classed = filled.select(
         "page_id",
         "pos",
@@ -594,11 +628,17 @@ def section_businesses(pages: DataFrame, start_marker: str | None = None) -> Dat
     )
 
 
+def point_line_array(html: Column) -> Column:
+    """array<array<string>>: the parts of the lines of the first section that holds coordinates."""
+    held = F.filter(every(html, SECTION, 1), lambda s: s.rlike(_COORDINATES))
+    return F.transform(F.split(F.get(held, F.lit(0)), "<br />", -1), lambda line: F.split(line, r"\|", -1))
+
+
 def marker_lines(pages: DataFrame) -> DataFrame:
     """Coordinate lines (lat | lon | name) of the first section of a page that holds any."""
-    held = F.filter(every(F.col("html"), SECTION, 1), lambda s: s.rlike(_COORDINATES))
-    lines = exploded(pages, F.split(F.get(held, F.lit(0)), "<br />", -1), "page_id")
-    parts = lines.select("page_id", "pos", F.split("e", r"\|", -1).alias("p")).where(F.size("p") >= 3)
+    html = F.col("html")
+    rows = _entries(pages, "point_lines", lambda: point_line_array(html), html.contains("[vc_column_text"))
+    parts = rows.select("page_id", "pos", F.col("e").alias("p")).where(F.size("p") >= 3)
     return parts.select(
         "page_id",
         "pos",
@@ -771,17 +811,35 @@ def choose_route(routes: list[DataFrame]) -> DataFrame:
     return union.withColumn("_best", best).where(F.col("route") == F.col("_best")).drop("_best")
 
 
+def candidates(pages: DataFrame) -> DataFrame:
+    """Everything the routes look for, read off each page at once: page_id and one array per kind.
+
+    The table is small beside the pages. All route jobs take it in place of pages or texts.
+    """
+    html = F.col("html")
+    mapped, coded = html.contains("map_markers="), html.contains("[vc_column_text")
+    read = with_markers(pages.select("page_id", "html"))
+    return read.select(
+        "page_id",
+        F.when(mapped, detail_array(F.col("markers"), F.col("text"))).alias("details"),
+        line_block_array(F.col("text")).alias("line_blocks"),
+        block_array(F.when(_has_blocks(html), html)).alias("blocks"),
+        F.when(mapped, map_entry_array(html)).alias("map_entries"),
+        F.when(html.contains("[vc_row_inner"), table_row_array(html)).alias("table_rows"),
+        F.when(coded, _filled_sections(html)).alias("sections"),
+        F.when(coded, point_line_array(html)).alias("point_lines"),
+    )
+
+
 def page_businesses(pages: DataFrame, start_marker: str | None = None) -> DataFrame:
     """The business listings of each page by the first route that finds any: map markers with details,
     directory lines and blocks, table and map merge, shortcode sections."""
-    texts = with_markers(pages.select("page_id", "html")).select("page_id", "text")
-    raw = pages.select("page_id", F.col("html").alias("text"))
-    coded = pages.where(F.col("html").contains("[vc_"))
+    found = settled(candidates(pages))
     return choose_route(
         [
-            detail_businesses(pages).withColumn("part", F.lit(1)),
-            directory_businesses(pages, texts),
-            merged_businesses(raw).drop("priority").withColumn("part", F.lit(1)),
-            shortcode_businesses(coded, start_marker),
+            detail_businesses(found).withColumn("part", F.lit(1)),
+            directory_businesses(found, found),
+            merged_businesses(found).drop("priority").withColumn("part", F.lit(1)),
+            shortcode_businesses(found, start_marker),
         ]
     )
