@@ -52,6 +52,44 @@ MAP_STREET = (
 )
 MAP_CITY = r"[A-Za-z\s]+,\s*[A-Z]{2}\s*\d{5}"
 
+# Page elements.
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+JSON_LD = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
+VIDEO_HOSTS = "(?i)youtube|vimeo|wistia"
+
+# Page-builder shortcodes: families with the tags they open or close, raw HTML, and all others. Heading
+# marks such as [H2] are ours and stay.
+SHORTCODES = {
+    "visual_composer": r"(?i)\[vc_\w+[^\]]*\]|\[/vc_\w+\]",
+    "elementor": r"(?i)\[elementor-template[^\]]*\]|\[/elementor-template\]",
+    "divi": r"(?i)\[et_pb_\w+[^\]]*\]|\[/et_pb_\w+\]",
+    "nectar": r"(?i)\[nectar_\w+[^\]]*\]",
+    "divider": r"(?i)\[divider[^\]]*\]|\[/divider\]",
+    "ultimate": r"(?i)\[ultimate_\w+[^\]]*\]|\[/ultimate_\w+\]",
+}
+RAW_HTML_SHORTCODE = r"(?i)\[vc_raw_html\][^\[]*\[/vc_raw_html\]"
+OTHER_SHORTCODE = r'\[(?!H[1-6]\])\w+(?:\s+\w+="[^"]*")*\s*\]|\[/\w+\]'
+
+# What map widgets leave in a text.
+MAP_SHORTCODE = r"\[nectar_gmap[^\]]*\]"
+MAP_POINT_LINE = r"\d+\.\d+\s*\|\s*-?\d+\.\d+[^\n]*"
+MAP_URL = r"https://\S*google\.com/maps\S*|https://maps\.app\.goo\.gl/\S*"
+
+# Directory markup.
+TABLE_ROW = r"(?s)\[vc_row_inner[^\]]*\](.*?)\[/vc_row_inner\]"
+TABLE_CELL = r"(?s)\[vc_column_text\](.*?)\[/vc_column_text\]"
+TEXT_SECTION = r"(?s)\[vc_column_text[^\]]*\](.*?)\[/vc_column_text\]"
+MARKER_LIST = r'map_markers="([^"]+)"'
+QUOTED_MARKER_LIST = r"(?s)map_markers=(?:&#8221;(.*?)&#8221;|\"(.*?)\")"
+POINT = r"([\d.-]+)\s*\|\s*([\d.-]+)\s*\|\s*"
+COORDINATES = r"\d+\.\d+\s*\|\s*-?\d+\.\d+"
+PHONE_ONLY = r"^\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}$"
+WEBSITE_LINE = r"Website \| (https?://\S+)"
+MAP_ANCHOR = r"""<a[^>]*href=["']([^"']*google\.com/maps[^"']*)["'][^>]*>"""
+HREFS = (r'(?i)href="([^"]*)"', r"(?i)href='([^']*)'", r"(?i)href=([^\s>]+)")
+MAP_QUERY = "https://maps.google.com/?q="
+DETAIL_SERVICES = ("Docks & Lifts", "Trailers")
+
 # Directory words.
 SERVICE_WORDS = ("service", "repair", "parts", "sales", "marine", "boat", "engine", "motor")
 LABEL_WORDS = ("website", "email", "contact", "phone", "address", "http")

@@ -12,19 +12,6 @@ ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]*"|'[^']*')[^>]*>.*?</a>""
 FILLED_ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]+"|'[^']+')[^>]*>.*?</a>"""
 CODE = r"(?is)<(script|style).*?</\1>"
 
-# Shortcode families and the tags they open or close.
-SHORTCODES = {
-    "visual_composer": r"(?i)\[vc_\w+[^\]]*\]|\[/vc_\w+\]",
-    "elementor": r"(?i)\[elementor-template[^\]]*\]|\[/elementor-template\]",
-    "divi": r"(?i)\[et_pb_\w+[^\]]*\]|\[/et_pb_\w+\]",
-    "nectar": r"(?i)\[nectar_\w+[^\]]*\]",
-    "divider": r"(?i)\[divider[^\]]*\]|\[/divider\]",
-    "ultimate": r"(?i)\[ultimate_\w+[^\]]*\]|\[/ultimate_\w+\]",
-}
-RAW_HTML_SHORTCODE = r"(?i)\[vc_raw_html\][^\[]*\[/vc_raw_html\]"
-# Heading marks such as [H2] are ours and stay.
-OTHER_SHORTCODE = r'\[(?!H[1-6]\])\w+(?:\s+\w+="[^"]*")*\s*\]|\[/\w+\]'
-
 
 def raw_text(html: Column) -> Column:
     """Tags dropped, line breaks at paragraph ends; references stay as written."""
@@ -56,22 +43,20 @@ def link_text(html: Column) -> Column:
 
 def drop_shortcodes(text: Column) -> Column:
     """Page-builder shortcodes go, their contents stay."""
-    builders = "(?i)" + "|".join(p.removeprefix("(?i)") for p in SHORTCODES.values())
+    builders = "(?i)" + "|".join(p.removeprefix("(?i)") for p in fixed.SHORTCODES.values())
 
     def cleaned(t: Column) -> Column:
-        kept = F.regexp_replace(F.regexp_replace(t, RAW_HTML_SHORTCODE, ""), builders, "")
-        return F.when(t.contains("["), F.regexp_replace(kept, OTHER_SHORTCODE, "")).otherwise(t)
+        kept = F.regexp_replace(F.regexp_replace(t, fixed.RAW_HTML_SHORTCODE, ""), builders, "")
+        return F.when(t.contains("["), F.regexp_replace(kept, fixed.OTHER_SHORTCODE, "")).otherwise(t)
 
     return let(text, cleaned)
 
 
 def drop_marker_noise(text: Column) -> Column:
     """Remove what map widgets leave behind in a text."""
-    text = F.regexp_replace(text, r"\[nectar_gmap[^\]]*\]", "")
-    text = F.regexp_replace(text, r"\d+\.\d+\s*\|\s*-?\d+\.\d+[^\n]*", "")
-    return F.regexp_replace(
-        text, r"https://\S*google\.com/maps\S*|https://maps\.app\.goo\.gl/\S*", fixed.MAP_LINK
-    )
+    text = F.regexp_replace(text, fixed.MAP_SHORTCODE, "")
+    text = F.regexp_replace(text, fixed.MAP_POINT_LINE, "")
+    return F.regexp_replace(text, fixed.MAP_URL, fixed.MAP_LINK)
 
 
 def directory_text(text: Column) -> Column:

@@ -17,8 +17,6 @@ OPEN_TAG = "^<[^>]*>"
 PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>.*?</p>"
 IMAGE = r"(?i)<img\b[^>]*>"
 FORM = r"(?is)<form\b[^>]*>.*?</form>"
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-JSON_LD = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 # Tags whose quoted values may hold any character, the closing bracket too.
 META = r"""(?i)<meta\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 LINK_TAG = r"""(?i)<link\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
@@ -117,7 +115,7 @@ def media_urls(html: Column, base: Column) -> Column:
     return flat(
         [
             of("video", 1, "video", ""),
-            of("video", 2, "iframe", "(?i)youtube|vimeo|wistia"),
+            of("video", 2, "iframe", fixed.VIDEO_HOSTS),
             of("video", 3, "embed", "(?i)video"),
             of("audio", 1, "audio", ""),
         ]
@@ -158,7 +156,7 @@ def form_fields(body: Column) -> Column:
 
 def title(html: Column) -> Column:
     """Stripped title text, references unresolved; empty without a title tag."""
-    return strip(F.regexp_extract(html, TITLE, 1))
+    return strip(F.regexp_extract(html, fixed.TITLE, 1))
 
 
 def metas(html: Column) -> Column:
@@ -185,7 +183,7 @@ def canonical(html: Column) -> Column:
 
 def json_ld(html: Column) -> Column:
     """array<variant> of the structured-data scripts that parse."""
-    parsed = F.transform(every(html, JSON_LD, 1), lambda s: F.try_parse_json(strip(s)))
+    parsed = F.transform(every(html, fixed.JSON_LD, 1), lambda s: F.try_parse_json(strip(s)))
     return F.filter(parsed, lambda v: v.isNotNull())
 
 

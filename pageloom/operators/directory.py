@@ -216,17 +216,15 @@ def directory_businesses(pages: DataFrame, texts: DataFrame) -> DataFrame:
 
 # --- map markers ------------------------------------------------------------------------------
 
-_POINT = r"([\d.-]+)\s*\|\s*([\d.-]+)\s*\|\s*"
 _NEXT_POINT = r"[\d.-]+\s*\|\s*[\d.-]+\s*\|"
-MARKER = _POINT + rf"([^\r\n|]+?)(?=\s*{_NEXT_POINT}|[\r\n]|\s*\z)"
-MARKER_LIST = r'map_markers="([^"]+)"'
-QUOTED_MARKER_LIST = r"(?s)map_markers=(?:&#8221;(.*?)&#8221;|\"(.*?)\")"
-INFO_MARKER = _POINT + rf"([^\r\n]+?)(?=\s*{_NEXT_POINT}|[\r\n]|\z)"
+# A name ends where the next point starts, even on the same line.
+MARKER = fixed.POINT + rf"([^\r\n|]+?)(?=\s*{_NEXT_POINT}|[\r\n]|\s*\z)"
+INFO_MARKER = fixed.POINT + rf"([^\r\n]+?)(?=\s*{_NEXT_POINT}|[\r\n]|\z)"
 
 
 def marker_array(html: Column) -> Column:
     """array<struct<lat, lon, name>> of a page's map, entries without usable numbers dropped."""
-    entries = every(F.regexp_extract(html, MARKER_LIST, 1), MARKER)
+    entries = every(F.regexp_extract(html, fixed.MARKER_LIST, 1), MARKER)
     parsed = F.transform(
         entries,
         lambda e: F.struct(
@@ -280,16 +278,14 @@ def detail_array(markers: Column, text: Column) -> Column:
             marker["lat"].alias("lat"),
             marker["lon"].alias("lon"),
             first(s, fixed.DASHED_PHONE).alias("phone"),
-            first(s, r"Website \| (https?://\S+)", 1).alias("website"),
+            first(s, fixed.WEBSITE_LINE, 1).alias("website"),
             F.nullif(F.regexp_extract(s, fixed.EMAIL, 0), F.lit("")).alias("email"),
             part(2 - 1, None).alias("street"),
             part(2, 1).alias("city"),
             part(3, 2).alias("state"),
             part(4, 3).alias("zip_code"),
             F.array_compact(
-                F.array(
-                    F.when(s.contains("Docks & Lifts"), "Docks & Lifts"), F.when(s.contains("Trailers"), "Trailers")
-                )
+                F.array(*[F.when(s.contains(label), F.lit(label)) for label in fixed.DETAIL_SERVICES])
             ).alias("services"),
         )
 
@@ -341,7 +337,7 @@ def detail_businesses(pages: DataFrame) -> DataFrame:
 
 def map_entry_array(text: Column) -> Column:
     """array<struct<pos, lat, lon, info, parts>> of the map widget of a raw directory text."""
-    quoted = F.concat(F.regexp_extract(text, QUOTED_MARKER_LIST, 1), F.regexp_extract(text, QUOTED_MARKER_LIST, 2))
+    quoted = F.concat(F.regexp_extract(text, fixed.QUOTED_MARKER_LIST, 1), F.regexp_extract(text, fixed.QUOTED_MARKER_LIST, 2))
 
     def entry(marker: Column, i: Column) -> Column:
         info = squash(X.decode_entities(F.regexp_extract(marker, INFO_MARKER, 3)))
@@ -399,7 +395,7 @@ def map_businesses(texts: DataFrame) -> DataFrame:
         *_business(
             name=F.get("parts", F.lit(0)),
             address=address,
-            address_url=F.concat(F.lit("https://maps.google.com/?q="), point),
+            address_url=F.concat(F.lit(fixed.MAP_QUERY), point),
             phone=F.coalesce(F.try_element_at(phones, F.lit(-1))["line"], F.lit("")),
             website_url=F.lit(""),
             lat=lat,
@@ -411,15 +407,11 @@ def map_businesses(texts: DataFrame) -> DataFrame:
     )
 
 
-ROW = r"(?s)\[vc_row_inner[^\]]*\](.*?)\[/vc_row_inner\]"
-CELL = r"(?s)\[vc_column_text\](.*?)\[/vc_column_text\]"
-
-
 def table_row_array(text: Column) -> Column:
     """array<struct<pos, cells>> of the table-like rows that hold three cells or more and a phone."""
 
     def cells(row: Column) -> Column:
-        found = F.transform(every(row, CELL, 1), lambda c: squash(X.decode_entities(c)))
+        found = F.transform(every(row, fixed.TABLE_CELL, 1), lambda c: squash(X.decode_entities(c)))
         return F.filter(found, lambda c: c != "")
 
     def listed(row: Column, i: Column) -> Column:
@@ -427,7 +419,7 @@ def table_row_array(text: Column) -> Column:
         return F.struct(i.alias("pos"), F.when(likely, cells(row)).alias("cells"))
 
     return F.filter(
-        F.transform(every(text, ROW, 1), listed),
+        F.transform(every(text, fixed.TABLE_ROW, 1), listed),
         lambda r: (F.size(r["cells"]) >= 3) & F.exists(r["cells"], lambda c: c.rlike(fixed.PAGE_PHONES[0])),
     )
 
@@ -448,7 +440,7 @@ def table_businesses(texts: DataFrame) -> DataFrame:
         *_business(
             name=F.get("cells", F.lit(0)),
             address=address,
-            address_url=F.concat(F.lit("https://maps.google.com/?q="), query),
+            address_url=F.concat(F.lit(fixed.MAP_QUERY), query),
             phone=F.get("cells", F.lit(2)),
             website_url=F.lit(""),
             services=let(
@@ -484,11 +476,6 @@ def source_counts(businesses: DataFrame) -> DataFrame:
 
 # --- shortcode sections -----------------------------------------------------------------------
 
-SECTION = r"(?s)\[vc_column_text[^\]]*\](.*?)\[/vc_column_text\]"
-_PHONE_LINE = r"^\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}$"
-_COORDINATES = r"\d+\.\d+\s*\|\s*-?\d+\.\d+"
-
-
 def _three_entities(text: Column) -> Column:
     for entity, char in (("&amp;", "&"), ("&#8217;", "'"), ("&#8243;", '"')):
         text = F.replace(text, F.lit(entity), F.lit(char))
@@ -505,7 +492,7 @@ def sections(pages: DataFrame) -> DataFrame:
 def _section_array(html: Column) -> Column:
     """array<struct<pos, raw, lines>>."""
     return F.transform(
-        every(html, SECTION, 1),
+        every(html, fixed.TEXT_SECTION, 1),
         lambda raw, i: F.struct(
             i.alias("pos"), raw.alias("raw"), _filled_lines(_three_entities(X.drop_tags(raw))).alias("lines")
         ),
@@ -526,9 +513,9 @@ def _section_kind(line: Column, second: Column) -> Column:
     return (
         F.when(lower == "website", "website")
         .when(X.has_any(lower, fixed.LABEL_WORDS), "label")
-        .when(line.rlike(_PHONE_LINE), "phone")
+        .when(line.rlike(fixed.PHONE_ONLY), "phone")
         .when(address, "address")
-        .when(line.rlike(_COORDINATES), "coordinates")
+        .when(line.rlike(fixed.COORDINATES), "coordinates")
         .otherwise("name")
     )
 
@@ -579,10 +566,7 @@ def section_businesses(pages: DataFrame, start_marker: str | None = None) -> Dat
     second = F.get("lines", F.lit(1))
     tail = (F.length(second) < 20) & (second.startswith("&") | F.lower(second).isin(*fixed.NAME_TAILS))
     full_name = F.concat_ws(" ", F.get("lines", F.lit(0)), F.when(tail, second))
-    links = [
-        first(F.col("next_raw"), pattern, 1)
-        for pattern in (r'(?i)href="([^"]*)"', r"(?i)href='([^']*)'", r"(?i)href=([^\s>]+)")
-    ]
+    links = [first(F.col("next_raw"), pattern, 1) for pattern in fixed.HREFS]
     site = F.coalesce(
         *[F.when(link.startswith("http") & ~link.contains("google.com/maps"), link) for link in links]
     )
@@ -594,7 +578,7 @@ def section_businesses(pages: DataFrame, start_marker: str | None = None) -> Dat
         F.when(kind == "name", full_name).alias("name"),
         F.when(kind == "phone", F.get("lines", F.lit(0))).alias("phone"),
         F.when(kind == "address", F.array_join("lines", ", ")).alias("address"),
-        F.when(kind == "address", first(F.col("raw"), r"""<a[^>]*href=["']([^"']*google\.com/maps[^"']*)["'][^>]*>""", 1)).alias(
+        F.when(kind == "address", first(F.col("raw"), fixed.MAP_ANCHOR, 1)).alias(
             "address_url"
         ),
         F.when(kind == "website", site).alias("website_url"),
@@ -630,7 +614,7 @@ def section_businesses(pages: DataFrame, start_marker: str | None = None) -> Dat
 
 def point_line_array(html: Column) -> Column:
     """array<array<string>>: the parts of the lines of the first section that holds coordinates."""
-    held = F.filter(every(html, SECTION, 1), lambda s: s.rlike(_COORDINATES))
+    held = F.filter(every(html, fixed.TEXT_SECTION, 1), lambda s: s.rlike(fixed.COORDINATES))
     return F.transform(F.split(F.get(held, F.lit(0)), "<br />", -1), lambda line: F.split(line, r"\|", -1))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions import forms, stats
+from pageloom.functions import fixed, forms, stats
 from pageloom.functions import text as X
 from pageloom.functions.rows import exploded
 
@@ -62,7 +62,7 @@ def shortcode_counts(texts: DataFrame) -> DataFrame:
     return texts.select(
         *keys,
         forms.drop_shortcodes(F.col("text")).alias("text"),
-        *[stats.count_of(F.col("text"), p).alias(f"{family}_count") for family, p in forms.SHORTCODES.items()],
+        *[stats.count_of(F.col("text"), p).alias(f"{family}_count") for family, p in fixed.SHORTCODES.items()],
     )
 
 
