@@ -9,6 +9,7 @@ job pairs all names of a page with each other.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -785,25 +786,17 @@ def shortcode_businesses(pages: DataFrame, start_marker: str | None = None) -> D
     )
 
 
-def choose_route(routes: list[DataFrame]) -> DataFrame:
-    """Businesses of the first route that found any, page by page."""
-    numbered = [r.withColumn("route", F.lit(n)) for n, r in enumerate(routes, 1)]
-    union = numbered[0]
-    for other in numbered[1:]:
-        union = union.unionByName(other, allowMissingColumns=True)
-    best = F.min("route").over(W.partitionBy("page_id"))
-    return union.withColumn("_best", best).where(F.col("route") == F.col("_best")).drop("_best")
-
-
 def candidates(pages: DataFrame) -> DataFrame:
     """Everything the routes look for, read off each page at once: page_id and one array per kind.
 
-    The table is small beside the pages. All route jobs take it in place of pages or texts.
+    The table is small beside the pages. All route jobs take it in place of pages or texts. route numbers
+    the first route that finds anything on a page: map markers with details, directory lines and
+    blocks, table and map merge, shortcode sections.
     """
     html = F.col("html")
     mapped, coded = html.contains("map_markers="), html.contains("[vc_column_text")
     read = with_markers(pages.select("page_id", "html"))
-    return read.select(
+    found = read.select(
         "page_id",
         F.when(mapped, detail_array(F.col("markers"), F.col("text"))).alias("details"),
         line_block_array(F.col("text")).alias("line_blocks"),
@@ -813,17 +806,31 @@ def candidates(pages: DataFrame) -> DataFrame:
         F.when(coded, _filled_sections(html)).alias("sections"),
         F.when(coded, point_line_array(html)).alias("point_lines"),
     )
+    some = lambda name: F.coalesce(F.size(name), F.lit(0)) > 0
+    route = (
+        F.when(some("details"), 1)
+        .when(some("line_blocks") | some("blocks"), 2)
+        .when(some("map_entries") | some("table_rows"), 3)
+        .otherwise(4)
+    )
+    return found.withColumn("route", route)
 
 
 def page_businesses(pages: DataFrame, start_marker: str | None = None) -> DataFrame:
-    """The business listings of each page by the first route that finds any: map markers with details,
-    directory lines and blocks, table and map merge, shortcode sections."""
+    """The business listings of each page by its first route that finds any.
+
+    A page's route is known from its own row, so no page is regrouped to choose it.
+    """
     found = settled(candidates(pages))
-    return choose_route(
-        [
-            detail_businesses(found).withColumn("part", F.lit(1)),
-            directory_businesses(found, found),
-            merged_businesses(found).drop("priority").withColumn("part", F.lit(1)),
-            shortcode_businesses(found, start_marker),
-        ]
+
+    def of(route: int) -> DataFrame:
+        return found.where(F.col("route") == route)
+
+    routes = (
+        detail_businesses(of(1)).withColumn("part", F.lit(1)),
+        directory_businesses(of(2), of(2)),
+        merged_businesses(of(3)).drop("priority").withColumn("part", F.lit(1)),
+        shortcode_businesses(of(4), start_marker),
     )
+    numbered = [rows.withColumn("route", F.lit(n)) for n, rows in enumerate(routes, 1)]
+    return reduce(DataFrame.unionByName, numbered)
