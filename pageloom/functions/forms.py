@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom.functions import fixed, patterns
-from pageloom.functions.text import attribute, decode_entities, drop_tags, let, strip, sub_each
+from pageloom.functions.text import attribute, decode_entities, drop_page_tags, drop_tags, let, strip, sub_closed, sub_each
 
 ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]*"|'[^']*')[^>]*>.*?</a>"""
 FILLED_ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]+"|'[^']+')[^>]*>.*?</a>"""
@@ -15,9 +15,9 @@ CODE = r"(?is)<(script|style).*?</\1>"
 
 def raw_text(html: Column) -> Column:
     """Tags dropped, line breaks at paragraph ends; references stay as written."""
-    text = F.regexp_replace(html, CODE, "")
+    text = sub_closed(html, CODE, "", "</(?:script|style)>")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6])>", "\n")
-    text = F.regexp_replace(drop_tags(text), r"\n{3,}", "\n\n")
+    text = F.regexp_replace(drop_page_tags(text), r"\n{3,}", "\n\n")
     return strip(text)
 
 
@@ -29,14 +29,14 @@ def _link_as_text(anchor: Column) -> Column:
 def link_text(html: Column) -> Column:
     """Readable text that keeps link targets and marks headings."""
     text = decode_entities(F.coalesce(html, F.lit("")))
-    text = F.regexp_replace(text, r"(?is)<(script|style|noscript).*?</\1>", "")
-    text = sub_each(text, FILLED_ANCHOR, _link_as_text)
+    text = sub_closed(text, r"(?is)<(script|style|noscript).*?</\1>", "", "</(?:script|style|noscript)>")
+    text = sub_each(text, FILLED_ANCHOR, _link_as_text, "</a>")
     for level in range(1, 7):
-        text = F.regexp_replace(text, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", f"[H{level}] $1")
+        text = sub_closed(text, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", f"[H{level}] $1", f"</h{level}>")
     text = F.regexp_replace(
         text, r"(?i)<br\s*/?>|</(?:p|div|li|article|section|header|footer|nav|main)>", "\n"
     )
-    text = F.regexp_replace(drop_tags(text), r"\r?\n[ \t]+", "\n")
+    text = F.regexp_replace(drop_page_tags(text), r"\r?\n[ \t]+", "\n")
     text = F.regexp_replace(text, r"[ \t]+\r?\n", "\n")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import fixed, patterns
 from pageloom.functions.forms import ANCHOR
-from pageloom.functions.text import absolute, attribute, drop_tags, every, let, strip
+from pageloom.functions.text import absolute, attribute, drop_tags, every, let, strip, upto_last
 
 OPEN_TAG = "^<[^>]*>"
 PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>.*?</p>"
@@ -30,7 +30,7 @@ def headings(html: Column) -> Column:
     """array<struct<level, text>>, level by level; empty headings included."""
 
     def of_level(level: int) -> Column:
-        bodies = every(html, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", 1)
+        bodies = every(upto_last(html, f"</h{level}>"), rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", 1)
         return F.transform(
             bodies,
             lambda b: F.struct(F.lit(level).alias("level"), strip(drop_tags(b)).alias("text")),
@@ -45,9 +45,11 @@ def heading_levels(html: Column) -> Column:
     One pass takes the heading tags out of the page, and only those few are searched level by level.
     """
     tags = F.array_join(every(html, "(?i)<h[1-6][^>]*>|</h[1-6]>"), "")
-    return let(
-        tags, lambda t: F.array(*[F.regexp_count(t, F.lit(rf"(?is)<h{n}[^>]*>.*?</h{n}>")) for n in range(1, 7)])
-    )
+
+    def count(t: Column, n: int) -> Column:
+        return F.regexp_count(upto_last(t, f"</h{n}>"), F.lit(rf"(?is)<h{n}[^>]*>.*?</h{n}>"))
+
+    return let(tags, lambda t: F.array(*[count(t, n) for n in range(1, 7)]))
 
 
 def hierarchy_ok(counts: Column) -> Column:
@@ -56,10 +58,14 @@ def hierarchy_ok(counts: Column) -> Column:
     return (F.get(counts, F.lit(0)) == 1) & used.rlike("^1+0*$")
 
 
+def _anchors(html: Column) -> Column:
+    return every(upto_last(html, "</a>"), ANCHOR)
+
+
 def links(html: Column) -> Column:
     """array<struct<url, text>> of all anchors with a quoted target; empty ones included."""
     return F.transform(
-        every(html, ANCHOR),
+        _anchors(html),
         lambda a: F.struct(
             attribute(F.regexp_extract(a, OPEN_TAG, 0), "href").alias("url"),
             strip(drop_tags(a)).alias("text"),
@@ -68,7 +74,7 @@ def links(html: Column) -> Column:
 
 
 def link_urls(html: Column) -> Column:
-    return F.transform(every(html, ANCHOR), lambda a: attribute(F.regexp_extract(a, OPEN_TAG, 0), "href"))
+    return F.transform(_anchors(html), lambda a: attribute(F.regexp_extract(a, OPEN_TAG, 0), "href"))
 
 
 def link_type(url: Column) -> Column:
@@ -122,6 +128,14 @@ def media_urls(html: Column, base: Column) -> Column:
     )
 
 
+def paragraph_count(html: Column) -> Column:
+    return F.regexp_count(upto_last(html, "</p>"), F.lit(PARAGRAPH))
+
+
+def form_count(html: Column) -> Column:
+    return F.regexp_count(upto_last(html, "</form>"), F.lit(FORM))
+
+
 def forms(html: Column) -> Column:
     """array<struct<action, method, body>>."""
 
@@ -133,7 +147,7 @@ def forms(html: Column) -> Column:
             markup.alias("body"),
         )
 
-    return F.transform(every(html, FORM), form)
+    return F.transform(every(upto_last(html, "</form>"), FORM), form)
 
 
 def form_fields(body: Column) -> Column:
@@ -156,7 +170,7 @@ def form_fields(body: Column) -> Column:
 
 def title(html: Column) -> Column:
     """Stripped title text, references unresolved; empty without a title tag."""
-    return strip(F.regexp_extract(html, fixed.TITLE, 1))
+    return strip(F.regexp_extract(upto_last(html, "</title>"), fixed.TITLE, 1))
 
 
 def metas(html: Column) -> Column:
@@ -183,7 +197,7 @@ def canonical(html: Column) -> Column:
 
 def json_ld(html: Column) -> Column:
     """array<variant> of the structured-data scripts that parse."""
-    parsed = F.transform(every(html, fixed.JSON_LD, 1), lambda s: F.try_parse_json(strip(s)))
+    parsed = F.transform(every(upto_last(html, "</script>"), fixed.JSON_LD, 1), lambda s: F.try_parse_json(strip(s)))
     return F.filter(parsed, lambda v: v.isNotNull())
 
 

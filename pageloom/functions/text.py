@@ -24,6 +24,27 @@ def every(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def upto_last(text: Column, close: str) -> Column:
+    """Text up to and with the last closing mark.
+
+    What opens after it has no partner. Patterns of the form open…close search this part only; in the
+    whole text every unclosed mark would send them to the end of the page.
+    """
+    return F.regexp_extract(text, rf"(?is)\A.*{close}", 0)
+
+
+def sub_closed(text: Column, pattern: str, new: str, close: str) -> Column:
+    """regexp_replace for a pattern that ends in a closing mark."""
+
+    def swapped(t: Column) -> Column:
+        return let(
+            upto_last(t, close),
+            lambda head: F.concat(F.regexp_replace(head, pattern, new), F.substr(t, F.length(head) + 1)),
+        )
+
+    return let(text, swapped)
+
+
 def first(text: Column, pattern: str, group: int = 0) -> Column:
     """The first match, NULL where there is none."""
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
@@ -47,6 +68,11 @@ def drop_tags(text: Column) -> Column:
     return F.regexp_replace(text, TAG, "")
 
 
+def drop_page_tags(html: Column) -> Column:
+    """drop_tags for whole pages, where stray angle brackets may be many."""
+    return sub_closed(html, TAG, "", ">")
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words."""
     return every(text, r"(?U)\S+")
@@ -61,15 +87,18 @@ def word_tokens(text: Column) -> Column:
     return every(F.lower(text), WORD)
 
 
-def sub_each(text: Column, pattern: str, change: Fn) -> Column:
-    """Replace every match by an expression of the match."""
+def sub_each(text: Column, pattern: str, change: Fn, close: str = "") -> Column:
+    """Replace every match by an expression of the match; close is the mark the pattern ends in, if any."""
 
     def woven(t: Column) -> Column:
         gaps = F.split(t, pattern, -1)
         changed = F.transform(every(t, pattern), change)
         return F.array_join(F.zip_with(gaps, changed, lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
 
-    return let(text, woven)
+    def in_head(t: Column) -> Column:
+        return let(upto_last(t, close), lambda head: F.concat(woven(head), F.substr(t, F.length(head) + 1)))
+
+    return let(text, in_head if close else woven)
 
 
 # --- character references -------------------------------------------------------------------
@@ -190,7 +219,7 @@ def decode_all(*texts: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Text between the tags, references resolved; tags vanish without leaving a space."""
-    return decode_entities(drop_tags(html))
+    return decode_entities(drop_page_tags(html))
 
 
 def authority(url: Column) -> Column:

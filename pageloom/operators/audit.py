@@ -26,7 +26,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
         "url",
         X.authority(url).alias("_domain"),
         X.decode_all(
-            M.title(html), F.coalesce(M.meta(M.metas(html), "description"), F.lit("")), X.drop_tags(html)
+            M.title(html), F.coalesce(M.meta(M.metas(html), "description"), F.lit("")), X.drop_page_tags(html)
         ).alias("_texts"),
         M.heading_levels(html).alias("_levels"),
         M.link_urls(html).alias("_urls"),

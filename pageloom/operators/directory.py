@@ -420,7 +420,7 @@ def table_row_array(text: Column) -> Column:
         return F.struct(i.alias("pos"), F.when(likely, cells(row)).alias("cells"))
 
     return F.filter(
-        F.transform(every(text, fixed.TABLE_ROW, 1), listed),
+        F.transform(every(X.upto_last(text, r"\[/vc_row_inner\]"), fixed.TABLE_ROW, 1), listed),
         lambda r: (F.size(r["cells"]) >= 3) & F.exists(r["cells"], lambda c: c.rlike(fixed.PAGE_PHONES[0])),
     )
 
@@ -490,10 +490,14 @@ def sections(pages: DataFrame) -> DataFrame:
     )
 
 
+def _section_bodies(html: Column) -> Column:
+    return every(X.upto_last(html, r"\[/vc_column_text\]"), fixed.TEXT_SECTION, 1)
+
+
 def _section_array(html: Column) -> Column:
     """array<struct<pos, raw, lines>>."""
     return F.transform(
-        every(html, fixed.TEXT_SECTION, 1),
+        _section_bodies(html),
         lambda raw, i: F.struct(
             i.alias("pos"), raw.alias("raw"), _filled_lines(_three_entities(X.drop_tags(raw))).alias("lines")
         ),
@@ -615,7 +619,7 @@ def section_businesses(pages: DataFrame, start_marker: str | None = None) -> Dat
 
 def point_line_array(html: Column) -> Column:
     """array<array<string>>: the parts of the lines of the first section that holds coordinates."""
-    held = F.filter(every(html, fixed.TEXT_SECTION, 1), lambda s: s.rlike(fixed.COORDINATES))
+    held = F.filter(_section_bodies(html), lambda s: s.rlike(fixed.COORDINATES))
     return F.transform(F.split(F.get(held, F.lit(0)), "<br />", -1), lambda line: F.split(line, r"\|", -1))
 
 

@@ -48,7 +48,7 @@ def _read(pages: DataFrame, *keep: Column | str) -> DataFrame:
         (F.col("text") if "text" in pages.columns else readable_text(html)).alias("text"),
         elements.array_of(pages, "headings").alias("headings"),
         elements.array_of(pages, "links").alias("links"),
-        stats.count_of(html, M.PARAGRAPH).alias("paragraph_count"),
+        M.paragraph_count(html).alias("paragraph_count"),
         stats.count_of(html, M.IMAGE).alias("image_count"),
     )
 
@@ -75,7 +75,7 @@ def page_summary(pages: DataFrame, businesses: DataFrame | None = None) -> DataF
         F.size(elements.array_of(head, "json_ld")).alias("schema_markup_count"),
         elements.array_of(head, "images").alias("images"),
         elements.array_of(head, "media").alias("media"),
-        stats.count_of(F.col("html"), M.FORM).alias("form_count"),
+        M.form_count(F.col("html")).alias("form_count"),
     )
     text = F.col("text")
     values = lambda found: F.transform(found, lambda v: v["value"])
