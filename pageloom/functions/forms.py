@@ -37,7 +37,7 @@ def link_text(html: Column) -> Column:
         text, r"(?i)<br\s*/?>|</(?:p|div|li|article|section|header|footer|nav|main)>", "\n"
     )
     text = F.regexp_replace(drop_page_tags(text), r"\r?\n[ \t]+", "\n")
-    text = F.regexp_replace(text, r"[ \t]+\r?\n", "\n")
+    text = F.regexp_replace(text, r"(?<![ \t])[ \t]++\r?\n", "\n")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
@@ -55,7 +55,7 @@ def drop_shortcodes(text: Column) -> Column:
 def drop_marker_noise(text: Column) -> Column:
     """Remove what map widgets leave behind in a text."""
     text = F.regexp_replace(text, fixed.MAP_SHORTCODE, "")
-    text = F.regexp_replace(text, fixed.MAP_POINT_LINE, "")
+    text = F.regexp_replace(text, patterns.MAP_POINT_LINE, "")
     return F.regexp_replace(text, fixed.MAP_URL, fixed.MAP_LINK)
 
 
@@ -67,7 +67,7 @@ def directory_text(text: Column) -> Column:
     text = F.regexp_replace(text, fixed.ANY_PHONE, "$1$2-$3-$4")
     text = F.regexp_replace(text, rf"(?<!\n)({fixed.DASHED_PHONE})", "\n$1")
     text = F.regexp_replace(text, r"\b(\d{5}(?:-\d{4})?)\b(?!-\d)(?!\n)", "$1\n")
-    text = F.regexp_replace(text, r"[\p{Z}\t\x0B\f\r\x85]+(?=\n|\z)", "")
+    text = F.regexp_replace(text, rf"(?<!{patterns.BLANK}){patterns.BLANK}++(?=\n|\z)", "")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 

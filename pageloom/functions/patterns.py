@@ -12,6 +12,10 @@ from pageloom.functions import fixed
 _LOCAL = "[a-zA-Z0-9._%+-]"
 EMAIL = rf"(?:(?<!{_LOCAL})|\G)(?={_LOCAL}++@)" + fixed.EMAIL
 
+# White space within a line.
+BLANK = r"[\p{Z}\t\x0B\f\r\x85]"
+MAP_POINT_LINE = r"(?<!\d)" + fixed.MAP_POINT_LINE
+
 # What every address holds; a quick test before the patterns below.
 STATE_AND_ZIP = r",\s*[A-Z]{2}\s*\d{5}"
 # Groups: 1 whole address, 2 city, 3 state, 4 ZIP.

@@ -95,3 +95,14 @@ def test_settled_cuts_the_plan_where_a_folder_is_set(spark):
     df = settled(spark.range(3).withColumn("x", F.col("id") + 1))
     assert "Scan ExistingRDD" in plan(df)
     assert df.count() == 3
+
+
+def test_hostile_pages_stay_fast(spark):
+    import time
+
+    cases = ["<a href='/x'>t " * 10000, "<h2>t <p>t " * 10000, "<script>v " * 10000, " " * 200000, "<" * 100000, "7" * 100000]
+    df = spark.createDataFrame([(i, "http://a.test/", c) for i, c in enumerate(cases)], "page_id bigint, url string, html string")
+    start = time.monotonic()
+    counts = rows(page_extract.page_metrics(df.repartition(len(cases))), "page_id", "heading_count", "link_count", "paragraph_count")
+    assert counts == [(i, 0, 0, 0) for i in range(len(cases))]
+    assert time.monotonic() - start < 60
