@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.rows import exploded
 from pageloom.llm.common import whole, written
 
 #: Consecutive item words in a window; a shorter item is one window.
@@ -35,7 +36,7 @@ def windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """Distinct windows: wid, win (its words), items (ids having it, sorted). Written, so that wid is settled."""
     rows = items.select(F.col(item_id).cast("string").alias("item"), words(text).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - WINDOW + 1, F.lit(1)))
-    each = rows.select("item", "w", F.explode(starts).alias("s")).select(
+    each = exploded(rows, starts, "item", "w").withColumnRenamed("e", "s").select(
         "item", F.slice("w", F.col("s"), F.least(F.lit(WINDOW), F.size("w"))).alias("win")
     )
     distinct = each.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
@@ -54,7 +55,7 @@ def _shingles(w: Column, size: int) -> Column:
 def _positions(docs: DataFrame, size: int) -> DataFrame:
     """Each shingle of each document: id, th, w (the words), pos, h."""
     rows = docs.withColumn("h", _shingles(F.col("w"), size))
-    return rows.select("id", "th", "w", F.posexplode("h").alias("pos", "h"))
+    return exploded(rows, "h", "id", "th", "w").withColumnRenamed("e", "h")
 
 
 def _blocks(df: DataFrame, key: str) -> list[DataFrame]:
@@ -70,7 +71,7 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str
     found = []
     for size in [r["size"] for r in table.select(F.least(F.size("win"), F.lit(2)).alias("size")).distinct().collect()]:
         own = table.where(F.least(F.size("win"), F.lit(2)) == size)
-        tokens = own.select("wid", F.posexplode(_shingles(F.col("win"), size)).alias("off", "h"))
+        tokens = exploded(own, _shingles(F.col("win"), size), "wid").toDF("wid", "off", "h")
         positions = _positions(rows, size)
         # How often each shingle of a window occurs in all documents; one that never does rules the window out.
         counts = [
