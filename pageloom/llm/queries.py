@@ -5,10 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat_format, decontaminate, exact_dedup, mixing
+from pageloom.llm import chat_format, decontaminate, exact_dedup, mixing, quality, token_counts, toxicity
 from pageloom.llm.common import table
 
 
+def _remainder(doc_id: str, n: int):
+    return F.crc32(F.col(doc_id).cast("string")) % n
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # files of the box; only this query knows where they are
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    return toxicity.trained(docs, table(spark, sf_dir, "labels"), _remainder("labelled", 3) != 1)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.scored(docs, toxicity_model(spark, docs, sf_dir))
+    return scores.select(
+        "doc_id",
+        (F.coalesce(_remainder("doc_id", 3), F.lit(0)) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.trained(docs, table(spark, sf_dir, "labels"), _remainder("labelled", 5) != 0)
+    return quality.scored(docs, model).select(
+        "doc_id",
+        (F.coalesce(_remainder("doc_id", 5), F.lit(1)) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mixing.mixed(docs, mixing.tempered(docs), seed=5)
@@ -40,4 +76,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op6_exact_dedup, op7_chat_format, op8_decontaminate)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_token_counts,
+        op4_toxicity,
+        op5_mix_sources,
+        op6_exact_dedup,
+        op7_chat_format,
+        op8_decontaminate,
+        op9_quality,
+    )
+}
