@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat_format, decontaminate, exact_dedup, mixing, quality, token_counts, toxicity
+from pageloom.llm import chat_format, decontaminate, exact_dedup, mixing, near_dedup, quality, token_counts, toxicity
 from pageloom.llm.common import table
 
 
@@ -76,6 +76,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,5 +90,6 @@ QUERIES = {
         op7_chat_format,
         op8_decontaminate,
         op9_quality,
+        op10_near_dedup,
     )
 }

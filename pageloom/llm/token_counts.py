@@ -131,7 +131,10 @@ def _portions(texts: Iterable[str]) -> Iterator[list[str]]:
         yield part
 
 
-vocabulary = lru_cache(maxsize=2)(Vocabulary)
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a file, read once in each worker."""
+    return Vocabulary(path)
 
 
 def token_counts(
