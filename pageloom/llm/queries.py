@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat_format, decontaminate, exact_dedup, mixing, near_dedup, quality, token_counts, toxicity
+from pageloom.llm import chat_format, decontaminate, exact_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity
 from pageloom.llm.common import table
 
 
@@ -13,6 +13,11 @@ def _remainder(doc_id: str, n: int):
     return F.crc32(F.col(doc_id).cast("string")) % n
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # files of the box; only this query knows where they are
 
@@ -83,6 +88,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_suffix_dedup,
         op2_token_counts,
         op4_toxicity,
         op5_mix_sources,
