@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pageloom.llm import license_scan
+
 EXACT = r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
 r as (select doc_id, t, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
@@ -83,7 +85,54 @@ select doc_id, source, copy_no::int as copy_no, repeats::int as repeats, md5('or
 from (select *, unnest(range(0, repeats)) as copy_no from n where repeats > 0)
 """
 
+_NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.NOTICES))
+
+LICENSE = rf"""
+with t(tpl, license, text) as (values {_NOTICES}),
+f as (
+  select row_number() over () as rid, doc_id, source, coalesce(text, '') as text,
+         len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) <= 60
+           and regexp_matches(lower(coalesce(text, '')), '{license_scan.CUE}') as gives
+  from documents
+),
+p as (
+  select *, source || case when not gives or doc_id % 3 >= 1 then '/' || (doc_id // 100) else '' end
+         || case when not gives or doc_id % 3 >= 2 then '/' || (doc_id // 10) else '' end as dir
+  from f
+),
+seg as (
+  select distinct rid, regexp_extract_all(l, '[a-z0-9]+') as toks
+  from (select rid, unnest(list_filter(string_split(lower(text), chr(10)), lambda x: regexp_matches(x, '{license_scan.CUE}'))) as l from p
+        union all select rid, lower(text) from p where gives)
+  where len(regexp_extract_all(l, '[a-z0-9]+')) > 0
+),
+st as (select rid, toks, tok, count(*) as c from (select rid, toks, unnest(toks) as tok from seg) group by all),
+df as (select tok, count(*) as df from st group by tok),
+n as (select count(*) as n from seg),
+tt as (select tpl, license, tok, count(*) as c from (select tpl, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as tok from t) group by all),
+sw as (select distinct toks, tok, c * (ln((1.0 + n)::double / (1.0 + df)::double) + 1.0) as w from st join df using (tok), n),
+tw as (select tpl, license, tok, c * (ln((1.0 + n)::double / (1.0 + coalesce(df, 0))::double) + 1.0) as w from tt left join df using (tok), n),
+sn as (select toks, sqrt(sum(w * w)) as norm from sw group by toks),
+tn as (select tpl, sqrt(sum(w * w)) as norm from tw group by tpl),
+dot as (select sw.toks, tw.tpl, license, round(sum((sw.w / sn.norm) * (tw.w / tn.norm)), 6) as cosine
+        from sw join tw using (tok) join sn on sn.toks = sw.toks join tn on tn.tpl = tw.tpl group by all),
+best as (select toks, license, cosine from dot where cosine >= {license_scan.SIMILAR}
+         qualify row_number() over (partition by toks order by cosine desc, license) = 1),
+own as (select rid, license, cosine from seg join best using (toks)
+        qualify row_number() over (partition by rid order by cosine desc, license) = 1),
+given as (select dir, license, cosine from own join p using (rid) where gives
+          qualify row_number() over (partition by dir order by cosine desc, license) = 1),
+heir as (select p.rid, g.dir, g.license, g.cosine from p join given g on starts_with(p.dir || '/', g.dir || '/')
+         qualify row_number() over (partition by p.rid order by length(g.dir) desc) = 1)
+select doc_id, p.dir || '/' || case when gives then 'LICENSE-' else 'text-' end || doc_id as path,
+       coalesce(own.license, heir.license) as license, coalesce(own.cosine, heir.cosine) as cosine,
+       case when own.rid is not null then 'own' when heir.rid is not null then 'inherited' else 'none' end as how,
+       case when own.rid is null then heir.dir end as from_dir
+from p left join own using (rid) left join heir using (rid)
+"""
+
 SQL = {
+    "op3_license_scan": LICENSE,
     "op5_mix_sources": MIX,
     "op6_exact_dedup": EXACT,
     "op7_chat_format": CHAT,

@@ -5,35 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat_format, decontaminate, exact_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity
+import corpus_pipeline
+from pageloom.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    license_scan,
+    mixing,
+    near_dedup,
+    quality,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 from pageloom.llm.common import table
 
 
-def _remainder(doc_id: str, n: int):
-    return F.crc32(F.col(doc_id).cast("string")) % n
-
-
-def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-
-
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # files of the box; only this query knows where they are
 
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
-    return toxicity.trained(docs, table(spark, sf_dir, "labels"), _remainder("labelled", 3) != 1)
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: they are laid out as source/hundreds/tens, with short texts that end in a notice as
+    licence files of one of the three folders."""
+    docs = table(spark, sf_dir, "documents")
+    notice = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))) <= 60
+    gives = F.coalesce(notice & F.lower("text").rlike(license_scan.CUE), F.lit(False))
+    hundreds, tens = F.floor(F.col("doc_id") / 100).cast("string"), F.floor(F.col("doc_id") / 10).cast("string")
+    level = F.col("doc_id") % 3
+    inner = F.concat_ws("/", F.when(~gives | (level >= 1), hundreds), F.when(~gives | (level >= 2), tens))
+    name = F.concat(F.when(gives, "LICENSE-").otherwise("text-"), F.col("doc_id").cast("string"))
+    path = F.regexp_replace(F.concat_ws("/", "source", inner, name), "//", "/")
+    templates = spark.createDataFrame(license_scan.NOTICES, "license string, text string")
+    found = license_scan.licences(docs.select(path.alias("path"), "text"), templates)
+    return found.withColumn("doc_id", F.regexp_extract("path", r"-(-?\d+)$", 1).cast("long"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scores = toxicity.scored(docs, toxicity_model(spark, docs, sf_dir))
+    scores = toxicity.scored(docs, corpus_pipeline.toxicity_model(spark, docs, sf_dir))
     return scores.select(
         "doc_id",
-        (F.coalesce(_remainder("doc_id", 3), F.lit(0)) == 1).alias("held_out"),
+        (F.coalesce(corpus_pipeline.remainder("doc_id", 3), F.lit(0)) == 1).alias("held_out"),
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
@@ -41,10 +56,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.trained(docs, table(spark, sf_dir, "labels"), _remainder("labelled", 5) != 0)
+    model = quality.trained(docs, table(spark, sf_dir, "labels"), corpus_pipeline.remainder("labelled", 5) != 0)
     return quality.scored(docs, model).select(
         "doc_id",
-        (F.coalesce(_remainder("doc_id", 5), F.lit(1)) == 0).alias("held_out"),
+        (F.coalesce(corpus_pipeline.remainder("doc_id", 5), F.lit(1)) == 0).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
@@ -85,11 +100,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup,
         op2_token_counts,
+        op3_license_scan,
         op4_toxicity,
         op5_mix_sources,
         op6_exact_dedup,
@@ -97,5 +117,6 @@ QUERIES = {
         op8_decontaminate,
         op9_quality,
         op10_near_dedup,
+        pipeline,
     )
 }
