@@ -2,28 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from pageloom import schemas
 from pageloom.functions import fixed
 from pageloom.functions import text as X
+from pageloom.functions.rows import exploded
 
 
-def items(spark: SparkSession, path: str) -> DataFrame:
-    """Items landed as JSON arrays under site=.../rest_base=...; bad records are kept aside as text."""
-    return (
-        spark.read.schema(schemas.ITEM + ", _corrupt_record string, site string, rest_base string")
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .json(path)
+def files(reader: DataFrameReader | DataStreamReader, path: str, partitions: str) -> DataFrame:
+    """Landed files whole, with the columns their folders name: value, those columns, file."""
+    landed = reader.schema(f"value string, {partitions}").option("wholetext", True).text(path)
+    return landed.withColumn("file", F.col("_metadata.file_path"))
+
+
+def records(landed: DataFrame, schema: str) -> DataFrame:
+    """Readable records of landed JSON arrays; pos (file, place) orders them as they were landed."""
+    keys = [c for c in landed.columns if c not in ("value", "file")]
+    # Record by record, so that one that is no object spoils no other.
+    rows = exploded(landed, F.from_json("value", "array<string>"), "file", *keys)
+    read = rows.withColumn("r", F.from_json("e", f"struct<{_typed(schema)}>"))
+    good = read.where(F.col("r.id").isNotNull())
+    return good.select("r.*", *keys, F.struct("file", F.col("pos").alias("place")).alias("pos"))
+
+
+def rejected(landed: DataFrame) -> DataFrame:
+    """What `records` cannot read: file, place in it (NULL: the whole file), its text, and the folder columns."""
+    keys = [c for c in landed.columns if c not in ("value", "file")]
+    parts = landed.withColumn("parts", F.from_json("value", "array<string>"))
+    broken = parts.where(F.col("parts").isNull() & ~X.blank(F.col("value")))
+    rows = exploded(parts, "parts", "file", *keys).where(F.get_json_object("e", "$.id").try_cast("bigint").isNull())
+    return broken.select("file", F.lit(None).cast("int").alias("place"), F.col("value").alias("text"), *keys).unionByName(
+        rows.select("file", F.col("pos").alias("place"), F.col("e").alias("text"), *keys)
     )
 
 
+def _typed(schema: str) -> str:
+    """A column list as the fields of a struct."""
+    return re.sub(r"(\w+) (?=bigint|string|timestamp|struct)", r"\1:", " ".join(schema.split()))
+
+
+def item_files(spark: SparkSession, path: str) -> DataFrame:
+    return files(spark.read, path, "site string, rest_base string")
+
+
+def media_files(spark: SparkSession, path: str) -> DataFrame:
+    return files(spark.read, path, "site string")
+
+
+def items(spark: SparkSession, path: str) -> DataFrame:
+    """Items landed as JSON arrays under site=.../rest_base=..., with pos; see `rejected` for the unreadable ones."""
+    return records(item_files(spark, path), schemas.ITEM)
+
+
 def media(spark: SparkSession, path: str) -> DataFrame:
-    """Media entries landed as JSON arrays under site=...; pos follows file and place in the file."""
-    return spark.read.schema(schemas.MEDIA + ", site string").option("multiLine", True).json(path)
+    """Media entries landed as JSON arrays under site=..., with pos and the title as text."""
+    return records(media_files(spark, path), schemas.MEDIA).withColumn("title", F.col("title.rendered"))
 
 
 def content_types(
@@ -113,16 +153,21 @@ def index_media(index: DataFrame) -> DataFrame:
     return index.select("site", F.inline("media"))
 
 
-def with_texts(entries: DataFrame, texts: DataFrame) -> DataFrame:
+def with_texts(entries: DataFrame, texts: DataFrame, root: str = "") -> DataFrame:
     """Index entries with the text of their raw file; entries without a file are left out.
 
-    The index may name its files relative to another root, so the last three path parts are compared.
+    The index may name its files relative to a root; whole paths are compared, with or without `file:` before them.
     """
-    tail = lambda c: F.array_join(F.slice(F.split(c, "/"), -3, 3), "/")
-    named = entries.withColumn("_tail", tail("raw_file"))
-    return named.join(texts.select(tail("path").alias("_tail"), "text"), "_tail").drop("_tail")
+    relative = ~F.col("raw_file").rlike("^([a-z0-9]+:)?/")
+    base = root.rstrip("/") + "/" if root else ""
+    named = F.when(relative, F.concat(F.lit(base), F.col("raw_file"))).otherwise(F.col("raw_file"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    keyed = entries.withColumn("_path", plain(named))
+    return keyed.join(texts.select(plain(F.col("path")).alias("_path"), "text"), "_path").drop("_path")
 
 
 def not_stored(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys the stored table lacks."""
-    return rows.join(stored.select(*keys), keys, "left_anti")
+    """Rows whose keys the stored table lacks; NULL keys equal each other."""
+    have = stored.select(*[F.col(k).alias(f"_stored_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys]
+    return rows.join(have, reduce(Column.__and__, same), "left_anti")

@@ -2,48 +2,67 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pageloom import schemas
 from pageloom.operators import audit, texts
+from pageloom.sources import landed
 
+#: One version of an item. Its age plays no part: an old item may land at any time.
+KEYS = ["site", "rest_base", "page_id", "modified"]
 
-def landed_items(spark: SparkSession, path: str) -> DataFrame:
+
+def landed_files(spark: SparkSession, path: str) -> DataFrame:
     """Item files as they land under site=.../rest_base=..."""
-    return (
-        spark.readStream.schema(schemas.ITEM + ", site string, rest_base string")
-        .option("multiLine", True)
-        .json(path)
-    )
+    return landed.files(spark.readStream, path, "site string, rest_base string")
 
 
-def latest_items(items: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Items without the repeats that arrive within the delay."""
-    return items.withWatermark("modified", delay).dropDuplicatesWithinWatermark(
-        ["site", "rest_base", "id", "modified"]
-    )
+def stored(spark: SparkSession, out: str, table: str) -> DataFrame | None:
+    """What finished batches have written: items, page_text, page_audit or rejected. None before the first one."""
+    try:
+        done = spark.read.parquet(f"{out}/done")
+        rows = spark.read.option("mergeSchema", True).parquet(f"{out}/{table}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.withColumn("tag", F.col("tag").cast("string")).join(done.select("tag"), "tag", "left_semi")
 
 
-def ingest(items: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write clean items, page texts and page audits of each batch.
+def ingest(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write new items, their page texts and audits, and the records that cannot be read, batch by batch.
 
-    A batch lands under its own number and overwrites what an interrupted run of it left, so a
-    repeated batch adds nothing twice.
+    A batch lands under a tag made from its files' contents and overwrites what an interrupted run of it left; it
+    counts once its tag is listed in `done`. Versions of items that other batches have stored are left out, so a new
+    or lost stream checkpoint repeats nothing and loses nothing.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        clean = texts.items_clean(batch).withColumnRenamed("id", "page_id")
-        clean.write.mode("overwrite").parquet(f"{out}/items/batch={number}")
-        stored = batch.sparkSession.read.parquet(f"{out}/items/batch={number}")
-        forms = texts.page_text(stored.select("page_id", "site", "rest_base", "title", "url", "html"))
-        forms.write.mode("overwrite").parquet(f"{out}/page_text/batch={number}")
-        pages = audit.page_audit(stored.where(F.col("rest_base") == "pages").select("page_id", "url", "html"))
-        pages.write.mode("overwrite").parquet(f"{out}/page_audit/batch={number}")
+        spark = batch.sparkSession
+        mark = batch.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("file", "value")).alias("x")).first()
+        if not mark["n"]:
+            return
+        tag = f"b{mark['n']}x{mark['x'] & (2**64 - 1):x}"
+        clean = texts.items_clean(landed.records(batch, schemas.ITEM)).withColumnRenamed("id", "page_id")
+        fresh = clean.dropDuplicates(KEYS)
+        before = stored(spark, out, "items")
+        if before is not None:
+            fresh = landed.not_stored(fresh, before.where(F.col("tag") != tag), KEYS)
+        fresh.write.mode("overwrite").parquet(f"{out}/items/tag={tag}")
+        landed.rejected(batch).write.mode("overwrite").parquet(f"{out}/rejected/tag={tag}")
+        items = spark.read.schema(fresh.schema).parquet(f"{out}/items/tag={tag}")
+        forms = texts.page_text(items.select("page_id", "site", "rest_base", "title", "url", "html"))
+        forms.write.mode("overwrite").parquet(f"{out}/page_text/tag={tag}")
+        pages = audit.page_audit(items.where(F.col("rest_base") == "pages").select("page_id", "url", "html"))
+        pages.write.mode("overwrite").parquet(f"{out}/page_audit/tag={tag}")
+        one = spark.range(1).select(F.lit(tag).alias("tag"), F.current_timestamp().alias("at"))
+        one.write.mode("overwrite").parquet(f"{out}/done/key={tag}")
 
     return (
-        items.writeStream.foreachBatch(store)
+        files.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -100,13 +100,13 @@ def test_index_join_skips_entries_without_file(spark, tmp_path):
         "media": [{"id": 7, "file": "f"}],
     }
     (tmp_path / "index.json").write_text(json.dumps(index))
-    raw = tmp_path / "s" / "raw_pages"
+    raw = tmp_path / "out" / "s" / "raw_pages"
     raw.mkdir(parents=True)
     (raw / "pages-a.txt").write_text("text a")
     loaded = landed.index(spark, str(tmp_path / "index.json"))
     entries = landed.index_items(loaded, "pages")
     texts = landed.raw_files(spark, str(raw))
-    assert rows(landed.with_texts(entries, texts), "id", "text") == [(1, "text a")]
+    assert rows(landed.with_texts(entries, texts, str(tmp_path)), "id", "text") == [(1, "text a")]
     assert rows(landed.index_media(loaded), "id", "file") == [(7, "f")]
 
 
@@ -193,18 +193,61 @@ def test_json_and_text_tables(spark, landing, tmp_path):
 
 
 def test_incremental_ingest(spark, landing, tmp_path):
-    stamp = "2024-01-01T00:00:00"
+    stamp, old, new = "2024-01-01T00:00:00", "2018-01-01T00:00:00", "2024-03-01T00:00:00"
     path = landing("pages", _item(1, "home", modified=stamp), _item(1, "home", modified=stamp))
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
-
-    def run():
-        stream = ingest.latest_items(ingest.landed_items(spark, path))
-        ingest.ingest(stream, out, state).awaitTermination(120)
-
-    run()
-    landing("pages", _item(1, "home", modified=stamp), _item(2, "new", modified=stamp), part=1)
-    run()
-    stored = spark.read.option("mergeSchema", True).parquet(out + "/items")
-    assert rows(stored, "page_id") == [(1,), (2,)]
-    assert spark.read.parquet(out + "/page_audit").count() == 2
-    assert spark.read.parquet(out + "/page_text").count() == 2
+    out = str(tmp_path / "out")
+
+    def run(state):
+        files = ingest.landed_files(spark, path)
+        ingest.ingest(files, out, str(tmp_path / state)).awaitTermination(120)
+        return rows(ingest.stored(spark, out, "items"), "page_id", "modified")
+
+    run("state")
+    # An item changed years ago lands after newer ones; a repeat lands, too.
+    landing("pages", _item(1, "home", modified=stamp), _item(2, "old", modified=old), _item(3, "none"), part=1)
+    assert [i for i, _ in run("state")] == [1, 2, 3]
+    # A new version is stored beside the old one, and a broken file is kept aside.
+    landing("pages", _item(1, "home", modified=new), _item(3, "none"), part=2)
+    (tmp_path / "landing/site=a.test/rest_base=pages/3.json").write_text('[{"id": 9, "slug": "cut')
+    assert [i for i, _ in run("state")] == [1, 1, 2, 3]
+    # A lost stream checkpoint starts over: nothing is lost, nothing comes twice.
+    before = rows(ingest.stored(spark, out, "items"), "page_id", "modified")
+    assert run("other state") == before
+    assert rows(ingest.stored(spark, out, "page_audit"), "page_id") == [(1,), (1,), (2,), (3,)]
+    assert ingest.stored(spark, out, "page_text").count() == 4
+    assert rows(ingest.stored(spark, out, "rejected").select("text").distinct(), "text") == [('[{"id": 9, "slug": "cut',)]
+
+
+def test_unreadable_records_are_kept_aside(spark, landing, tmp_path):
+    path = landing("pages", _item(1, "home"), {"slug": "no id"}, 7)
+    (tmp_path / "landing/site=a.test/rest_base=pages/bad.json").write_text('[{"id": 2}, {"id"')
+    files = landed.item_files(spark, path)
+    assert rows(landed.items(spark, path), "id") == [(1,)]
+    found = [(r.place, r.text[:8], r.rest_base) for r in landed.rejected(files).orderBy(F.col("place").asc_nulls_first()).collect()]
+    assert found == [(None, '[{"id": ', "pages"), (1, '{"slug":', "pages"), (2, "7", "pages")]
+
+
+def test_landed_media_make_a_manifest(spark, tmp_path):
+    folder = tmp_path / "media" / "site=a.test"
+    folder.mkdir(parents=True)
+    entries = [{"id": i, "source_url": "http://c.test/a.png", "post": 1, "alt_text": "x", "title": {"rendered": "T"}} for i in (5, 4)]
+    (folder / "0.json").write_text(json.dumps(entries))
+    manifest = sinks.media_manifest(landed.media(spark, str(tmp_path / "media")))
+    assert rows(manifest, "id", "file", "title") == [(4, "a.test/images/a-4.png", "T"), (5, "a.test/images/a.png", "T")]
+
+
+def test_landed_items_answer_lookups(spark, landing):
+    landing("posts", _item(3, "home"))
+    path = landing("pages", _item(2, "home"), _item(1, "home"))
+    wanted = spark.createDataFrame([("https://a.test/home/",), ("https://a.test/gone",)], "url string")
+    assert rows(landed.find_pages(wanted, landed.items(spark, path)), "url", "id") == [
+        ("https://a.test/gone", None), ("https://a.test/home/", 2),
+    ]
+
+
+def test_texts_are_found_by_whole_paths(spark):
+    entries = spark.createDataFrame([("s/raw_pages/a.txt",), ("/r3/s/raw_pages/a.txt",)], "raw_file string")
+    texts = spark.createDataFrame([(f"file:///r{i}/s/raw_pages/a.txt", str(i)) for i in (1, 2, 3)], "path string, text string")
+    assert rows(landed.with_texts(entries, texts, "/r1"), "raw_file", "text") == [
+        ("/r3/s/raw_pages/a.txt", "3"), ("s/raw_pages/a.txt", "1"),
+    ]
