@@ -30,7 +30,7 @@ from pageloom.llm.common import whole, written
 #: Bytes of a repeated string.
 LENGTH = 200
 #: Bytes of an anchor. Longer ones are more selective but more of a text's places are anchors: 2 in LENGTH - GRAM + 2.
-GRAM = 80
+GRAM = 64
 #: Bytes of different suffixes a task holds before it sends them off as a sorted run.
 RUN_BYTES = 48 << 20
 #: Windows of a text that are looked at together; a longer text is taken in stretches.
@@ -60,17 +60,16 @@ def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, node for every anchor of the texts."""
+    """h, id and how often for the different anchors of each text."""
     for batch in batches:
-        hashes, nodes = [], []
-        for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
+        columns = []
+        for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
             for h, *_ in anchors(np.frombuffer(text.as_buffer(), dtype=np.uint8)):
-                hashes.append(h)
-                nodes.append(np.full(len(h), node))
-        if hashes:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(nodes))], names=["h", "node"]
-            )
+                own, n = np.unique(h, return_counts=True)
+                columns.append((own, np.full(len(own), doc), n))
+        if columns:
+            arrays = [pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["h", "id", "n"])
 
 
 def front_coded(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -331,26 +330,32 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    node = F.xxhash64(F.col(doc_id), whole(text))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
-        F.xxhash64(F.col(doc_id), whole(text)).alias("node"),
+        # Rows without a doc_id are spread by what they hold.
+        F.coalesce(F.col(doc_id).cast("long"), node).alias("id"),
+        node.alias("node"),
         whole(text).cast("binary").alias("text"),
     )
-    found = written(rows.where(F.length("text") >= LENGTH).select("node", "text").mapInArrow(_hashes, "h long, node long"), "anchors")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = found.join(twice, "h").groupBy("node").agg(F.collect_set("h").alias("hashes"))
-    # One exchange of the texts serves both joins: what is taken from it has the same columns.
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id")
-    dealt = rows.repartition(parts, "node").select("doc_id", number, "node", "text")
+    found = written(
+        rows.where(F.length("text") >= LENGTH).select("id", "text").mapInArrow(_hashes, "h long, id long, n long"), "anchors"
+    )
+    # Written, so that the join deals out both sides and can split a frequent hash.
+    twice = written(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "twice")
+    wanted = found.join(twice, "h").groupBy("id").agg(F.collect_set("h").alias("hashes"))
+    # One exchange of the texts serves both joins: they have the same key and take the same columns.
+    dealt = rows.repartition(parts, "id")
     runs = (
-        dealt.join(wanted, "node")
+        dealt.join(wanted, "id")
         .select("doc_id", "node", "id", "text", "hashes")
         .mapInArrow(_sent(parts), "part int, blob binary")
     )
     spans = runs.groupBy("part").applyInPandas(_merge, "node long, id long, start long, stop long")
-    of_text = spans.groupBy("node", "id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    of_text = of_text.select(F.col("node").alias("n"), F.col("id").alias("i"), "spans")
-    joined = dealt.join(of_text, (F.col("node") == F.col("n")) & (F.col("id") == F.col("i")), "left")
+    of_text = spans.groupBy("id").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))
+    joined = dealt.join(of_text, "id", "left").select(
+        "doc_id", "text", F.filter("spans", lambda s: s["node"] == F.col("node")).alias("spans")
+    )
     schema = (
         f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, "
         "kept_sha256 string, starts array<long>, stops array<long>"
