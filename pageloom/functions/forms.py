@@ -15,7 +15,9 @@ CODE = r"(?is)<(script|style).*?</\1>"
 
 def raw_text(html: Column) -> Column:
     """Tags dropped, line breaks at paragraph ends; references stay as written."""
-    text = sub_closed(html, CODE, "", "</(?:script|style)>")
+    text = html
+    for tag in ("script", "style"):  # each up to its own last closing mark
+        text = sub_closed(text, rf"(?is)<{tag}.*?</{tag}>", "", f"</{tag}>")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6])>", "\n")
     text = F.regexp_replace(drop_page_tags(text), r"\n{3,}", "\n\n")
     return strip(text)
@@ -29,7 +31,8 @@ def _link_as_text(anchor: Column) -> Column:
 def link_text(html: Column) -> Column:
     """Readable text that keeps link targets and marks headings."""
     text = decode_entities(F.coalesce(html, F.lit("")))
-    text = sub_closed(text, r"(?is)<(script|style|noscript).*?</\1>", "", "</(?:script|style|noscript)>")
+    for tag in ("script", "style", "noscript"):
+        text = sub_closed(text, rf"(?is)<{tag}.*?</{tag}>", "", f"</{tag}>")
     text = sub_each(text, FILLED_ANCHOR, _link_as_text, "</a>")
     for level in range(1, 7):
         text = sub_closed(text, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", f"[H{level}] $1", f"</h{level}>")

@@ -22,6 +22,11 @@ META = r"""(?i)<meta\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 LINK_TAG = r"""(?i)<link\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 
+def open_tags(html: Column, pattern: str) -> Column:
+    """All tags of a pattern that ends in `>`; a tag that never closes sends no search to the end of the page."""
+    return every(upto_last(html, ">"), pattern)
+
+
 def flat(arrays: list[Column]) -> Column:
     return F.flatten(F.array(*arrays))
 
@@ -102,14 +107,14 @@ def images(html: Column, base: Column) -> Column:
             alt.isNotNull().alias("has_alt"),
         )
 
-    return F.transform(every(html, IMAGE), image)
+    return F.transform(open_tags(html, IMAGE), image)
 
 
 def media_urls(html: Column, base: Column) -> Column:
     """array<struct<kind, pattern_no, url>> of videos and audio files."""
 
     def of(kind: str, number: int, tag: str, wanted: str) -> Column:
-        sources = F.transform(every(html, rf"(?i)<{tag}\b[^>]*>"), lambda t: attribute(t, "src"))
+        sources = F.transform(open_tags(html, rf"(?i)<{tag}\b[^>]*>"), lambda t: attribute(t, "src"))
         kept = F.filter(sources, lambda s: (s != "") & s.rlike(wanted))
         return F.transform(
             kept,
@@ -155,7 +160,7 @@ def form_fields(body: Column) -> Column:
 
     def of(tag: str) -> Column:
         fields = F.transform(
-            every(body, rf"(?i)<{tag}\b[^>]*>"),
+            open_tags(body, rf"(?i)<{tag}\b[^>]*>"),
             lambda t: F.struct(
                 attribute(t, "name").alias("name"),
                 (F.coalesce(attribute(t, "type"), F.lit("text")) if tag == "input" else F.lit("text")).alias(

@@ -18,8 +18,9 @@ from pageloom.functions.rows import exploded
 
 def page_facts(pages: DataFrame) -> DataFrame:
     """What the audit measures on each page."""
+    pages = pages.withColumn("html", F.coalesce("html", F.lit("")))
     html, url = F.col("html"), F.col("url")
-    pictures = X.every(html, M.IMAGE)
+    pictures = M.open_tags(html, M.IMAGE)
     read = pages.select(
         "page_id",
         X.site_key(url).alias("site"),

@@ -20,7 +20,6 @@ from pageloom.functions import text as X
 from pageloom.functions.blocks import html_blocks
 from pageloom.functions.rows import exploded
 from pageloom.functions.text import every, first, let, squash, strip
-from pageloom.session import settled
 
 EXTRA = "array<struct<name:string,lat:double,lon:double>>"
 BUSINESS = {
@@ -174,8 +173,8 @@ def _with_listing(read: DataFrame, source: str, *extra: str) -> DataFrame:
 
 
 def _has_blocks(html: Column) -> Column:
-    classes = "|".join(fixed.BLOCK_CLASSES)
-    return html.rlike(rf"(?is)<(?:div|article|section)\b[^>]*class\s*=[^>]*(?:{classes})")
+    """Lets through every page the parser could find a block on, and many it finds none on."""
+    return html.rlike("(?i)" + "|".join(fixed.BLOCK_CLASSES))
 
 
 def block_array(html: Column) -> Column:
@@ -248,9 +247,9 @@ def map_markers(pages: DataFrame) -> DataFrame:
     )
 
 
-def _section_at(text: Column, name: Column) -> Column:
-    """Text from a name on, up to the next line that starts with a letter; NULL if absent."""
-    at = F.instr(F.lower(text), F.lower(name))
+def _section_at(text: Column, small: Column, name: Column) -> Column:
+    """Text from a name on, up to the next line that starts with a letter; NULL if absent. small: the lowered text."""
+    at = F.instr(small, F.lower(name))
     section = F.regexp_extract(F.substr(text, at), r"(?s)\A.+?(?=\n\s*[A-Za-z][^\n]*\n|\z)", 0)
     return F.when(at > 0, section)
 
@@ -261,8 +260,8 @@ def detail_array(markers: Column, text: Column) -> Column:
     A city match alone would hide the street, so the form with a street is tried first.
     """
 
-    def detail(marker: Column) -> Column:
-        return let(_section_at(text, marker["name"]), lambda s: fields(marker, s))
+    def detail(marker: Column, small: Column) -> Column:
+        return let(_section_at(text, small, marker["name"]), lambda s: fields(marker, s))
 
     def fields(marker: Column, s: Column) -> Column:
         street = F.regexp_extract(s, fixed.STREET_CITY_STATE_ZIP, 0)
@@ -281,7 +280,7 @@ def detail_array(markers: Column, text: Column) -> Column:
             first(s, fixed.DASHED_PHONE).alias("phone"),
             first(s, fixed.WEBSITE_LINE, 1).alias("website"),
             F.nullif(F.regexp_extract(s, fixed.EMAIL, 0), F.lit("")).alias("email"),
-            part(2 - 1, None).alias("street"),
+            part(1, None).alias("street"),
             part(2, 1).alias("city"),
             part(3, 2).alias("state"),
             part(4, 3).alias("zip_code"),
@@ -290,7 +289,8 @@ def detail_array(markers: Column, text: Column) -> Column:
             ).alias("services"),
         )
 
-    return F.transform(markers, detail)
+    # Lowered once for all markers of the page.
+    return let(F.lower(text), lambda small: F.transform(markers, lambda m: detail(m, small)))
 
 
 def with_markers(pages: DataFrame) -> DataFrame:
@@ -464,10 +464,19 @@ def dedupe_businesses(businesses: DataFrame, scope: tuple[str, ...] = ("page_id"
 
 
 def merged_businesses(texts: DataFrame, scope: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Table and map businesses of raw directory texts, the table's version first."""
-    both = table_businesses(texts).withColumn("priority", F.lit(1)).unionByName(
-        map_businesses(texts).withColumn("priority", F.lit(2))
-    )
+    """Table and map businesses of raw directory texts, the table's version first.
+
+    scope: the columns of texts within which a name counts once, such as the page or the site.
+    """
+    wider = [c for c in scope if c != "page_id"]
+    # The page's other scope columns travel with its id.
+    packed = texts.withColumn("page_id", F.struct("page_id", *wider)) if wider else texts
+    both = table_businesses(packed).withColumn("priority", F.lit(1)).unionByName(
+        map_businesses(packed).withColumn("priority", F.lit(2))
+    )
+    if wider:
+        both = both.select("*", *[F.col(f"page_id.{c}").alias(c) for c in wider])
+        both = both.withColumn("page_id", F.col("page_id.page_id"))
     return dedupe_businesses(both, scope)
 
 
@@ -767,8 +776,8 @@ def shortcode_businesses(pages: DataFrame, start_marker: str | None = None) -> D
 
     The extra locations of a business all stand in one page's row, so their list stays small.
     """
-    listed = settled(section_businesses(pages, start_marker))
-    matched = settled(match_points(settled(marker_lines(pages)), listed))
+    listed = section_businesses(pages, start_marker)
+    matched = match_points(marker_lines(pages), listed)
     place = F.struct(
         "pos", "name", F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lon")
     )
@@ -823,9 +832,10 @@ def candidates(pages: DataFrame) -> DataFrame:
 def page_businesses(pages: DataFrame, start_marker: str | None = None) -> DataFrame:
     """The business listings of each page by its first route that finds any.
 
-    A page's route is known from its own row, so no page is regrouped to choose it.
+    A page's route is known from its own row, so no page is regrouped to choose it. Given a written table of
+    candidates in place of pages, the routes read that and parse nothing again.
     """
-    found = settled(candidates(pages))
+    found = pages if "route" in pages.columns else candidates(pages)
 
     def of(route: int) -> DataFrame:
         return found.where(F.col("route") == route)

@@ -11,7 +11,6 @@ from pageloom.functions import forms, stats
 from pageloom.functions import text as X
 from pageloom.operators import audit, directory, elements, rollups, terms, texts
 from pageloom.plans import page_extract, samples, site_reports
-from pageloom.session import settled
 from pageloom.sources import landed, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,7 +372,7 @@ def business_csv(spark, sf_dir):
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = samples.section_pages(spark, sf_dir)
     points, known = directory.marker_lines(pages), directory.section_businesses(pages)
-    return directory.match_points(settled(points), settled(known))
+    return directory.match_points(points, known)
 
 
 @query

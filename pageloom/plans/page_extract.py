@@ -36,7 +36,7 @@ def readable_text(html: Column) -> Column:
 
 def page_metrics(pages: DataFrame) -> DataFrame:
     """Words, characters, paragraphs, headings, links and images of each page."""
-    return _read(pages).select("page_id", *_metric_columns())
+    return _read(pages.withColumn("html", F.coalesce("html", F.lit("")))).select("page_id", *_metric_columns())
 
 
 def _read(pages: DataFrame, *keep: Column | str) -> DataFrame:
@@ -49,7 +49,7 @@ def _read(pages: DataFrame, *keep: Column | str) -> DataFrame:
         elements.array_of(pages, "headings").alias("headings"),
         elements.array_of(pages, "links").alias("links"),
         M.paragraph_count(html).alias("paragraph_count"),
-        stats.count_of(html, M.IMAGE).alias("image_count"),
+        F.size(M.open_tags(html, M.IMAGE)).alias("image_count"),
     )
 
 
@@ -114,16 +114,20 @@ def page_summary(pages: DataFrame, businesses: DataFrame | None = None) -> DataF
 def page_extract(
     pages: DataFrame, start_marker: str | None = None, store: str | None = None
 ) -> dict[str, DataFrame]:
-    """All tables of an extraction by name; none is computed until it is written.
+    """All tables of an extraction by name; without a store none is computed until it is written.
 
     Eleven tables would parse the HTML eleven times. With a store path in a folder all executors share, the
-    parsed pages are written there once and the tables read them back.
+    parsed pages and the candidates for businesses are written there at once and the tables read them back.
     """
     ready = elements.parsed(pages).withColumn("text", readable_text(F.col("html")))
     if store is not None:
-        ready.drop("json_ld").write.mode("overwrite").parquet(store)
-        ready = pages.sparkSession.read.parquet(store)
-    businesses = directory.page_businesses(pages.select("page_id", "url", "html"), start_marker)
+        ready.drop("json_ld").write.mode("overwrite").parquet(f"{store}/pages")
+        ready = pages.sparkSession.read.parquet(f"{store}/pages")
+    found = directory.candidates(pages.select("page_id", "url", "html"))
+    if store is not None:
+        found.write.mode("overwrite").parquet(f"{store}/candidates")
+        found = pages.sparkSession.read.parquet(f"{store}/candidates")
+    businesses = directory.page_businesses(found, start_marker)
     media = elements.media(ready)
     return {
         "page_summary": page_summary(ready, businesses),

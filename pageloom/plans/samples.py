@@ -12,8 +12,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.session import spread
-
 PER_PAGE = 10
 
 
@@ -25,7 +23,7 @@ def template(text: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

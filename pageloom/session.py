@@ -1,10 +1,10 @@
-"""Session settings and the shared folder for state that must outlive an executor."""
+"""Session settings the jobs rely on."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings the jobs rely on. Sizes stay at Spark's defaults, so that the cluster decides.
 SETTINGS = {
@@ -34,36 +34,3 @@ def local_session(cores: int | str = 8, name: str = "pageloom", **extra: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """A table several later steps read, computed once.
-
-    Where the cluster names a shared folder the table is checkpointed there and survives lost executors;
-    elsewhere the plan stays as it is.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return path
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan one partition per core.
-
-    A table of one row group reads as one task and would parse all its HTML there. A scan that already
-    has enough splits, as every large one has, is left alone: no shuffle is added.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

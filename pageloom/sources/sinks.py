@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pageloom.functions import text as X
 from pageloom.operators import texts as text_jobs
 
+#: Folders that the sites of a stored table are dealt to.
+SITE_FOLDERS = 64
 CSV = {"header": True, "escape": '"', "quoteAll": True, "emptyValue": ""}
 
 
@@ -72,14 +74,18 @@ def media_manifest(media: DataFrame, root: str = "") -> DataFrame:
 
 
 def site_index(manifest: DataFrame, media: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two tables of a site index, stamped with the time of writing."""
+    """The two tables of a site index, stamped with the time of writing; items in order of site, type and id."""
     stamp = F.unix_timestamp(F.current_timestamp())
-    return manifest.withColumn("generated_at", stamp), media.withColumn("generated_at", stamp)
+    ordered = manifest.orderBy("site", "type", "id")
+    return ordered.withColumn("generated_at", stamp), media.withColumn("generated_at", stamp)
 
 
 def write_page_text(page_text: DataFrame, path: str, mode: str = "append") -> None:
-    """All text forms in one table, partitioned like the landed items."""
-    page_text.write.mode(mode).partitionBy("site", "rest_base").parquet(path)
+    """All text forms in one table. A folder holds many sites, so their number stays small; a site lies together."""
+    bucket = F.pmod(F.xxhash64("site"), F.lit(SITE_FOLDERS))
+    rows = page_text.withColumn("site_folder", bucket).repartition("rest_base", "site_folder", F.pmod(F.hash("page_id"), F.lit(8)))
+    rows = rows.sortWithinPartitions("rest_base", "site_folder", "site", "page_id")
+    rows.write.mode(mode).partitionBy("rest_base", "site_folder").parquet(path)
 
 
 def write_csv(table: DataFrame, path: str, by_site: bool = False, mode: str = "overwrite") -> None:

@@ -12,7 +12,6 @@ from pageloom.functions import text as X
 from pageloom.functions.rows import exploded
 from pageloom.operators import audit, directory, elements, rollups, terms, texts
 from pageloom.plans import page_extract, site_reports
-from pageloom.session import settled, spread
 
 
 def plan(df) -> str:
@@ -85,16 +84,15 @@ def test_exploded_drops_empty_and_null_arrays(spark):
     assert rows(exploded(df, "v", "k")) == [(1, 0, "a"), (1, 1, "b")]
 
 
-def test_spread_leaves_wide_tables_alone(spark):
-    wide = spark.range(100).repartition(64)
-    assert spread(wide) is wide
-    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-
-def test_settled_cuts_the_plan_where_a_folder_is_set(spark):
-    df = settled(spark.range(3).withColumn("x", F.col("id") + 1))
-    assert "Scan ExistingRDD" in plan(df)
-    assert df.count() == 3
+def test_building_a_plan_starts_no_job(spark, pages):
+    df = pages("<div class='card'><p>A</p><p>B</p></div>", None)
+    spark.sparkContext.setJobGroup("built", "plans only")
+    directory.page_businesses(df).explain()
+    directory.match_points(directory.marker_lines(df), directory.section_businesses(df)).explain()
+    page_extract.page_extract(df)
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup("built")
+    spark.sparkContext.setJobGroup("", "")
+    assert not started
 
 
 def test_hostile_pages_stay_fast(spark):
