@@ -10,7 +10,6 @@ from pageloom.functions.text import attribute, decode_entities, drop_page_tags,
 
 ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]*"|'[^']*')[^>]*>.*?</a>"""
 FILLED_ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]+"|'[^']+')[^>]*>.*?</a>"""
-CODE = r"(?is)<(script|style).*?</\1>"
 
 
 def raw_text(html: Column) -> Column:
