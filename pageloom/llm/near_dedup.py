@@ -3,8 +3,9 @@
 Every shingle of a text sends arrivals of a Poisson process whose rate is its weight, each to a random register; a
 register keeps the shingle that arrives first. Arrivals of a shingle end as soon as they come later than every
 register's time. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles.
-Registers are joined to bands; texts that share a band are compared exactly. Equal texts are one class from the start,
-so copies cost nothing further, and inside a bucket only one star and then pairs of different components are compared.
+Registers are joined to bands; texts that share a band may be similar, and the Jaccard similarity of their shingle sets
+decides. Equal texts are one class from the start, so copies cost nothing further. A bucket is not expanded into pairs:
+stars link most of it, and what they leave apart meets by a prefix filter, which is exact.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.functions.rows import exploded
 from pageloom.llm import hashing
 from pageloom.llm.common import whole, written
 from pageloom.llm.components import components
@@ -28,8 +30,8 @@ WORDS = 5
 SIMILAR = 0.8
 #: Registers, a power of two; bands of ROWS registers. At similarity 0.8 a pair shares a band with probability 0.99995.
 REGISTERS, BANDS, ROWS = 128, 25, 5
-#: A bucket with more unlinked texts than this is split by the texts' other bands.
-CROWD = 64
+#: Rounds of stars before pairs are formed.
+STARS = 2
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -108,38 +110,21 @@ def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"n": pd.Series(n, dtype="int32"), "bands": pd.Series(out, dtype=object)})
 
 
-@F.pandas_udf(T.StructType().add("h", "binary").add("w", "binary"))
-def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        out = []
-        for text in batch:
-            _, made, counts = shingles([text])
-            out.append((made.tobytes(), counts.astype(np.int32).tobytes()))
-        yield pd.DataFrame(out, columns=["h", "w"])
-
-
-def similarity(h1: bytes, w1: bytes, h2: bytes, w2: bytes) -> float:
-    """The larger of the texts' probability Jaccard over weighted shingles and their plain Jaccard."""
-    a, b = np.frombuffer(h1, dtype=np.uint64), np.frombuffer(h2, dtype=np.uint64)
-    if not len(a) or not len(b):
-        return 0.0
-    common, at, bt = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    plain = len(common) / (len(a) + len(b) - len(common))
-    x, y = weights(np.frombuffer(w1, dtype=np.int32)), weights(np.frombuffer(w2, dtype=np.int32))
-    sx, sy = x[at], y[bt]
-    order = np.argsort(sx / sy, kind="stable")
-    sx, sy = sx[order], sy[order]
-    # For a common shingle i: the sum over all j of max(x_j / x_i, y_j / y_i), split at j's ratio.
-    ratio = sx / sy
-    low = np.searchsorted(ratio, ratio, "left")
-    more_x = np.r_[np.cumsum(sx[::-1])[::-1], 0.0][low] + (x.sum() - sx.sum())
-    less_y = np.r_[0.0, np.cumsum(sy)][low] + (y.sum() - sy.sum())
-    return max(plain, float((1 / (more_x / sx + less_y / sy)).sum()))
+        yield pd.Series([shingles([text])[1].astype(np.int64) for text in batch], dtype=object)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of distinct shingles; texts without shingles are similar to none."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if common else 0.0
 
 
 @F.pandas_udf(T.DoubleType())
-def _similarity(h1: pd.Series, w1: pd.Series, h2: pd.Series, w2: pd.Series) -> pd.Series:
-    return pd.Series([similarity(*row) for row in zip(h1, w1, h2, w2, strict=True)], dtype="float64")
+def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def _words(text: Column | str) -> Column:
@@ -149,24 +134,49 @@ def _words(text: Column | str) -> Column:
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs a, b that are similar."""
-    left = sets.select(F.col("node").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1"))
-    right = sets.select(F.col("node").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2"))
+    left = sets.select(F.col("node").alias("a"), F.col("h").alias("h1"))
+    right = sets.select(F.col("node").alias("b"), F.col("h").alias("h2"))
     rows = pairs.join(left, "a").join(right, "b")
-    return written(rows.where(_similarity("h1", "w1", "h2", "w2") >= SIMILAR).select("a", "b"), "linked")
+    return written(rows.where(_jaccard("h1", "h2") >= SIMILAR).select("a", "b"), "linked")
+
 
+def _alike(n1: Column, n2: Column) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return F.least(n1, n2) >= SIMILAR * F.greatest(n1, n2)
 
-def _alike(n1: str, n2: str) -> Column:
-    """Texts of very different numbers of shingles (or, by weights, of weight) cannot be similar."""
-    # Weights grow with the logarithm of counts, so the bound for counts is taken with some room.
-    return F.least(n1, n2) >= 0.5 * SIMILAR * F.greatest(n1, n2)
 
+def _mixed(buckets: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components."""
+    spread = buckets.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    return buckets.join(spread.select("k"), "k", "left_semi")
 
-def _pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs a < b of different components in each bucket k."""
-    own = buckets.select("k", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"))
-    other = buckets.select("k", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
-    both = own.join(other, "k").where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & _alike("n1", "n2"))
-    return both.select("a", "b").distinct()
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components that can be similar, none left out: a, b. nodes: node, n, comp.
+
+    With shingles ordered by rarity, two similar sets share one among the first n - SIMILAR * n + 1 of the larger and
+    the first n - 2 * SIMILAR / (1 + SIMILAR) * n + 1 of the smaller. What many texts share comes last in that order,
+    so texts that have but a common passage, or are copies changed too much, do not meet.
+    """
+    rows = exploded(nodes.join(sets, "node"), "h", "node", "n", "comp").select("node", "n", "comp", F.col("e").alias("h"))
+    shared = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    common = written(rows.join(shared, "h"), "common")
+    alone = common.groupBy("node").agg(F.count("*").alias("met"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
+    ranked = common.withColumn("rank", rank).join(alone, "node").withColumn("rank", F.col("n") - F.col("met") + F.col("rank"))
+    # Rounding must not shorten a prefix, hence the small part taken off before it is rounded up.
+    longer = F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n") - 1e-9) + 1
+    shorter = F.col("n") - F.ceil(F.lit(2 * SIMILAR / (1 + SIMILAR)) * F.col("n") - 1e-9) + 1
+    first = written(ranked.where(F.col("rank") <= longer).withColumn("both", F.col("rank") <= shorter).drop("df", "met"), "prefix")
+    columns = ("node", "n", "comp", "both", "rank")
+    own, other = (first.select("h", *[F.col(c).alias(f"{c}{i}") for c in columns]) for i in (1, 2))
+    apart = (F.col("comp1") != F.col("comp2")) & _alike(F.col("n1"), F.col("n2")) & F.col("both2")
+    order = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") > F.col("node2")))
+    # At the first shingle that two sets share, so much of each can still be common at most.
+    rest = F.least(F.col("n1") - F.col("rank1"), F.col("n2") - F.col("rank2")) + 1
+    enough = rest >= F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("n1") + F.col("n2")) - 1e-9
+    met = own.join(other, "h").where(apart & order & enough)
+    return met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -198,41 +208,36 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     each = texts.select("node", "n", F.posexplode("bands").alias("band", "hash")).select(
         "node", "n", F.struct("band", "hash").alias("k")
     )
-    hubs = each.groupBy("k").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    buckets = written(each.join(hubs, "k").select("k", "node", "n", "hub", "size"), "buckets")
+    sizes = each.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = written(each.join(sizes, "k").select("k", "node", "n", "size"), "buckets")
+    # The text that meets the most others is likely the one the others are copies of.
+    scores = buckets.groupBy("node").agg(F.sum("size").alias("score"))
+    buckets = written(buckets.drop("size").join(scores, "node"), "scored")
     needed = texts.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "digest")
     rows = docs.select(F.col(doc_id).alias("id"), _words(text).alias("text"))
     same = F.col("id").eqNullSafe(F.col("doc_id"))
     found = rows.join(needed, same).where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
     sets = written(
-        found.select("node", _sets("text").alias("s"))
-        .groupBy("node")
-        .agg(F.first("s.h").alias("h"), F.first("s.w").alias("w")),
+        found.select("node", _set("text").alias("h")).groupBy("node").agg(F.first("h").alias("h")),
         "sets",
     )
-    # First the star of each bucket: its smallest node with all others.
-    star = (
-        buckets.select(F.col("hub.node").alias("a"), F.col("hub.n").alias("n1"), F.col("node").alias("b"), F.col("n").alias("n2"))
-        .where((F.col("a") != F.col("b")) & _alike("n1", "n2"))
-        .select("a", "b")
-        .distinct()
-    )
-    links = _linked(star, sets)
-    # Then what the stars left apart: pairs of different components that share a bucket.
-    joined = buckets.join(components(links), "node", "left").select(
-        "k", "node", "n", F.coalesce("comp", "node").alias("comp")
-    )
-    spread = joined.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-    mixed = written(joined.join(spread.where("lo < hi").select("k", "size"), "k"), "mixed")
-    crowd = mixed.where(F.col("size") > CROWD).join(texts.select("node", "bands"), "node")
-    finer = crowd.select(
-        "k", "node", "n", "comp", F.posexplode("bands").alias("band2", "hash2")
-    ).where(F.col("band2") != F.col("k.band"))
-    finer = finer.select(F.struct("k.band", "k.hash", "band2", "hash2").alias("k"), "node", "n", "comp")
-    few = mixed.where(F.col("size") <= CROWD).select(
-        F.struct("k.band", "k.hash", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("hash2")).alias("k"), "node", "n", "comp"
-    )
-    links = written(links.unionByName(_linked(_pairs(few.unionByName(finer)), sets)), "links")
+    # Stars: the most met text of each bucket with all others of the bucket, then the most met one that is not linked
+    # to it with all that are not linked to that one.
+    links, comps = None, None
+    for _ in range(STARS):
+        joined = buckets if comps is None else buckets.join(comps, "node", "left")
+        joined = joined.withColumn("comp", F.col("node") if comps is None else F.coalesce("comp", "node"))
+        mixed = _mixed(joined)
+        center = mixed.groupBy("k").agg(F.max(F.struct("score", "node", "n", "comp")).alias("hub"))
+        met = mixed.join(center, "k").where(F.col("comp") != F.col("hub.comp"))
+        star = met.where(_alike(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+        new = _linked(star.distinct(), sets)
+        links = new if links is None else written(links.unionByName(new), "links")
+        comps = components(links)
+    # Then all pairs that can be similar among the texts that share a band with one of another component.
+    joined = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    apart = written(_mixed(joined).select("node", "n", "comp").distinct(), "apart")
+    links = written(links.unionByName(_linked(_prefix_pairs(apart, sets), sets)), "links")
     comps = components(links)
     named = texts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", F.col("node").alias("row"))).alias("best")
@@ -270,9 +275,6 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def brute_links(texts: Iterable[str]) -> set[tuple[int, int]]:
     """All similar pairs by comparing each with each; for tests."""
-    sets = []
-    for t in texts:
-        _, made, counts = shingles([" ".join(t.lower().split())])
-        sets.append((made.tobytes(), counts.astype(np.int32).tobytes()))
+    sets = [shingles([" ".join(t.lower().split())])[1] for t in texts]
     n = range(len(sets))
-    return {(i, j) for i in n for j in n if i < j and similarity(*sets[i], *sets[j]) >= SIMILAR}
+    return {(i, j) for i in n for j in n if i < j and jaccard(sets[i], sets[j]) >= SIMILAR}
