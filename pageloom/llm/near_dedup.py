@@ -1,9 +1,9 @@
-"""Near duplicates by ProbMinHash over weighted word shingles.
+"""Near duplicates by ProbMinHash over word shingles.
 
 Every shingle of a text sends arrivals of a Poisson process whose rate is its weight, each to a random register; a
 register keeps the shingle that arrives first. Arrivals of a shingle end as soon as they come later than every
-register's time. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles.
-Registers are joined to bands; texts that share a band may be similar, and the Jaccard similarity of their shingle sets
+register's time. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles;
+with weights that are the same in every text, as here, that is the similarity which decides. Registers are joined to bands; texts that share a band may be similar, and the Jaccard similarity of their shingle sets
 decides. Equal texts are one class from the start, so copies cost nothing further. A bucket is not expanded into pairs:
 stars link most of it, and what they leave apart meets by a prefix filter, which is exact.
 """
@@ -66,8 +66,9 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def weights(counts: np.ndarray) -> np.ndarray:
-    """Weight of a shingle that occurs so often: repetition counts, but less and less."""
-    return 1.0 + np.log(counts)
+    """Weight of a shingle: 1 however often it occurs, as links are decided by sets. A weight that grew with the count
+    would differ between two texts that repeat shingles differently, and keep similar ones from meeting."""
+    return np.ones(len(counts))
 
 
 def registers(place: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:

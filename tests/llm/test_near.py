@@ -68,6 +68,20 @@ def test_changed_copies_and_common_passages(spark):
     check(spark, list(range(len(texts))), texts)
 
 
+def test_texts_that_repeat_shingles_differently_meet(spark):
+    random.seed(21)
+    words = lambda n: ["".join(random.choices("abcdefgh", k=6)) for _ in range(n)]
+    texts = []
+    for c in (10, 100, 300) * 6:  # a copy with a line more, repeated c times
+        base = words(100)
+        texts += [" ".join(base), " ".join(base + words(18) * c)]
+    for _ in range(6):  # the same shingles, but for those around the repeated halves
+        a, b = words(100), words(100)
+        texts += [" ".join(a * 100 + b * 2), " ".join(a * 2 + b * 100)]
+    assert len(nd.brute_links(texts)) == len(texts) / 2
+    check(spark, list(range(len(texts))), texts)
+
+
 def test_prefix_pairs_lose_no_link(spark):
     texts = copies(25, 11)
     sets = spark.createDataFrame([(i, nd.shingles([t])[1].astype("int64").tolist()) for i, t in enumerate(texts)], "node long, h array<long>")
