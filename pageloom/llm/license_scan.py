@@ -1,6 +1,7 @@
 """Licences of files: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-Lines that speak of rights (and, of licence files, the whole text) are compared with short licence notices. Different
+Lines that speak of rights (and, of licence files, the whole text) are compared with short licence notices; as headers
+are often wrapped, so are runs of neighbouring lines around such a line. Different
 texts are compared once, however many files hold them. A file without a notice takes the licence that a licence file
 gives to the nearest directory above it; directories, not files, are joined with their ancestors.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions import text as X
 from pageloom.functions.rows import exploded
 from pageloom.llm.common import whole, written
 
@@ -34,6 +36,24 @@ NOTICES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
 )
+#: Headers that files carry in place of a notice, always over several lines.
+HEADERS = tuple(
+    (
+        name,
+        f"{kind} is free software: you can redistribute it and/or modify it under the terms of the GNU {of} General Public"
+        f" License as published by the Free Software Foundation, either version {version} of the License, or (at your option)"
+        " any later version.",
+    )
+    for name, kind, of, version in (
+        ("GPL-2.0", "This program", "", "2"),
+        ("GPL-3.0", "This program", "", "3"),
+        ("LGPL-2.1", "This library", "Lesser", "2.1"),
+        ("LGPL-3.0", "This library", "Lesser", "3"),
+        ("AGPL-3.0", "This program", "Affero", "3"),
+    )
+)
+#: Lines of the widest run that is compared; the longest header takes four.
+WIDE = 4
 CUE = (
     r"licen[sc]e|copyright|spdx-|all rights reserved|creative commons|public domain|free of charge"
     r"|redistribution and use|cc by|cc0"
@@ -54,7 +74,8 @@ def _weighted(counts: DataFrame, key: str, idf: DataFrame, n: DataFrame) -> Data
 
 
 def matches(segments: DataFrame, templates: DataFrame) -> DataFrame:
-    """Best licence of each different token list: seg, license, cosine. segments: toks, files (how many hold it)."""
+    """Best licence of each different token list: seg, license, cosine. segments: toks, files (how many hold it; 0 for
+    runs of lines, whose lines are counted already)."""
     segs = written(segments.select(F.monotonically_increasing_id().alias("seg"), "toks", "files"), "segments")
     counts = exploded(segs, "toks", "seg", "files").groupBy("seg", "files", F.col("e").alias("token"))
     counts = counts.agg(F.count("*").alias("c"))
@@ -72,6 +93,21 @@ def matches(segments: DataFrame, templates: DataFrame) -> DataFrame:
     return segs.join(best, "seg").select("toks", F.col("b.license").alias("license"), F.col("b.cosine").alias("cosine"))
 
 
+def _runs(lines: Column) -> Column:
+    """Runs of 2 to WIDE neighbouring lines, lines without a word left out, that hold a line with a cue."""
+    shapes = [(w, before) for w in range(2, WIDE + 1) for before in range(w)]
+    listed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(b).alias("b")) for w, b in shapes])
+
+    def around(own: Column) -> Column:
+        n = F.size(own)
+        cues = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(own, i - 1).rlike(CUE))
+        starts = F.transform(cues, lambda i: F.transform(listed, lambda s: F.struct((i - s["b"]).alias("at"), s["w"].alias("w"))))
+        inside = F.filter(F.array_distinct(F.flatten(starts)), lambda s: (s["at"] >= 1) & (s["at"] + s["w"] - 1 <= n))
+        return F.transform(inside, lambda s: F.array_join(F.slice(own, s["at"], s["w"]), " "))
+
+    return X.let(F.filter(lines, lambda x: x.rlike("[a-z0-9]")), around)
+
+
 def _first() -> Column:
     """The match that counts of several: the best cosine, then the licence first in order of name."""
     return F.min(F.struct((-F.col("cosine")).alias("order"), "license", "cosine")).alias("b")
@@ -92,15 +128,21 @@ def licences(files: DataFrame, templates: DataFrame, path: str = "path", text: s
         F.coalesce(named, F.lit(False)).alias("gives"),
         whole(text).alias("text"),
     )
-    lines = F.filter(F.split(F.lower("text"), "\n", -1), lambda x: x.rlike(CUE))
+    split = F.split(F.lower("text"), "\n", -1)
+    lines = F.filter(split, lambda x: x.rlike(CUE))
     all_ = F.when(F.col("gives"), F.concat(lines, F.array("text"))).otherwise(lines)
     segs = F.filter(F.array_distinct(F.transform(all_, tokens)), lambda t: F.size(t) > 0)
+    # Most texts have no cue; only those that have are cut into runs.
+    runs = F.when(F.lower("text").rlike(CUE), F.array_distinct(F.transform(_runs(split), tokens)))
     # Rows are numbered as they are written, so that repeated paths stay apart.
     table = written(
-        rows.select("path", "gives", segs.alias("segs"), F.monotonically_increasing_id().alias("row")), "files"
+        rows.select("path", "gives", segs.alias("segs"), runs.alias("runs"), F.monotonically_increasing_id().alias("row")),
+        "files",
     )
-    each = exploded(table, "segs", "row", "path", "gives").withColumnRenamed("e", "toks")
-    best = matches(each.groupBy("toks").agg(F.count("*").alias("files")), templates)
+    each = exploded(table, "segs", "row", "path", "gives").select("row", "path", "gives", F.col("e").alias("toks"), F.lit(1).alias("one"))
+    wide = exploded(table, "runs", "row", "path", "gives").select("row", "path", "gives", F.col("e").alias("toks"), F.lit(0).alias("one"))
+    each = each.unionByName(wide)
+    best = matches(each.groupBy("toks").agg(F.sum("one").alias("files")), templates)
     found = written(each.join(best, "toks").groupBy("row", "path", "gives").agg(_first()), "found")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     given = found.where("gives").groupBy(folder.alias("dir")).agg(F.min("b").alias("b"))

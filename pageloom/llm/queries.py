@@ -43,7 +43,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.concat_ws("/", F.when(~gives | (level >= 1), hundreds), F.when(~gives | (level >= 2), tens))
     name = F.concat(F.when(gives, "LICENSE-").otherwise("text-"), F.col("doc_id").cast("string"))
     path = F.regexp_replace(F.concat_ws("/", "source", inner, name), "//", "/")
-    templates = spark.createDataFrame(license_scan.NOTICES, "license string, text string")
+    templates = spark.createDataFrame(license_scan.NOTICES + license_scan.HEADERS, "license string, text string")
     found = license_scan.licences(docs.select(path.alias("path"), "text"), templates)
     return found.withColumn("doc_id", F.regexp_extract("path", r"-(-?\d+)$", 1).cast("long"))
 

@@ -78,6 +78,25 @@ def test_own_and_inherited(spark):
     )
 
 
+def test_wrapped_headers(spark):
+    mpl = (
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\n"
+        " * License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+        " * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n"
+    )
+    gpl = (
+        "# This program is free software: you can redistribute it and/or modify\n"
+        "# it under the terms of the GNU General Public License as published by\n#\n"
+        "# the Free Software Foundation, either version 3 of the License, or\n"
+        "# (at your option) any later version.\n"
+    )
+    files = [("a.js", mpl + "let x = 1;\n"), ("b.py", gpl + "x = 1\n"), ("c.py", gpl.replace(" 3 ", " 2 ")), ("d.py", "x = 1\ny = 2")]
+    df = spark.createDataFrame(files, "path string, text string")
+    templates = spark.createDataFrame(license_scan.NOTICES + license_scan.HEADERS, "license string, text string")
+    got = {r.path: (r.license, r.how) for r in license_scan.licences(df, templates).collect()}
+    assert got == {"a.js": ("MPL-2.0", "own"), "b.py": ("GPL-3.0", "own"), "c.py": ("GPL-2.0", "own"), "d.py": (None, "none")}
+
+
 def test_root_licence_and_empty_table(spark):
     got = scan(spark, [("LICENSE", "Released under the MIT License."), ("p/q.py", "x")]).collect()
     assert {r.path: (r.license, r.from_dir) for r in got}["p/q.py"] == ("MIT", "")
