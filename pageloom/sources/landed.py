@@ -27,22 +27,28 @@ def records(landed: DataFrame, schema: str) -> DataFrame:
     keys = [c for c in landed.columns if c not in ("value", "file")]
     # Record by record, so that one that is no object spoils no other.
     rows = exploded(landed, F.from_json("value", "array<string>"), "file", *keys)
-    read = rows.withColumn("r", F.from_json("e", f"struct<{_typed(schema)}>"))
+    read = rows.withColumn("r", _read("e", schema))
     good = read.where(F.col("r.id").isNotNull())
     return good.select("r.*", *keys, F.struct("file", F.col("pos").alias("place")).alias("pos"))
 
 
-def rejected(landed: DataFrame) -> DataFrame:
-    """What `records` cannot read: file, place in it (NULL: the whole file), its text, and the folder columns."""
+def rejected(landed: DataFrame, schema: str = schemas.ITEM) -> DataFrame:
+    """What `records` of that schema cannot read: file, place in it (NULL: the whole file), its text, and the folder
+    columns."""
     keys = [c for c in landed.columns if c not in ("value", "file")]
     parts = landed.withColumn("parts", F.from_json("value", "array<string>"))
     broken = parts.where(F.col("parts").isNull() & ~X.blank(F.col("value")))
-    rows = exploded(parts, "parts", "file", *keys).where(F.get_json_object("e", "$.id").try_cast("bigint").isNull())
+    rows = exploded(parts, "parts", "file", *keys).where(_read("e", schema)["id"].isNull())
     return broken.select("file", F.lit(None).cast("int").alias("place"), F.col("value").alias("text"), *keys).unionByName(
         rows.select("file", F.col("pos").alias("place"), F.col("e").alias("text"), *keys)
     )
 
 
+def _read(record: str, schema: str) -> Column:
+    """A record as a struct; its id is NULL where it cannot be read."""
+    return F.from_json(record, f"struct<{_typed(schema)}>")
+
+
 def _typed(schema: str) -> str:
     """A column list as the fields of a struct."""
     return re.sub(r"(\w+) (?=bigint|string|timestamp|struct)", r"\1:", " ".join(schema.split()))

@@ -227,6 +227,14 @@ def test_unreadable_records_are_kept_aside(spark, landing, tmp_path):
     assert found == [(None, '[{"id": ', "pages"), (1, '{"slug":', "pages"), (2, "7", "pages")]
 
 
+def test_every_record_is_read_or_kept_aside(spark, landing):
+    path = landing("pages", {"id": 1}, {"id": "12"}, {"id": 1.5}, {"id": None}, {"id": 2, "author": "x"}, [3], "4")
+    read = landed.items(spark, path).select(F.col("pos.place").alias("place"))
+    aside = landed.rejected(landed.item_files(spark, path)).select("place")
+    assert rows(read.unionByName(aside), "place") == [(i,) for i in range(7)]
+    assert (1,) in rows(aside, "place")
+
+
 def test_landed_media_make_a_manifest(spark, tmp_path):
     folder = tmp_path / "media" / "site=a.test"
     folder.mkdir(parents=True)
