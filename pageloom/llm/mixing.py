@@ -57,15 +57,16 @@ def mixed(
 ) -> DataFrame:
     """All columns of the documents, each row as often as drawn, plus copy_no (from 0), repeats, mix_key; shuffled.
 
-    Sources without a weight get no rows. Repeated rows of one doc_id draw equally. Null doc_ids share one draw.
-    Texts are not read, so null, empty and long ones need no rule. mix_key orders the result: partitions are dealt
+    Sources without a weight get no rows. Repeated rows of one doc_id draw equally. Rows without a doc_id draw by all
+    that they hold. Other texts are not read, so null, empty and long ones need no rule. mix_key orders the result: partitions are dealt
     by it and sorted by it. If documents have columns of these three names, theirs are replaced.
     """
     means = rates(docs, weights, source)
-    key = F.coalesce(F.col("mix_doc_id").cast("string"), F.lit("null"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("copy_no", "repeats", "mix_key")])
+    key = F.col("mix_doc_id")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("copy_no", "repeats", "mix_key")]).alias("doc"),
-        F.col(doc_id).alias("mix_doc_id"),
+        whole.alias("doc"),
+        F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null"), F.md5(F.to_json(whole)))).alias("mix_doc_id"),
         F.col(source).alias("mix_source"),
     )
     # No hint: the written table's size decides whether it is broadcast; else a hot source is split by the skew join.

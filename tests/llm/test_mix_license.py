@@ -32,6 +32,19 @@ def test_large_means_are_drawn_in_parts(spark):
     assert abs(n - r.rate) < 5 * r.rate**0.5
 
 
+def test_rows_without_doc_id_draw_apart(spark):
+    docs = documents(spark, [f"t{i}" for i in range(2000)], [None] * 2000, clash=False)
+    docs = docs.withColumn("source", F.when(F.col("text") < "t5", "a").otherwise("b"))
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
+    out = mixing.mixed(docs, weights, 4)
+    n = {r.source: r.n for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert len(n) == 2 and all(abs(v - 1000) < 150 for v in n.values())
+    by_text = out.groupBy("text").agg(F.count("*").alias("n"), F.max("repeats").alias("r"))
+    assert by_text.where("n <> r").count() == 0 and by_text.select("r").distinct().count() > 2
+    assert out.select("mix_key").distinct().count() == out.count()
+    assert rows(mixing.mixed(docs.repartition(9), weights, 4)) == rows(out)
+
+
 def test_mix_hostile(spark):
     docs = hostile(spark)
     out = mixing.mixed(docs, mixing.tempered(docs))
