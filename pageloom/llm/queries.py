@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pageloom.functions.text import let
 from pageloom.llm import (
     chat_format,
     decontaminate,
     exact_dedup,
     license_scan,
+    merkle,
     mixing,
     near_dedup,
+    periodic_runs,
     quality,
     suffix_dedup,
     token_counts,
@@ -105,6 +108,60 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _doc_hash() -> Column:
+    """CRC-32 of the id as text; null without one."""
+    return F.crc32(F.col("doc_id").cast("string"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the texts is given a tail of a fixed period first, as the contract says."""
+    h = _doc_hash()
+    g = F.floor(h / 10)
+
+    def periodic(words: Column) -> Column:
+        n = F.size(words)
+        at = F.struct((g % n).alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).alias("p"))
+
+        def moved(x: Column) -> Column:
+            source = lambda i: F.when(i < x["a"], i).otherwise(x["a"] + (i - x["a"]) % x["p"])
+            return F.array_join(F.transform(words, lambda w, i: F.get(words, source(i).cast("int"))), " ")
+
+        return F.when(n > 0, let(at, moved))
+
+    split = F.regexp_extract_all("text", F.lit(periodic_runs.WORD), F.lit(0))
+    text = F.when(h % 10 == 0, let(split, periodic)).otherwise(F.col("text"))
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), text=text)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows are checked with their line breaks deleted."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(_doc_hash() % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    claim = merkle.leaf(*[tampered if c == "text" else F.col(c) for c in merkle.FIELDS])
+    found = merkle.proofs(docs, claim).withColumn("folded_root", merkle.folded(F.col("claim"), F.col("proof")))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -122,6 +179,8 @@ QUERIES = {
         op8_decontaminate,
         op9_quality,
         op10_near_dedup,
+        op11_periodic_runs,
+        op13_merkle_manifest,
         pipeline,
     )
 }
