@@ -20,6 +20,7 @@ from pageloom.llm import (
     suffix_dedup,
     token_counts,
     toxicity,
+    vector_search,
 )
 from pageloom.llm.common import table
 
@@ -145,6 +146,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the rows are checked with their line breaks deleted."""
     docs = table(spark, sf_dir, "documents")
@@ -180,6 +185,7 @@ QUERIES = {
         op9_quality,
         op10_near_dedup,
         op11_periodic_runs,
+        op12_vector_search,
         op13_merkle_manifest,
         pipeline,
     )
