@@ -75,15 +75,12 @@ def directory_text(text: Column) -> Column:
 
 def listing_block(businesses: Column) -> Column:
     """The JSON block that closes a directory text, empty without businesses."""
-    block = F.concat_ws(
-        "\n",
-        F.lit("\n"),
-        F.lit(fixed.LISTING_RULE),
-        F.lit(fixed.LISTING_TITLE),
-        F.lit(fixed.LISTING_RULE),
-        F.to_json(businesses),
-    )
-    return F.when(F.size(businesses) > 0, block).otherwise("")
+
+    def block(listed: Column) -> Column:
+        parts = [F.lit(x) for x in ("\n", fixed.LISTING_RULE, fixed.LISTING_TITLE, fixed.LISTING_RULE)]
+        return F.when(F.size(listed) > 0, F.concat_ws("\n", *parts, F.to_json(listed))).otherwise("")
+
+    return let(businesses, block)
 
 
 def with_title(title: Column, text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import fixed, forms, stats
 from pageloom.functions import text as X
 from pageloom.functions.rows import exploded
+from pageloom.operators import directory
 
 
 def _empty() -> Column:
@@ -36,23 +37,33 @@ def items_clean(items: DataFrame) -> DataFrame:
     return flat.where(~(X.blank(F.col("title")) & X.blank(F.col("html"))))
 
 
+def _with_map_listing(pages: DataFrame) -> DataFrame:
+    """pages with '_listed': the businesses of a page's map with what the page says about them, NULL without a map."""
+    html = F.col("html")
+    mapped = html.contains("map_markers=")
+    read = directory.with_markers(pages, "_markers", "_near", mapped)
+    detailed = read.withColumn("_listed", directory.detail_array(F.col("_markers"), F.col("_near"))).drop("_markers", "_near")
+    return detailed.withColumn("_listed", directory.listing_entries(F.col("_listed")))
+
+
 def page_text(pages: DataFrame, businesses: Column | None = None) -> DataFrame:
-    """The text forms of each page: raw, readable, directory and markdown.
+    """The text forms of each page: raw, readable, directory and markdown. One scan, no shuffle.
 
-    businesses names an array column whose JSON closes the directory text.
+    The businesses of the page's map close the directory text and the markdown as JSON; businesses names an array column
+    to write in their place. The JSON stands in the markdown as it is, for its lines are no lines of the page.
     """
     title = F.col("title") if "title" in pages.columns else F.lit("")
     keys = [c for c in pages.columns if c not in ("html",)]
-    kept = [] if businesses is None else [businesses.alias("_listed")]
-    rows = pages.select(*keys, *kept, forms.raw_text(F.col("html")).alias("_raw"), forms.link_text(F.col("html")).alias("text"))
-    listing = _empty() if businesses is None else forms.listing_block(F.col("_listed"))
-    rows = rows.withColumn("_pretty", F.concat(forms.directory_text(F.col("text")), listing))
-    return rows.select(
+    html = F.col("html")
+    listed = _with_map_listing(pages) if businesses is None else pages.withColumn("_listed", businesses)
+    rows = listed.select(*keys, "_listed", forms.raw_text(html).alias("_raw"), forms.link_text(html).alias("text"))
+    blocks = {"_pretty": forms.directory_text(F.col("text")), "_block": forms.listing_block(F.col("_listed"))}
+    return rows.withColumns(blocks).select(
         *keys,
         forms.with_title(title, F.col("_raw")).alias("raw_text"),
         "text",
-        forms.with_title(title, F.col("_pretty")).alias("pretty_text"),
-        forms.markdown(F.col("_pretty"), title, F.col("url")).alias("markdown"),
+        forms.with_title(title, F.concat("_pretty", "_block")).alias("pretty_text"),
+        F.concat(forms.markdown(F.col("_pretty"), title, F.col("url")), "_block").alias("markdown"),
     )
 
 

@@ -244,7 +244,14 @@ def markdown_documents(spark, sf_dir):
 @query
 def page_text_forms(spark, sf_dir):
     found = samples.pages(spark, sf_dir).withColumn("title", samples.template("Page {page_id}"))
-    return texts.page_text(found).select("page_id", "raw_text", "text")
+    return texts.page_text(found).select("page_id", "raw_text", "text", "pretty_text", "markdown")
+
+
+@query
+def page_text_businesses(spark, sf_dir):
+    """The businesses of a page's map close its directory text."""
+    found = samples.marker_pages(spark, sf_dir).withColumn("title", F.lit(" Map "))
+    return texts.page_text(found).select("page_id", "pretty_text", F.element_at(F.split("markdown", "\n"), -1).alias("last_line"))
 
 
 # --- contacts ---------------------------------------------------------------------------------
@@ -370,9 +377,7 @@ def business_csv(spark, sf_dir):
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = samples.section_pages(spark, sf_dir)
-    points, known = directory.marker_lines(pages), directory.section_businesses(pages)
-    return directory.match_points(points, known)
+    return directory.match_points(samples.section_pages(spark, sf_dir))
 
 
 @query

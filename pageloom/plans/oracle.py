@@ -405,10 +405,12 @@ SELECT k AS page_id, concat(c_name, E'\\nCall\\n', phone, E' now\\n\\nor\\n', ph
   E'\\n open\\nWebsite | https://c', k, E'.example.com/x\\nmail c', k, E'@example.com today\\nmap\\n[Google Maps Link] end') AS text
 FROM c"""
 
-_LINES = f"""
+def _lines(source: str, key: str, text: str) -> str:
+    """Lines of a text, their class and their markdown."""
+    return f"""
 doc_lines AS (
-  SELECT doc_id AS page_id, unnest(l) AS raw, unnest(range(len(l))) AS line_no
-  FROM (SELECT doc_id, string_split(text, E'\\n') AS l FROM documents)),
+  SELECT page_id, unnest(l) AS raw, unnest(range(len(l))) AS line_no
+  FROM (SELECT {key} AS page_id, string_split({text}, E'\\n') AS l FROM {source})),
 lines AS (SELECT page_id, line_no, trim(raw, {WS}) AS line FROM doc_lines),
 classed AS (SELECT *, CASE WHEN line = '' THEN 'blank'
     WHEN length(line) < 60 AND line NOT LIKE '%.' AND line NOT LIKE 'http%' AND NOT regexp_matches(line, '\\d{{3}}-\\d{{3}}-\\d{{4}}')
@@ -419,21 +421,54 @@ m3 AS (SELECT *, CASE WHEN mail <> '' THEN concat('{fixed.EMAIL_MARK}[', mail, '
 md AS (SELECT page_id, line_no, line_class, CASE line_class WHEN 'heading' THEN concat('## ', line) WHEN 'blank' THEN ''
     ELSE CASE WHEN regexp_matches(s3, '{ADDRESS_TEST}') THEN concat('{fixed.ADDRESS_MARK}', s3) ELSE s3 END END AS md FROM m3)"""
 
+
+_LINES = _lines("documents", "doc_id", "text")
+#: Marked-up lines put together; the title and source lines stand before them.
+_BODY = """
+w AS (SELECT *, coalesce(lag(line_class) OVER (PARTITION BY page_id ORDER BY line_no) = 'text', false) AS after_text FROM md),
+b AS (SELECT page_id, line_no, CASE WHEN line_class = 'heading' THEN concat(CASE WHEN after_text THEN E'\\n' ELSE '' END, md, E'\\n')
+        WHEN line_class = 'text' THEN md WHEN after_text THEN '' END AS block FROM w),
+d AS (SELECT page_id, string_agg(block, E'\\n' ORDER BY line_no) AS body FROM b GROUP BY page_id)"""
+
 SQL["markdown_lines"] = f"""
 WITH {_LINES}
 SELECT page_id, line_no, line_class, md FROM md"""
 
 SQL["markdown_documents"] = f"""
-WITH {_LINES},
-w AS (SELECT *, coalesce(lag(line_class) OVER (PARTITION BY page_id ORDER BY line_no) = 'text', false) AS after_text FROM md),
-b AS (SELECT page_id, line_no, CASE WHEN line_class = 'heading' THEN concat(CASE WHEN after_text THEN E'\\n' ELSE '' END, md, E'\\n')
-        WHEN line_class = 'text' THEN md WHEN after_text THEN '' END AS block FROM w),
-d AS (SELECT page_id, string_agg(block, E'\\n' ORDER BY line_no) AS body FROM b GROUP BY page_id)
+WITH {_LINES}, {_BODY}
 SELECT page_id, concat_ws(E'\\n', '# Title', '', concat('**Source:** [https://docs.example.com/', page_id, '](https://docs.example.com/', page_id, ')'),
   '', '---', '', body) AS markdown FROM d"""
 
+
+def _pretty() -> str:
+    """Directory form of the driver pages' text: they hold phones and long numbers, but no map, shortcode or label."""
+    text = sub("text", fixed.ANY_PHONE, "\\\\1\\\\2-\\\\3-\\\\4")
+    text = sub(text, f"\\n?({fixed.DASHED_PHONE})", "\\n\\\\1")
+    text = sub(text, "\\b(\\d{5}(?:-\\d{4})?)\\b\\n?", "\\\\1\\n")
+    return f"trim({sub(sub(text, '[ ' + chr(92) + 't]+' + chr(92) + 'n', chr(92) + 'n'), chr(92) + 'n{3,}', chr(92) + 'n' + chr(92) + 'n')}, {WS})"
+
+
 SQL["page_text_forms"] = f"""
-SELECT page_id, trim(concat('Page ', page_id, E'\\n\\n', {RAW}), {WS}) AS raw_text, {LINK_TEXT} AS text FROM pages"""
+WITH linked AS (SELECT page_id, url, trim(concat('Page ', page_id, E'\\n\\n', {RAW}), {WS}) AS raw_text, {LINK_TEXT} AS text FROM pages),
+p AS (SELECT *, {_pretty()} AS pretty FROM linked),
+{_lines("p", "page_id", "pretty")}, {_BODY}
+SELECT page_id, raw_text, text, trim(concat('Page ', page_id, E'\\n\\n', pretty), {WS}) AS pretty_text,
+  CASE WHEN pretty = '' THEN '' ELSE concat_ws(E'\\n', concat('# Page ', page_id), '', concat('**Source:** [', url, '](', url, ')'), '', '---', '', body) END AS markdown
+FROM p JOIN d USING (page_id)"""
+
+SQL["page_text_businesses"] = f"""
+WITH c AS (SELECT c_custkey AS k, c_custkey // 10 AS page_id, c_name, lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS c,
+  lpad((c_custkey % 90000 + 10000)::VARCHAR, 5, '0') AS z, CAST(concat('45.', lpad((c_custkey % 1000)::VARCHAR, 3, '0')) AS DOUBLE) AS lat,
+  CAST(concat('-94.', lpad((c_custkey % 10000)::VARCHAR, 4, '0')) AS DOUBLE) AS lon FROM customer),
+rows AS (SELECT *, concat(c_name, E'’s\\n218-555-', c, E'\\n', k, '1', CASE WHEN length(k::VARCHAR) = 4 THEN E'\\n' ELSE '' END,
+    ' Oak Street, Elk River, MN ', z, E'\\n\\nWebsite | https://c', k, '.example.com/ c', k, '@example.com Docks & Lifts') AS shown,
+  concat('{{"name":"', c_name, '’s","coordinates":{{"latitude":', lat, ',"longitude":', lon, '}},"phone":"218-555-', c, '","website":"https://c', k,
+    '.example.com/","email":"c', k, '@example.com","address":{{"street":"', k, '1 Oak Street","city":"Elk River","state":"MN","zip_code":"', z,
+    '"}},"services":["Docks & Lifts"]}}') AS entry FROM c),
+p AS (SELECT page_id, string_agg(shown, E'\\n' ORDER BY k) AS body,
+  concat('[', string_agg(entry, ',' ORDER BY k) FILTER (k % 5 <> 4), ']') AS json FROM rows GROUP BY page_id)
+SELECT page_id, CASE WHEN json = '[]' THEN concat(E'Map\\n\\n', body) ELSE concat_ws(E'\\n', E'Map\\n', body, '', '{fixed.LISTING_RULE}', '{fixed.LISTING_TITLE}', '{fixed.LISTING_RULE}', json) END AS pretty_text,
+  json AS last_line FROM p"""
 
 # --- contacts ---------------------------------------------------------------------------------
 
@@ -479,13 +514,14 @@ UNION ALL SELECT s_suppkey, 2, concat('Port Wing, WI ', {_ZIP}) FROM supplier"""
 
 # --- directories ------------------------------------------------------------------------------
 
+_IS_HEADER = f"""(line = upper(line) AND line <> lower(line) AND regexp_matches(line, '\\S\\s+\\S')
+    AND NOT regexp_matches(line, '{fixed.PAGE_PHONES[0]}') AND NOT regexp_matches(lower(line), '{fixed.STREET_LINE}'))"""
 _SERVICE_TEST = " OR ".join(f"contains(lower(line), '{w}')" for w in fixed.SERVICE_WORDS)
 
 SQL["directory_blocks"] = f"""
 WITH {_LINES},
 filled AS (SELECT * FROM lines WHERE line <> ''),
-marked AS (SELECT *, line = upper(line) AND line <> lower(line) AND regexp_matches(line, '\\S\\s+\\S')
-    AND NOT regexp_matches(line, '{fixed.PAGE_PHONES[0]}') AND NOT regexp_matches(lower(line), '{fixed.STREET_LINE}') AS is_header FROM filled),
+marked AS (SELECT *, {_IS_HEADER} AS is_header FROM filled),
 islands AS (SELECT *, sum(is_header::INT) OVER (PARTITION BY page_id ORDER BY line_no) AS biz FROM marked),
 kinds AS (SELECT *, CASE WHEN is_header THEN 'name' WHEN regexp_matches(line, '{fixed.LISTING_PHONE}') THEN 'phone'
     WHEN regexp_matches(lower(line), '{fixed.STREET_LINE}') THEN 'street' WHEN regexp_matches(line, '{fixed.STATE_ZIP}') THEN 'zip'
@@ -719,7 +755,9 @@ WITH {_METRICS},
 mails AS (SELECT page_id, string_agg(value, '; ' ORDER BY i) AS email_addresses FROM (
   SELECT page_id, value, min(i) AS i FROM (
     SELECT page_id, unnest(m) AS value, unnest(range(len(m))) AS i FROM (SELECT page_id, regexp_extract_all(text, '{fixed.EMAIL}') AS m FROM metrics))
-  GROUP BY page_id, value) GROUP BY page_id)
+  GROUP BY page_id, value) GROUP BY page_id),
+heads AS (SELECT page_id, count(*) AS business_listings FROM (
+  SELECT page_id, trim(unnest(string_split(text, E'\\n')), {WS}) AS line FROM metrics) WHERE {_IS_HEADER} GROUP BY page_id)
 SELECT page_id, NULL::VARCHAR AS title, url,
   coalesce(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')[-1], 'home') AS slug,
   NULL::VARCHAR AS status, NULL::VARCHAR AS type, NULL::TIMESTAMP AS date_published, NULL::TIMESTAMP AS date_modified, NULL::BIGINT AS author_id,
@@ -727,8 +765,9 @@ SELECT page_id, NULL::VARCHAR AS title, url,
   trim({TITLE}, {WS}) AS meta_title, '' AS meta_description, '' AS meta_keywords, '' AS og_title, '' AS og_description, '' AS og_image,
   '' AS canonical_url, '' AS robots, 0 AS schema_markup_count,
   array_to_string({_PHONE_LIST}, '; ') AS phone_numbers, coalesce(email_addresses, '') AS email_addresses, '' AS addresses,
-  concat_ws('; ', {_SOCIAL}) AS social_links, 0 AS total_images, 0 AS total_videos, 0 AS total_audio, 0 AS form_count, 0 AS business_listings
-FROM metrics LEFT JOIN mails USING (page_id)"""
+  concat_ws('; ', {_SOCIAL}) AS social_links, 0 AS total_images, 0 AS total_videos, 0 AS total_audio, 0 AS form_count,
+  coalesce(business_listings, 0) AS business_listings
+FROM metrics LEFT JOIN mails USING (page_id) LEFT JOIN heads USING (page_id)"""
 
 # --- sources and manifests --------------------------------------------------------------------
 

@@ -29,11 +29,6 @@ def _with_item_columns(pages: DataFrame) -> DataFrame:
     return pages.withColumns(missing) if missing else pages
 
 
-def readable_text(html: Column) -> Column:
-    """Text of a page as the metrics count it: shortcodes gone, links and headings marked."""
-    return forms.link_text(forms.drop_shortcodes(html))
-
-
 def page_metrics(pages: DataFrame) -> DataFrame:
     """Words, characters, paragraphs, headings, links and images of each page."""
     return _read(pages.withColumn("html", F.coalesce("html", F.lit("")))).select("page_id", *_metric_columns())
@@ -45,7 +40,7 @@ def _read(pages: DataFrame, *keep: Column | str) -> DataFrame:
     return pages.select(
         "page_id",
         *keep,
-        (F.col("text") if "text" in pages.columns else readable_text(html)).alias("text"),
+        (F.col("text") if "text" in pages.columns else directory.readable_text(html)).alias("text"),
         elements.array_of(pages, "headings").alias("headings"),
         elements.array_of(pages, "links").alias("links"),
         M.paragraph_count(html).alias("paragraph_count"),
@@ -64,13 +59,14 @@ def _metric_columns() -> list[Column]:
     ]
 
 
-def page_summary(pages: DataFrame, businesses: DataFrame | None = None) -> DataFrame:
-    """One wide row per page. All figures but the business count come from the page's own row, so the
-    only join is with the counted businesses, one row per page."""
+def page_summary(pages: DataFrame, start_marker: str | None = None) -> DataFrame:
+    """One wide row per page. All figures come from the page's own row, its businesses too (directory.with_listings)."""
+    known = "businesses" in pages.columns
     head = elements.with_heads(_with_item_columns(pages))
     read = _read(
         head,
-        *("url", "head", *ITEM_COLUMNS),
+        *("url", "html", "head", *ITEM_COLUMNS),
+        *(["businesses"] if known else []),
         elements.array_of(head, "tags").alias("tags"),
         F.size(elements.array_of(head, "json_ld")).alias("schema_markup_count"),
         elements.array_of(head, "images").alias("images"),
@@ -102,13 +98,13 @@ def page_summary(pages: DataFrame, businesses: DataFrame | None = None) -> DataF
         of_kind("video").alias("total_videos"),
         of_kind("audio").alias("total_audio"),
         "form_count",
+        *(["businesses"] if known else ["html", "text"]),
     )
-    if businesses is None:
-        counted = summary.withColumn("business_listings", F.lit(0).cast("bigint"))
-    else:
-        per_page = businesses.groupBy("page_id").agg(F.count("*").alias("business_listings"))
-        counted = summary.join(per_page, "page_id", "left").fillna(0, ["business_listings"])
-    return counted.withColumn("extracted_at", F.current_timestamp())
+    # Last, for all that is selected from the listings' long expressions is analyzed with them.
+    listed = summary if known else directory.with_listings(summary, start_marker)
+    shown = [c for c in summary.columns if c not in ("html", "text", "businesses")]
+    counted = F.coalesce(F.size("businesses"), F.lit(0)).cast("bigint").alias("business_listings")
+    return listed.select(*shown, counted, F.current_timestamp().alias("extracted_at"))
 
 
 def page_extract(
@@ -117,20 +113,15 @@ def page_extract(
     """All tables of an extraction by name; without a store none is computed until it is written.
 
     Eleven tables would parse the HTML eleven times. With a store path in a folder all executors share, the
-    parsed pages and the candidates for businesses are written there at once and the tables read them back.
+    parsed pages with their businesses are written there at once and the tables read them back, each its own columns.
     """
-    ready = elements.parsed(pages).withColumn("text", readable_text(F.col("html")))
+    ready = directory.with_listings(elements.parsed(pages).withColumn("text", directory.readable_text(F.col("html"))), start_marker)
     if store is not None:
         ready.drop("json_ld").write.mode("overwrite").parquet(f"{store}/pages")
         ready = pages.sparkSession.read.parquet(f"{store}/pages")
-    found = directory.candidates(pages.select("page_id", "url", "html"))
-    if store is not None:
-        found.write.mode("overwrite").parquet(f"{store}/candidates")
-        found = pages.sparkSession.read.parquet(f"{store}/candidates")
-    businesses = directory.page_businesses(found, start_marker)
     media = elements.media(ready)
     return {
-        "page_summary": page_summary(ready, businesses),
+        "page_summary": page_summary(ready),
         "headings": elements.filled_headings(ready),
         "links": elements.listed_links(ready),
         "images": media.where(F.col("kind") == "image"),
@@ -139,7 +130,7 @@ def page_extract(
         "seo_tags": elements.seo_tags(ready),
         "schema_markup": elements.schema_markup(ready),
         "contacts": elements.page_contacts(ready.select("page_id", "text")),
-        "business_data": businesses,
+        "business_data": directory.page_businesses(ready),
         "previews": previews(ready),
     }
 
@@ -147,7 +138,7 @@ def page_extract(
 def previews(pages: DataFrame, limit: int = 1000) -> DataFrame:
     """The first characters of each page's HTML and text."""
     html = F.col("html")
-    text = F.col("text") if "text" in pages.columns else readable_text(html)
+    text = F.col("text") if "text" in pages.columns else directory.readable_text(html)
     read = pages.select("page_id", "html", forms.drop_marker_noise(text).alias("text"))
     return read.select(
         "page_id", X.preview(html, limit).alias("html"), X.preview(F.col("text"), limit).alias("text")

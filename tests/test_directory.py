@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -139,8 +142,7 @@ def test_start_marker_skips_what_comes_before(pages):
 def test_points(pages):
     html = _sections("Acme Docks", "218-555-0123", "1.5 | -2.5 | Acme Docks LLC<br />3.5 | 4 | Acme North<br />5 | 6 | Zed<br />bad")
     page = pages(html)
-    points, listed = directory.marker_lines(page), directory.section_businesses(page)
-    matched = directory.match_points(points, listed)
+    matched = directory.match_points(page)
     assert rows(matched, "name", "outcome") == [("Acme Docks LLC", "existing"), ("Acme North", "extra"), ("Zed", "new")]
     assert rows(directory.extra_locations(matched), "name", "coordinates") == [("Acme North", "3.5, 4")]
     both = directory.shortcode_businesses(page)
@@ -149,16 +151,21 @@ def test_points(pages):
     assert [(e.name, e.lat, e.lon) for e in extra] == [("Acme North", 3.5, 4.0)]
 
 
-def test_matching_equals_brute_force(spark):
+@pytest.mark.parametrize("pairs", [100_000, -1])
+def test_matching_equals_brute_force(spark, monkeypatch, pairs):
+    """One by one, and through the index."""
+    monkeypatch.setattr(directory, "PAIRS", pairs)
     rng = random.Random(11)
     name = lambda: " ".join(rng.choice(["acme", "dock", "a", "north", "Lift", "LLC", "&", "bay, co", ""]) for _ in range(rng.randint(0, 3)))
     points = [(rng.randint(1, 3), i, name()) for i in range(120)]
     # Half of all businesses stand on one page.
     known = [(rng.choice([1, 1, 2, 3]), i, name() or "x") for i in range(60)]
-    got = directory.match_points(
-        spark.createDataFrame(points, "page_id bigint, pos int, name string").withColumns({"lat": F.lit("1"), "lon": F.lit("2")}),
-        spark.createDataFrame(known, "page_id bigint, pos int, name string"),
-    )
+    rows = [
+        (page, [(i, n, "1", "2") for p, i, n in points if p == page], [(i, n) for p, i, n in known if p == page]) for page in (1, 2, 3)
+    ]
+    kind = "page_id bigint, points array<struct<pos:int,name:string,lat:string,lon:string>>, known array<struct<pos:int,name:string>>"
+    matched = directory.match_array(F.col("points"), F.col("known"))
+    got = spark.createDataFrame(rows, kind).select("page_id", F.inline(matched))
     found = {r.pos: (r.outcome, r.business_pos) for r in got.collect()}
     for page, pos, point in points:
         low = point.lower()
@@ -191,3 +198,46 @@ def test_route_choice_is_per_page(pages):
     )
     chosen = directory.page_businesses(df)
     assert rows(chosen, "page_id", "route", "name") == [(1, 1, "Shop"), (2, 2, "ACME MARINE"), (3, 4, "Acme")]
+
+
+@pytest.mark.parametrize("searched", [20_000_000, -1])
+def test_sections_at_names_equal_brute_force(spark, monkeypatch, searched):
+    """Name by name, and through the index; names that repeat, overlap, hold one another or are not there."""
+    monkeypatch.setattr(directory, "SEARCHED", searched)
+    monkeypatch.setattr(directory, "UNIT", 16)
+    rng = random.Random(4)
+    word = lambda: rng.choice(["acme", "Dock", "ac", "a", "É co", "7", "of the long lake & river bay"])
+    cases = []
+    for i in range(60):
+        text = "".join(rng.choice([word() + " ", word(), "\n", "\n 5 "]) for _ in range(rng.randint(0, 40)))
+        cases.append((i, [f"{word()} {word()}".strip() if rng.random() < 0.5 else word() for _ in range(rng.randint(1, 6))], text))
+    df = spark.createDataFrame(cases, "page_id bigint, names array<string>, text string")
+    markers = F.transform("names", lambda n: F.struct(n.alias("name")))
+    marked = directory._marked(F.col("text"))
+    found = df.select("page_id", directory._sections_at(markers, marked, F.lower(marked)).alias("s"))
+    got = {r.page_id: r.s for r in found.collect()}
+    for i, names, text in cases:
+        want = []
+        for name in names:
+            at = text.lower().find(name.lower())
+            match = re.match(r"(?s).+?(?=\n\s*[A-Za-z][^\n]*\n|\Z)", text[at:]) if at >= 0 else None
+            want.append(match and match.group(0))
+        assert got[i] == want, (names, text)
+
+
+def _sections_of(n: int) -> str:
+    bodies = lambda i: (f"Shop {i}", f"{i} Oak Street", "218-555-0123", "Website", f'<a href="https://s{i}.test">x</a>')
+    return "".join(_sections(*bodies(i)) for i in range(n // 5))
+
+
+def test_large_pages_stay_fast(pages):
+    """6,000 sections, 1,200 points against 1,200 names, 6,000 markers on one page."""
+    points = _sections("<br />".join(f"1 | 2 | {'Shop' if i % 3 else 'Zed'} {i}" for i in range(1_200)))
+    start = time.monotonic()
+    assert directory.section_businesses(pages(_sections_of(6_000))).count() == 1_200
+    assert directory.shortcode_businesses(pages(_sections_of(6_000) + points)).count() == 1_200 + 1
+    markers = "\n".join(f"45.1 | -94.2 | Shop number {i} of town" for i in range(6_000))
+    body = "".join(f"<p>Shop number {i} of town</p>\n 218-555-{i:04} \n{i} Oak St, Elk, MN 56000\n" for i in range(6_000))
+    got = directory.business_details(pages(f'[nectar_gmap map_markers="{markers}"]{body}'))
+    assert got.where(F.col("phone") == F.concat(F.lit("218-555-"), F.lpad("pos", 4, "0"))).count() == 6_000
+    assert time.monotonic() - start < 60

@@ -73,10 +73,18 @@ def test_first_of_group_jobs_limit_before_the_shuffle(stored):
     assert plan(directory.dedupe_businesses(listed)).count("WindowGroupLimit") == 2
 
 
-def test_matching_joins_on_equality_only(spark):
-    points = spark.range(5).select((F.col("id") % 2).alias("page_id"), F.col("id").alias("pos"), F.col("id").cast("string").alias("name"), F.lit("1").alias("lat"), F.lit("2").alias("lon"))
-    text = plan(directory.match_points(points, points.select("page_id", "pos", "name")))
-    assert "CartesianProduct" not in text and "NestedLoop" not in text
+def test_directory_jobs_stay_in_the_row(stored):
+    """One scan and no shuffle, from the HTML to the businesses of every route."""
+    for job in (
+        directory.section_businesses(stored),
+        directory.match_points(stored),
+        directory.shortcode_businesses(stored),
+        directory.merged_businesses(stored.withColumnRenamed("html", "text")),
+        directory.page_businesses(stored),
+        directory.block_businesses(stored),
+    ):
+        text = plan(job)
+        assert text.count("FileScan") == 1 and "Exchange" not in text and "Join" not in text
 
 
 def test_exploded_drops_empty_and_null_arrays(spark):
@@ -88,7 +96,7 @@ def test_building_a_plan_starts_no_job(spark, pages):
     df = pages("<div class='card'><p>A</p><p>B</p></div>", None)
     spark.sparkContext.setJobGroup("built", "plans only")
     directory.page_businesses(df).explain()
-    directory.match_points(directory.marker_lines(df), directory.section_businesses(df)).explain()
+    directory.match_points(df).explain()
     page_extract.page_extract(df)
     started = spark.sparkContext.statusTracker().getJobIdsForGroup("built")
     spark.sparkContext.setJobGroup("", "")
