@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import written
 
 #: Bits of a code at least; more than a vector's numbers, they are multiples of 64.
-BITS = 256
+BITS = 512
+#: Best estimates of a query that are compared exactly for its bound, as a multiple of the neighbours wanted.
+SEEDS = 4
 #: Errors that a pair may lie above its estimate without being missed.
 SURE = 2.4
 #: Centres, and the rows of smallest hashes that they are fitted to. Every row is coded.
@@ -227,10 +229,13 @@ def nearest(
     free = queries.withColumn("reach", F.lit(float("-inf")))
     blocks = written(_query_blocks(free), "query_blocks")
     order = W.partitionBy("query").orderBy(F.desc("estimate"), "rep")
-    best = _estimated(codes, blocks, code, k + 1).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
+    many = SEEDS * (k + 1)
+    best = _estimated(codes, blocks, code, many).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= many)
     seeds = written(_exact(best, vectors, queries), "seeds")
-    # With fewer than k + 1 seeds there are no other rows, and any bound will do.
-    reach = seeds.groupBy("query").agg(F.min("score").alias("reach"))
+    # A query reaches its (k + 1)st best seed. With fewer seeds there are no other rows, and any bound will do.
+    of_score = W.partitionBy("query").orderBy(F.desc("score"), "rep")
+    first = seeds.withColumn("nth", F.row_number().over(of_score)).where(F.col("nth") <= k + 1)
+    reach = first.groupBy("query").agg(F.min("score").alias("reach"))
     bound = written(_query_blocks(queries.join(reach, F.col("rep") == F.col("query")).drop("query")), "bound_blocks")
     pairs = _estimated(codes, bound, code, None)
     known = seeds.select("query", "rep")
