@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.text import let
 from pageloom.llm.common import whole
 
 START, SEAM = "<s>", "[+]"
@@ -18,6 +19,9 @@ USER, ASSISTANT, OTHER = ("[INST] ", " [/INST]"), ("[ANS] ", "</s>"), ("[ROLE ",
 _TAIL = r"(/?s>|/?INST\]|/?ANS\]|/?ROLE\b|\+\])"
 _ESCAPE, _UNESCAPE = rf"([<\[])(\\*){_TAIL}", rf"([<\[])\\(\\*){_TAIL}"
 
+#: Letters of a portion of a formatted conversation, where it is cut.
+PORTION = 1_000
+
 
 def escaped(text: Column) -> Column:
     return F.regexp_replace(text, _ESCAPE, r"$1\\$2$3")
@@ -41,14 +45,16 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
     """One row per conversation: conv_id, formatted, loss_spans (array of start, length in characters, from 0).
 
     Turns are ordered by turn (null first), then role and text, so ties and repeated rows have one order and all stay.
-    Null roles and texts read as empty; rows with a null conv_id form one conversation. The loss mask covers the
-    escaped text of each assistant turn. An empty table gives an empty table; other columns are ignored.
+    Null roles and texts read as empty; a row without a conv_id is a conversation of its own, for nothing says which of
+    them belong together. The loss mask covers the escaped text of each assistant turn. An empty table gives an empty
+    table; other columns are ignored. Work grows with the turns of a conversation (their number times its logarithm).
     """
     rows = turns.select(
         F.col(conv_id).alias("conv_id"),
+        F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id()).alias("lone"),
         F.struct(F.col(turn).alias("turn"), whole(role).alias("role"), whole(text).alias("text")).alias("t"),
     )
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    chats = rows.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     # Where a block begins: the first turn, and each whose role differs from the turn before.
     starts = F.filter(
         F.sequence(F.lit(0), F.size("turns") - 1),
@@ -84,22 +90,12 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
         )
     )
     chats = chats.select("conv_id", pieces.alias("pieces"))
-    empty = F.expr("cast(array() as array<struct<start:int,length:int>>)")
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["text"])).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(
-                    a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(p["text"]).alias("length")))
-                ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
+    lengths = F.transform("pieces", lambda p: F.length(p["text"]))
+    spans = let(
+        let(lengths, _running_sums),
+        lambda ends: F.array_compact(
+            F.transform("pieces", lambda p, i: F.when(p["loss"], _span(F.get(ends, i), F.length(p["text"]))))
         ),
-        lambda a: a["spans"],
     )
     return chats.select(
         "conv_id",
@@ -108,6 +104,21 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
     )
 
 
+def _span(end: Column, length: Column) -> Column:
+    return F.struct((end - length).alias("start"), length.alias("length"))
+
+
+def _running_sums(values: Column) -> Column:
+    """Sums up to each place: in each round a place adds what stands 1, 2, 4, ... places before it."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    step = lambda k: F.pow(F.lit(2), k).cast("int")
+    return F.aggregate(
+        rounds,
+        values,
+        lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - step(k)), F.lit(0))),
+    )
+
+
 def _piece(text: Column, loss: Column) -> Column:
     return F.struct(text.alias("text"), loss.alias("loss"))
 
@@ -133,10 +144,20 @@ def turns_of(text: Column) -> Column:
 
 
 def loss_text(text: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(
-        F.transform(spans, lambda s: unescaped(F.substring(text, s["start"] + 1, s["length"]))), ""
-    )
+    """All text under the loss mask, unescaped, in order.
+
+    Spans are cut from portions of the text: a place in a string is found by walking to it from the string's start.
+    """
+
+    def cut(portions: Column) -> Column:
+        def of(s: Column) -> Column:
+            first, last = (F.floor(x / PORTION).cast("int") for x in (s["start"], s["start"] + s["length"]))
+            near = F.array_join(F.slice(portions, first + 1, last - first + 1), "")
+            return unescaped(F.substring(near, s["start"] - first * PORTION + 1, s["length"]))
+
+        return F.array_join(F.transform(spans, of), "")
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PORTION}}}"), F.lit(0)), cut)
 
 
 def read_back(chats: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pageloom.llm import chat_format
 
@@ -44,6 +46,23 @@ def test_nulls_ties_and_repeated_rows(spark):
     assert got[2][0] == [("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")]
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    df = spark.createDataFrame([(None, 0, "user", "a")] * 3 + [(7, 0, "user", "a")], "conv_id bigint, turn int, role string, text string")
+    digest = chat_format.read_back(chat_format.formatted(df)).collect()
+    assert sorted((r.conv_id is None, r.n_turns) for r in digest) == [(False, 1)] + [(True, 1)] * 3
+
+
+def test_many_turns_in_one_conversation(spark):
+    """100,000 turns; the loss mask is still exact."""
+    start = time.monotonic()
+    role = F.when(F.col("id") % 3 == 0, "user").otherwise("assistant")
+    df = spark.range(100_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.col("id").cast("string").alias("text"))
+    row = chat_format.read_back(chat_format.formatted(df)).first()
+    loss = "".join(str(i) for i in range(100_000) if i % 3)
+    assert row.n_turns == 100_000 and row.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert time.monotonic() - start < 40
+
+
 def test_long_text(spark):
     long = "<s>x" * 50_000
     assert back(spark, [(1, 0, "assistant", long)])[0][1][0] == [("assistant", long)]
