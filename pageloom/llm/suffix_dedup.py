@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ RUN_BYTES = 48 << 20
 #: Windows of a text that are looked at together; a longer text is taken in stretches.
 STRETCH = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
+#: Types of a doc_id that is its own number; another one is hashed.
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 #: Ends the right part of a key; it is no byte of UTF-8.
 _END = b"\xff"
 
@@ -324,45 +327,58 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, stops (of the removed runs).
 
     Texts count as UTF-8 bytes; matches never cross documents. Null and empty texts, and those shorter than LENGTH,
-    lose nothing. Repeated rows repeat each other wherever they are long enough. Overlapping occurrences count, and
-    all is judged on the input. Null doc_ids are ids like any other; an empty table gives an empty table; other
+    lose nothing. Rows of one doc_id with one text repeat each other, so they lose all of it, however many they are;
+    one of them stands for all where other texts are compared. Overlapping occurrences count, and all is judged on the
+    input. Null doc_ids are ids like any other, a doc_id may be of any type; an empty table gives an empty table; other
     columns are ignored.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     node = F.xxhash64(F.col(doc_id), whole(text))
+    # Rows without a doc_id are spread by what they hold.
+    number = F.xxhash64(doc_id) if docs.schema[doc_id].dataType.simpleString() not in INTEGERS else F.col(doc_id).cast("long")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
-        # Rows without a doc_id are spread by what they hold.
-        F.coalesce(F.col(doc_id).cast("long"), node).alias("id"),
+        F.when(F.col(doc_id).isNull(), node).otherwise(number).alias("id"),
         node.alias("node"),
         whole(text).cast("binary").alias("text"),
     )
-    found = written(
-        rows.where(F.length("text") >= LENGTH).select("id", "text").mapInArrow(_hashes, "h long, id long, n long"), "anchors"
+    key = ["id", "node"]
+    long = rows.where(F.length("text") >= LENGTH)
+    copied = written(long.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "copied")
+    copies = long.join(copied, key, "left_semi")
+    compared = long.join(copied, key, "left_anti").withColumn("lone", F.lit(True)).unionByName(
+        copies.dropDuplicates(key).withColumn("lone", F.lit(False))
     )
+    found = written(compared.select("id", "text").mapInArrow(_hashes, "h long, id long, n long"), "anchors")
     # Written, so that the join deals out both sides and can split a frequent hash.
     twice = written(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "twice")
     wanted = found.join(twice, "h").groupBy("id").agg(F.collect_set("h").alias("hashes"))
     # One exchange of the texts serves both joins: they have the same key and take the same columns.
-    dealt = rows.repartition(parts, "id")
+    dealt = compared.repartition(parts, "id")
     runs = (
         dealt.join(wanted, "id")
-        .select("doc_id", "node", "id", "text", "hashes")
+        .select("doc_id", "node", "id", "text", "lone", "hashes")
         .mapInArrow(_sent(parts), "part int, blob binary")
     )
     spans = runs.groupBy("part").applyInPandas(_merge, "node long, id long, start long, stop long")
     of_text = spans.groupBy("id").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))
-    joined = dealt.join(of_text, "id", "left").select(
+    joined = dealt.join(of_text, "id", "left").where("lone").select(
         "doc_id", "text", F.filter("spans", lambda s: s["node"] == F.col("node")).alias("spans")
     )
     schema = (
         f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, "
         "kept_sha256 string, starts array<long>, stops array<long>"
     )
-    return joined.select("doc_id", "text", "spans.start", "spans.stop").toDF("doc_id", "text", "starts", "stops").mapInPandas(
-        _cut, schema
-    )
+    none = F.lit(None).cast("array<long>")
+    whole_text = [F.array(F.lit(0).cast("long")), F.array(F.length("text").cast("long"))]
+    names = ("doc_id", "text", "starts", "stops")
+    of_each = [
+        joined.select("doc_id", "text", "spans.start", "spans.stop").toDF(*names),
+        copies.select("doc_id", "text", *whole_text).toDF(*names),
+        rows.where(F.length("text") < LENGTH).select("doc_id", "text", none, none).toDF(*names),
+    ]
+    return reduce(DataFrame.unionByName, of_each).mapInPandas(_cut, schema)
 
 
 def brute(texts: list[bytes]) -> list[np.ndarray]:

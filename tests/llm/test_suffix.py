@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
-from helpers import SF, HERE, documents, hostile
-
 import pytest
+from helpers import HERE, SF, documents, hostile
+from pyspark.sql import functions as F
+
 from pageloom.llm import suffix_dedup as sd
 
 
@@ -91,3 +93,23 @@ def test_long_and_empty(spark):
     out = sd.repeated_spans(documents(spark, [long, "b" * 199, None])).orderBy("doc_id").collect()
     assert [(r.n_removed, r.n_spans) for r in out] == [(300_000, 1), (0, 0), (0, 0)]
     assert sd.repeated_spans(documents(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_many_equal_rows(spark):
+    """Equal rows of one id, as many without an id, a text that shares a passage with them, and ids that are no numbers."""
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    text, other = (" ".join(word() for _ in range(350)) for _ in range(2))
+    many = 20_000
+    start = time.monotonic()
+    equal = spark.range(many).select(F.lit(4).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    lone = spark.range(many).select(F.lit(None).cast("long").alias("doc_id"), F.lit(other).alias("text"))
+    shares = spark.createDataFrame([(9, "x" * 40 + text[300:700] + "y" * 300)], "doc_id bigint, text string")
+    out = sd.repeated_spans(equal.union(lone).union(shares).repartition(16))
+    got = {tuple(r)[:3]: r["n"] for r in out.groupBy("doc_id", "n_removed", "n_spans").agg(F.count("*").alias("n")).collect()}
+    # y * 300 repeats itself: all but no byte of it is covered by a string that starts twice.
+    assert got == {(4, len(text), 1): many, (None, len(other), 1): many, (9, 400 + 300, 1): 1}
+    assert time.monotonic() - start < 60
+    check(spark, equal.limit(5).union(lone.limit(4)).union(shares).union(equal.limit(3).withColumn("text", F.lit("short"))))
+    named = documents(spark, [text, text, other]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert sorted((r.doc_id, r.n_removed) for r in sd.repeated_spans(named).collect()) == [("d0", len(text)), ("d1", len(text)), ("d2", 0)]
