@@ -97,6 +97,12 @@ def image_alt_audit(spark, sf_dir):
     return elements.images(samples.product_pages(spark, sf_dir)).drop("site")
 
 
+@query
+def first_ten_images(spark, sf_dir):
+    """Of pages that hold twenty."""
+    return elements.first_images(samples.gallery_pages(spark, sf_dir)).drop("site")
+
+
 @query
 def first_images(spark, sf_dir):
     return elements.first_images(samples.product_pages(spark, sf_dir), 1).drop("site")
@@ -131,7 +137,7 @@ def page_metrics(spark, sf_dir):
 
 @query
 def page_previews(spark, sf_dir):
-    return page_extract.previews(samples.pages(spark, sf_dir)).select("page_id", "html")
+    return page_extract.previews(samples.pages(spark, sf_dir))
 
 
 # --- tokens and text figures ------------------------------------------------------------------
@@ -432,6 +438,15 @@ def html_blocks(spark, sf_dir):
     )
 
 
+@query
+def directory_listings(spark, sf_dir):
+    """Line listings of texts and block listings of pages in one table."""
+    found = directory.directory_businesses(samples.block_pages(spark, sf_dir), samples.documents(spark, sf_dir))
+    return found.select(
+        "page_id", "part", "pos", "name", "address", "phone", F.array_join("services", "|").alias("services"), F.array_join("other_info", "|").alias("other_info")
+    )
+
+
 # --- audit ------------------------------------------------------------------------------------
 
 
@@ -532,9 +547,17 @@ def page_summary(spark, sf_dir):
 # --- sources and manifests --------------------------------------------------------------------
 
 
+@query
+def audited_items(spark, sf_dir):
+    """Items of type pages as the audit reads them: the blank ones are left out, and posts."""
+    items = texts.items_clean(samples.page_items(spark, sf_dir)).withColumnRenamed("id", "page_id")
+    pages = items.where(F.col("rest_base") == "pages").select("page_id", "url", "html")
+    return audit.page_audit(pages).select("page_id", "site", "title_length", "word_count", "seo_score")
+
+
 @query
 def item_manifest(spark, sf_dir):
-    return sinks.item_manifest(samples.page_items(spark, sf_dir)).drop("title")
+    return sinks.item_manifest(samples.page_items(spark, sf_dir))
 
 
 @query

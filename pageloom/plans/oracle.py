@@ -191,6 +191,12 @@ SQL["image_alt_audit"] = f"""
 WITH {_PART_IMAGES}
 SELECT page_id, pos, src, url, alt, title, has_alt, length(alt) AS alt_length FROM images"""
 
+SQL["first_ten_images"] = """
+WITH i AS (SELECT c_custkey // 10 AS page_id, c_custkey AS k, c_name, n.v AS n,
+  row_number() OVER (PARTITION BY c_custkey // 10 ORDER BY c_custkey, n.v) - 1 AS pos FROM customer, (VALUES (0), (1)) n(v))
+SELECT page_id, pos, concat(CASE n WHEN 0 THEN '/big/' ELSE '/small/' END, k, '.png') AS src,
+  CASE WHEN n = 0 THEN concat('Big ', c_name) WHEN k % 3 = 0 THEN '' ELSE c_name END AS alt, n = 0 OR k % 3 <> 0 AS has_alt FROM i WHERE pos < 10"""
+
 SQL["first_images"] = f"""
 WITH {_PART_IMAGES}
 SELECT page_id, pos, src, alt, has_alt FROM images WHERE pos = 0"""
@@ -229,8 +235,10 @@ SQL["page_metrics"] = f"""
 WITH {_METRICS}
 SELECT page_id, word_count, character_count, paragraph_count, heading_count, link_count, image_count FROM metrics"""
 
-SQL["page_previews"] = """
-SELECT page_id, CASE WHEN length(html) > 1000 THEN concat(substr(html, 1, 1000), '...') ELSE html END AS html FROM pages"""
+SQL["page_previews"] = f"""
+SELECT page_id, CASE WHEN length(html) > 1000 THEN concat(substr(html, 1, 1000), '...') ELSE html END AS html,
+  CASE WHEN length(text) > 1000 THEN concat(substr(text, 1, 1000), '...') ELSE text END AS text
+FROM (SELECT page_id, html, {LINK_TEXT} AS text FROM pages)"""
 
 # --- tokens and figures -----------------------------------------------------------------------
 
@@ -647,6 +655,10 @@ WITH {_LOCATED}
 SELECT page_id, i AS pos, s_name AS name, concat(k, ' Elm St, Elk, MN ', z) AS address, concat('218-555-', c) AS phone,
   true AS is_outermost, concat(trade, ' service') AS services, 'open daily' AS other_info FROM located"""
 
+_LISTED = "page_id, pos, name, address, phone, services, other_info"
+SQL["directory_listings"] = f"""
+SELECT 1 AS part, {_LISTED} FROM ({SQL["directory_blocks"]}) UNION ALL SELECT 2, {_LISTED} FROM ({SQL["html_blocks"]})"""
+
 # --- audit ------------------------------------------------------------------------------------
 
 _FACTS = """page_id, site, title_length, title_words, description_length, h1_count, total_headings, has_proper_hierarchy, word_count,
@@ -772,12 +784,16 @@ FROM metrics LEFT JOIN mails USING (page_id) LEFT JOIN heads USING (page_id)"""
 # --- sources and manifests --------------------------------------------------------------------
 
 _ITEMS = f"""
-items AS (SELECT page_id AS id, url, {SITE} AS site, CASE WHEN page_id % 2 = 0 THEN 'pages' ELSE 'posts' END AS rest_base,
+items AS (SELECT page_id AS id, url, {SITE} AS site, {TITLE} AS title, CASE WHEN page_id % 2 = 0 THEN 'pages' ELSE 'posts' END AS rest_base,
   CASE WHEN page_id % 5 <> 0 THEN regexp_extract(url, '^[a-z]+://[^/?#]*/(?:[^?#]*/)?([^/?#]+)', 1) ELSE '' END AS slug FROM pages)"""
 
+SQL["audited_items"] = f"""
+WITH {_AUDIT}
+SELECT page_id, site, title_length, word_count, seo_score FROM scored WHERE page_id % 2 = 0 AND page_id % 7 <> 0"""
+
 SQL["item_manifest"] = f"""
-WITH {_ITEMS}, n AS (SELECT id, url, site, rest_base, CASE WHEN slug = '' THEN id::VARCHAR ELSE slug END AS slug FROM items WHERE id % 7 <> 0)
-SELECT site, rest_base AS type, id, slug, url AS link, concat(site, '/raw_pages/', rest_base, '-', slug, '.txt') AS raw_file,
+WITH {_ITEMS}, n AS (SELECT id, url, site, rest_base, title, CASE WHEN slug = '' THEN id::VARCHAR ELSE slug END AS slug FROM items WHERE id % 7 <> 0)
+SELECT site, rest_base AS type, id, slug, trim({sub('title', chr(92) + 's+', ' ')}, {WS}) AS title, url AS link, concat(site, '/raw_pages/', rest_base, '-', slug, '.txt') AS raw_file,
   concat(site, '/pretty_pages/', rest_base, '-', slug, '.txt') AS pretty_file FROM n"""
 
 SQL["media_manifest"] = """

@@ -270,6 +270,14 @@ def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ten_to_a_page(_located(spark, sf_dir), "s_suppkey", card, '<section class="list">', "</section>", "https://b.example.com/")
 
 
+def gallery_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with two images for each of ten customers, every third without a text."""
+    customer = table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    alt = F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(template(' alt="{c_name}"'))
+    piece = F.concat(template('<img src="/big/{c_custkey}.png" alt="Big {c_name}"><IMG src="/small/{c_custkey}.png"'), alt, F.lit(">"))
+    return _ten_to_a_page(customer, "c_custkey", piece, "<main>", "</main>", "https://g.example.com/")
+
+
 def type_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type maps of ten customers each: plain, hidden, blocked, malformed, nameless and default types."""
     customer = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")

@@ -11,8 +11,9 @@ from pageloom import schemas
 from pageloom.operators import audit, texts
 from pageloom.sources import landed
 
-#: One version of an item. Its age plays no part: an old item may land at any time.
-KEYS = ["site", "rest_base", "page_id", "modified"]
+#: One version of an item. Its age plays no part: an old item may land at any time. An item that does not say when it was
+#: modified is told from its other versions by what it holds.
+KEYS = ["site", "rest_base", "page_id", "modified", "content_hash"]
 
 
 def landed_files(spark: SparkSession, path: str) -> DataFrame:
@@ -47,9 +48,13 @@ def ingest(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
             return
         tag = f"b{mark['n']}x{mark['x'] & (2**64 - 1):x}"
         clean = texts.items_clean(landed.records(batch, schemas.ITEM)).withColumnRenamed("id", "page_id")
+        content = F.when(F.col("modified").isNull(), F.xxhash64("title", "html", "excerpt"))
+        clean = clean.withColumn("content_hash", content)
         fresh = clean.dropDuplicates(KEYS)
         before = stored(spark, out, "items")
         if before is not None:
+            if "content_hash" not in before.columns:  # stored before items were told by what they hold
+                before = before.withColumn("content_hash", F.lit(None).cast("long"))
             fresh = landed.not_stored(fresh, before.where(F.col("tag") != tag), KEYS)
         fresh.write.mode("overwrite").parquet(f"{out}/items/tag={tag}")
         landed.rejected(batch).write.mode("overwrite").parquet(f"{out}/rejected/tag={tag}")

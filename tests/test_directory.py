@@ -45,6 +45,21 @@ def test_blocks_need_two_lines_and_survive_bad_nesting(pages):
     assert rows(df, "page_id", "name", "other_info") == [(2, "A", ["B"])]
 
 
+def test_unclosed_blocks_end_where_the_next_opens():
+    from pageloom.functions.blocks import _parse
+
+    card = '<div class="card">Shop {}\n218-555-0123\n'
+    found = _parse("".join(card.format(i) for i in range(4_000)) + '<div class="card">a<p class="x">b</p></div>')
+    assert [b["text"] for b in found[:2]] == ["Shop 0\n218-555-0123\n", "Shop 1\n218-555-0123\n"]
+    assert found[-1]["text"] == "ab" and all(b["is_outermost"] for b in found)
+    assert sum(len(b["text"]) for b in found) < 4_000 * 30
+    nested = _parse('<div class="listing">x<div class="item">y<section class="card"></section></div>z</div><article class="item">w</article>')
+    assert [(b["text"], b["is_outermost"]) for b in nested] == [("xyz", True), ("y", False), ("", False), ("w", True)]
+    start = time.monotonic()
+    _parse("<b>" * 100_000 + "</i>" * 100_000 + '<div class="card">' * 4_000 + "x</div>" * 4_000)
+    assert time.monotonic() - start < 20
+
+
 def test_map_markers(pages):
     df = directory.map_markers(
         pages('[nectar_gmap map_markers="1.5 | -2.5 | Shop\n1.2.3 | 4 | Bad\n3 | 4 | Joe&#8217;s &amp; Co 5 | 6 | Next"]', 'map_markers="7|8|Last"', "x")

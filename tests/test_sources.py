@@ -218,6 +218,19 @@ def test_incremental_ingest(spark, landing, tmp_path):
     assert rows(ingest.stored(spark, out, "rejected").select("text").distinct(), "text") == [('[{"id": 9, "slug": "cut',)]
 
 
+def test_undated_items_are_told_by_what_they_hold(spark, landing, tmp_path):
+    out = str(tmp_path / "out")
+    path = landing("pages", _item(1, "home", "first"), _item(1, "home", "first"))
+
+    def run():
+        ingest.ingest(ingest.landed_files(spark, path), out, str(tmp_path / "state")).awaitTermination(120)
+        return rows(ingest.stored(spark, out, "items"), "page_id", "title", "modified")
+
+    assert run() == [(1, "first", None)]
+    landing("pages", _item(1, "home", "second"), _item(1, "home", "first"), part=1)
+    assert run() == [(1, "first", None), (1, "second", None)]
+
+
 def test_unreadable_records_are_kept_aside(spark, landing, tmp_path):
     path = landing("pages", _item(1, "home"), {"slug": "no id"}, 7)
     (tmp_path / "landing/site=a.test/rest_base=pages/bad.json").write_text('[{"id": 2}, {"id"')
