@@ -22,6 +22,10 @@ ITEM_COLUMNS = {
 }
 
 
+#: Letters of a preview.
+PREVIEW = 1000
+
+
 def _with_item_columns(pages: DataFrame) -> DataFrame:
     missing = {c: F.lit(None).cast(kind) for c, kind in ITEM_COLUMNS.items() if c not in pages.columns}
     if "slug" in missing:
@@ -29,6 +33,20 @@ def _with_item_columns(pages: DataFrame) -> DataFrame:
     return pages.withColumns(missing) if missing else pages
 
 
+# What else is read off the HTML itself.
+_FIGURES = {
+    "paragraph_count": lambda html: M.paragraph_count(html),
+    "image_count": lambda html: F.size(M.open_tags(html, M.IMAGE)),
+    "form_count": lambda html: M.form_count(html),
+    "html_preview": lambda html: X.preview(html, PREVIEW),
+}
+
+
+def _figure(pages: DataFrame, name: str) -> Column:
+    """The stored column of parsed pages, else read off the HTML."""
+    return F.col(name) if name in pages.columns else _FIGURES[name](F.col("html")).alias(name)
+
+
 def page_metrics(pages: DataFrame) -> DataFrame:
     """Words, characters, paragraphs, headings, links and images of each page."""
     return _read(pages.withColumn("html", F.coalesce("html", F.lit("")))).select("page_id", *_metric_columns())
@@ -43,8 +61,8 @@ def _read(pages: DataFrame, *keep: Column | str) -> DataFrame:
         (F.col("text") if "text" in pages.columns else directory.readable_text(html)).alias("text"),
         elements.array_of(pages, "headings").alias("headings"),
         elements.array_of(pages, "links").alias("links"),
-        M.paragraph_count(html).alias("paragraph_count"),
-        F.size(M.open_tags(html, M.IMAGE)).alias("image_count"),
+        _figure(pages, "paragraph_count"),
+        _figure(pages, "image_count"),
     )
 
 
@@ -65,13 +83,13 @@ def page_summary(pages: DataFrame, start_marker: str | None = None) -> DataFrame
     head = elements.with_heads(_with_item_columns(pages))
     read = _read(
         head,
-        *("url", "html", "head", *ITEM_COLUMNS),
-        *(["businesses"] if known else []),
+        *("url", "head", *ITEM_COLUMNS),
+        "businesses" if known else "html",
         elements.array_of(head, "tags").alias("tags"),
         F.size(elements.array_of(head, "json_ld")).alias("schema_markup_count"),
         elements.array_of(head, "images").alias("images"),
         elements.array_of(head, "media").alias("media"),
-        M.form_count(F.col("html")).alias("form_count"),
+        _figure(pages, "form_count"),
     )
     text = F.col("text")
     values = lambda found: F.transform(found, lambda v: v["value"])
@@ -112,13 +130,17 @@ def page_extract(
 ) -> dict[str, DataFrame]:
     """All tables of an extraction by name; without a store none is computed until it is written.
 
-    Eleven tables would parse the HTML eleven times. With a store path in a folder all executors share, the
-    parsed pages with their businesses are written there at once and the tables read them back, each its own columns.
+    Eleven tables would parse the HTML eleven times. With a store path in a folder all executors share, one job reads the
+    HTML and writes what is in it there, without the HTML: element arrays, businesses, figures. The tables read that back,
+    each its own columns.
     """
     ready = directory.with_listings(elements.parsed(pages).withColumn("text", directory.readable_text(F.col("html"))), start_marker)
     if store is not None:
-        ready.drop("json_ld").write.mode("overwrite").parquet(f"{store}/pages")
+        figures = {name: _figure(ready, name) for name in _FIGURES}
+        as_text = F.transform("json_ld", lambda v: F.to_json(v))  # files of this kind hold no variants
+        ready.withColumns({**figures, "json_ld": as_text}).drop("html").write.mode("overwrite").parquet(f"{store}/pages")
         ready = pages.sparkSession.read.parquet(f"{store}/pages")
+        ready = ready.withColumn("json_ld", F.transform("json_ld", lambda text: F.parse_json(text)))
     media = elements.media(ready)
     return {
         "page_summary": page_summary(ready),
@@ -135,11 +157,8 @@ def page_extract(
     }
 
 
-def previews(pages: DataFrame, limit: int = 1000) -> DataFrame:
+def previews(pages: DataFrame) -> DataFrame:
     """The first characters of each page's HTML and text."""
-    html = F.col("html")
-    text = F.col("text") if "text" in pages.columns else directory.readable_text(html)
-    read = pages.select("page_id", "html", forms.drop_marker_noise(text).alias("text"))
-    return read.select(
-        "page_id", X.preview(html, limit).alias("html"), X.preview(F.col("text"), limit).alias("text")
-    )
+    text = F.col("text") if "text" in pages.columns else directory.readable_text(F.col("html"))
+    read = pages.select("page_id", _figure(pages, "html_preview").alias("html"), forms.drop_marker_noise(text).alias("text"))
+    return read.select("page_id", "html", X.preview(F.col("text"), PREVIEW).alias("text"))

@@ -157,11 +157,18 @@ def test_every_extract_table_runs(pages):
         assert table.count() >= (0 if name == "business_data" else 1), name
 
 
+def spark_columns(path):
+    import pyarrow.dataset as ds
+
+    return ds.dataset(str(path)).schema.names
+
+
 def test_stored_extract_equals_the_direct_one(pages, tmp_path):
     html = '<title>t</title><h1>a</h1><a href="/b">c</a><img src="/i.png" alt="x"><form><input name="q"></form><script type="application/ld+json">{"a":1}</script>x@y.test'
     df = pages(html, "plain")
     direct = page_extract.page_extract(df)
     stored = page_extract.page_extract(df, store=str(tmp_path / "store"))
+    assert "html" not in spark_columns(tmp_path / "store" / "pages")
     for name, table in direct.items():
         other = stored[name]
         if name == "page_summary":
