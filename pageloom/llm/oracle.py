@@ -131,10 +131,61 @@ select doc_id, p.dir || '/' || case when gives then 'LICENSE-' else 'text-' end
 from p left join own using (rid) left join heir using (rid)
 """
 
+#: Levels that the SQL of the hash tree spells out; 3 to this power is more than the leaves of any driver table.
+DEPTH = 14
+#: CRC-32 of the digits of an id, bit by bit; its lowest bit.
+_ODD = """(xor(list_reduce(list_concat([4294967295::BIGINT], range(8 * length(doc_id::VARCHAR))), lambda acc, k:
+  CASE WHEN (CASE WHEN k % 8 = 0 THEN xor(acc, ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1))::BIGINT) ELSE acc END) & 1 = 1
+  THEN xor((CASE WHEN k % 8 = 0 THEN xor(acc, ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1))::BIGINT) ELSE acc END) >> 1, 3988292384)
+  ELSE (CASE WHEN k % 8 = 0 THEN xor(acc, ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1))::BIGINT) ELSE acc END) >> 1 END), 4294967295) & 1)"""
+
+
+def _leaf(text: str) -> str:
+    values = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({v}), ':', {v}), '-')" for v in values) + "))"
+
+
+def _levels(name: str) -> str:
+    """Nodes of all levels from {name}0(tree, pos, h, n), and beside each the digests before and after it in its run."""
+    run = "OVER (PARTITION BY tree, pos // 3 ORDER BY pos ROWS BETWEEN"
+    parts = []
+    for k in range(DEPTH):
+        parts.append(f"""
+{name}x{k} AS (SELECT tree, pos, n, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+  coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{k}),
+{name}{k + 1} AS (SELECT tree, pos // 3 AS pos, CASE WHEN n = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h, (n + 2) // 3 AS n
+  FROM {name}{k} GROUP BY tree, pos // 3, n)""")
+    return ",".join(parts)
+
+
+def _folds(name: str, nodes: str, tree: str) -> str:
+    """{name}0(tree, place, cur, proof, ...) folded level by level along its way to the top."""
+    return ",".join(
+        f"""
+{name}{k + 1} AS (SELECT f.* REPLACE (CASE WHEN n = 1 THEN cur ELSE sha256(concat(b, cur, a)) END AS cur,
+  CASE WHEN n = 1 THEN proof ELSE concat(proof, b, a) END AS proof)
+  FROM {name}{k} f JOIN {nodes}x{k} x ON x.tree = f.{tree} AND x.pos = f.place // {3**k})"""
+        for k in range(DEPTH)
+    )
+
+
+MERKLE = f"""
+WITH d AS (SELECT *, {_ODD} AS odd, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM documents),
+l AS (SELECT doc_id, tree, {_leaf("text")} AS leaf,
+  CASE WHEN odd = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS claim FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l),
+s0 AS (SELECT tree, place AS pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM o),{_levels("s")},
+t0 AS (SELECT 0 AS tree, tree AS pos, h, count(*) OVER () AS n FROM s{DEPTH}),{_levels("t")},
+f0 AS (SELECT doc_id, tree, leaf, place, claim AS cur, '' AS proof FROM o),{_folds("f", "s", "tree")},
+g0 AS (SELECT doc_id, tree, 0 AS one, leaf, tree AS place, cur, proof FROM f{DEPTH}),{_folds("g", "t", "one")}
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = t.h AS verified
+FROM g{DEPTH} g JOIN s{DEPTH} s ON s.tree = g.tree, t{DEPTH} t"""
+
 SQL = {
     "op3_license_scan": LICENSE,
     "op5_mix_sources": MIX,
     "op6_exact_dedup": EXACT,
     "op7_chat_format": CHAT,
     "op8_decontaminate": DECONTAMINATE,
+    "op13_merkle_manifest": MERKLE,
 }
