@@ -16,8 +16,8 @@ from pageloom.functions import text as X
 from pageloom.functions.rows import exploded
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """What the audit measures on each page."""
+def page_facts(pages: DataFrame, with_text: bool = False) -> DataFrame:
+    """What the audit measures on each page; with_text adds the visible text that it was measured on."""
     pages = pages.withColumn("html", F.coalesce("html", F.lit("")))
     html, url = F.col("html"), F.col("url")
     pictures = M.open_tags(html, M.IMAGE)
@@ -50,6 +50,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
         F.get("_levels", F.lit(0)).alias("h1_count"),
         F.aggregate("_levels", F.lit(0), lambda a, n: a + n).alias("total_headings"),
         M.hierarchy_ok(F.col("_levels")).alias("has_proper_hierarchy"),
+        *([visible.alias("visible_text")] if with_text else []),
         stats.count_of(visible, X.WORD).alias("_words"),
         # Lower-casing changes the words only where it changes the length.
         F.when(
@@ -137,9 +138,9 @@ def _notes(rules: tuple[tuple[str, str, str | None], ...]) -> Column:
     return F.expr(f"array_compact(array({notes}))")
 
 
-def page_audit(pages: DataFrame) -> DataFrame:
-    """Facts, sub-scores, score, issues and recommendations of each page."""
-    scored = page_facts(pages).select("*", *[F.expr(rule).alias(name) for name, rule in POINTS.items()])
+def page_audit(pages: DataFrame, with_text: bool = False) -> DataFrame:
+    """Facts, sub-scores, score, issues and recommendations of each page; with_text as in page_facts."""
+    scored = page_facts(pages, with_text).select("*", *[F.expr(rule).alias(name) for name, rule in POINTS.items()])
     return scored.select(
         "*",
         F.expr(f"least(100, {' + '.join(POINTS)})").alias("seo_score"),

@@ -535,8 +535,7 @@ def site_insights(spark, sf_dir):
 
 @query
 def site_combined_metrics(spark, sf_dir):
-    pages = samples.pages(spark, sf_dir)
-    return site_reports.site_overview(site_reports.audited_texts(pages), pages)
+    return site_reports.page_overview(samples.pages(spark, sf_dir))
 
 
 @query

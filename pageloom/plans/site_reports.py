@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions import markup as M
 from pageloom.functions import text as X
 from pageloom.functions.rows import exploded
 from pageloom.operators import audit, elements, rollups
@@ -76,6 +77,36 @@ def site_overview(texts: DataFrame, pages: DataFrame) -> DataFrame:
     return rollups.combined(rollups.site_content(texts), audit.site_scores(audit.page_audit(pages)))
 
 
+def page_overview(pages: DataFrame) -> DataFrame:
+    """site_overview of pages whose visible texts are the corpus: one scan, and each page's text is decoded once.
+
+    A page gives an entry with its figures and one per phone; grouping by site and phone removes repeats, and a large
+    site's figures arrive as one sum per task.
+    """
+    read = audit.page_audit(pages, with_text=True).select("site", "seo_score", "visible_text")
+    phones = M.corpus_phones(F.col("visible_text"))
+    entries = exploded(
+        read,
+        F.concat(F.array(F.lit(None).cast("string")), F.coalesce(phones, F.array().cast("array<string>"))),
+        "site",
+        "seo_score",
+        X.word_count(F.col("visible_text")).alias("words"),
+    )
+    figure = F.col("pos") == 0
+    distinct = entries.groupBy("site", F.col("e").alias("phone")).agg(
+        F.count_if(figure).alias("pages"),
+        F.sum(F.when(figure, F.col("words"))).alias("words"),
+        F.sum(F.when(figure, F.col("seo_score"))).alias("points"),
+    )
+    return distinct.groupBy("site").agg(
+        F.coalesce(F.sum("words"), F.lit(0)).alias("total_words"),
+        F.round(F.sum("points") / F.sum("pages"), 1).alias("avg_seo_score"),
+        F.sum("pages").alias("total_files"),
+        F.count("phone").alias("phone_count"),
+        F.sum("pages").alias("total_pages"),
+    )
+
+
 def audited_texts(pages: DataFrame) -> DataFrame:
     """Visible texts of pages as a corpus (site, category, text)."""
     return pages.select(

@@ -63,10 +63,23 @@ def test_arrays_are_not_computed_in_a_filter_below(stored):
 
 def test_site_reports_read_their_input_once(stored):
     assert plan(site_reports.site_issue_report(stored)).count("FileScan") == 1
+    assert plan(site_reports.page_overview(stored)).count("FileScan") == 1
     corpus = stored.select(X.site_key(F.col("url")).alias("site"), F.lit("pages").alias("category"), F.col("html").alias("text"))
     assert plan(rollups.site_content(corpus)).count("FileScan") == 1
 
 
+def test_overview_of_pages_equals_the_two_sided_one(pages):
+    df = pages("<title>One</title><p>call 218-555-0123, 218-555-0123 or 218-555-0199</p>", "<p>218-555-0123</p>", "", None)
+    df = df.union(pages("<h1>x</h1> a b c", url="https://b.test/y"))
+    names = ["site", "total_words", "avg_seo_score", "total_files", "phone_count", "total_pages"]
+    texts_of = site_reports.audited_texts(df)
+    both = site_reports.site_overview(texts_of, df)
+    assert rows(site_reports.page_overview(df), *names) == rows(both, *names)
+    # A side may lack a site.
+    left = site_reports.site_overview(texts_of.where("site = 'a.test'"), df.where("url like '%b.test%'"))
+    assert [(r[0], r[3] > 0, r[5] > 0) for r in rows(left, *names)] == [("a.test", True, False), ("b.test", False, True)]
+
+
 def test_first_of_group_jobs_limit_before_the_shuffle(stored):
     assert plan(audit.first_pages(audit.page_audit(stored))).count("WindowGroupLimit") == 2
     listed = stored.select("page_id", F.col("page_id").alias("pos"), F.lit(1).alias("priority"), F.col("html").alias("name"))
