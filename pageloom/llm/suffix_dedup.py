@@ -308,7 +308,7 @@ def _sent(parts: int):
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
+        batch, rows = batch[batch["lone"]], []
         for text, starts, stops in zip(batch["text"], batch["starts"], batch["stops"], strict=True):
             spans = covered([] if starts is None else np.stack([starts, stops], axis=1), len(text))
             kept, at = hashlib.sha256(), 0
@@ -339,7 +339,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     number = F.xxhash64(doc_id) if docs.schema[doc_id].dataType.simpleString() not in INTEGERS else F.col(doc_id).cast("long")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
-        F.when(F.col(doc_id).isNull(), node).otherwise(number).alias("id"),
+        F.coalesce(F.when(F.col(doc_id).isNotNull(), number), node).alias("id"),
         node.alias("node"),
         whole(text).cast("binary").alias("text"),
     )
@@ -363,8 +363,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     spans = runs.groupBy("part").applyInPandas(_merge, "node long, id long, start long, stop long")
     of_text = spans.groupBy("id").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))
-    joined = dealt.join(of_text, "id", "left").where("lone").select(
-        "doc_id", "text", F.filter("spans", lambda s: s["node"] == F.col("node")).alias("spans")
+    # What stands for copies is left out at the end: a filter here would move below the exchange and make it two.
+    joined = dealt.join(of_text, "id", "left").select(
+        "doc_id", "text", "lone", F.filter("spans", lambda s: s["node"] == F.col("node")).alias("spans")
     )
     schema = (
         f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, "
@@ -372,11 +373,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     none = F.lit(None).cast("array<long>")
     whole_text = [F.array(F.lit(0).cast("long")), F.array(F.length("text").cast("long"))]
-    names = ("doc_id", "text", "starts", "stops")
+    names = ("doc_id", "text", "lone", "starts", "stops")
     of_each = [
-        joined.select("doc_id", "text", "spans.start", "spans.stop").toDF(*names),
-        copies.select("doc_id", "text", *whole_text).toDF(*names),
-        rows.where(F.length("text") < LENGTH).select("doc_id", "text", none, none).toDF(*names),
+        joined.select("doc_id", "text", "lone", "spans.start", "spans.stop").toDF(*names),
+        copies.select("doc_id", "text", F.lit(True), *whole_text).toDF(*names),
+        rows.where(F.length("text") < LENGTH).select("doc_id", "text", F.lit(True), none, none).toDF(*names),
     ]
     return reduce(DataFrame.unionByName, of_each).mapInPandas(_cut, schema)
 
