@@ -62,3 +62,51 @@ def test_stage_keeps_columns(spark):
     model = toxicity.trained(docs, labels, F.lit(True))
     kept = toxicity.kept(docs, model, 0.7)
     assert kept.columns == docs.columns and {r.doc_id % 3 for r in kept.collect()} == {1, 2}
+
+
+def plain_label_model(votes, prior):
+    """The label model, voter by voter and row by row."""
+    from math import exp, log, sqrt
+
+    n, m = len(votes), len(votes[0])
+    said = [[*row, int(not any(row))] for row in votes]
+    posterior = [0.95 if sum(row) >= 2 else 0.5 if sum(row) == 1 else 0.02 for row in votes]
+    for _ in range(toxicity.ROUNDS):
+        rates = []
+        for side, pseudo in ((0, 0.1), (1, 0.5)):
+            mass = [p if side else 1 - p for p in posterior]
+            rates.append([(sum(w * row[j] for w, row in zip(mass, said, strict=True)) + pseudo) / (sum(mass) + 1) for j in range(m + 1)])
+        rates = [[min(max(r, 1e-4), 1 - 1e-4) for r in side] for side in rates]
+        for j in range(m):
+            rates[1][j] = max(rates[1][j], 2 * rates[0][j])
+        rates[0][m] = max(rates[0][m], 2 * min(rates[1][m], 0.5 - 1e-4))
+        rest = [[row[j] - p * rates[1][j] - (1 - p) * rates[0][j] for j in range(m + 1)] for row, p in zip(said, posterior, strict=True)]
+        spread = [sqrt(sum(r[j] ** 2 for r in rest) / n) + 1e-9 for j in range(m + 1)]
+        weight = []
+        for j in range(m + 1):
+            extra = 0.0
+            for k in range(m + 1):
+                together = sum(r[j] * r[k] for r in rest) / n / spread[j] / spread[k]
+                extra += 0 if j == k else min(max(min(max(together, 0), 1) - toxicity.SAME, 0), 1) / (1 - toxicity.SAME)
+            weight.append(1 / (1 + extra) if j < m else 1.0)
+        for i, row in enumerate(said):
+            logit = log(prior / (1 - prior))
+            for j, v in enumerate(row):
+                spoken, silent = log(rates[1][j] / rates[0][j]), log((1 - rates[1][j]) / (1 - rates[0][j]))
+                logit += weight[j] * (spoken if v else 0.1 * silent)
+            posterior[i] = 1 / (1 + exp(-min(max(logit, -12), 12)))
+    return posterior, rates, weight
+
+
+def test_label_model_equals_the_plain_one():
+    rng = np.random.default_rng(7)
+    for toxic in (0.1, 0.4):
+        truth = rng.random(60) < toxic
+        votes = (rng.random((60, 5)) < np.where(truth[:, None], 0.6, 0.05)).astype(int)
+        votes[:, 4] = votes[:, 3]  # one voice twice
+        got = toxicity.label_model(votes, 0.3)
+        want = plain_label_model(votes.tolist(), 0.3)
+        for a, b in zip(got, want, strict=True):
+            assert np.allclose(a, b, atol=1e-9)
+        assert got[2][4] < got[2][0] and got[2][4] < 0.8
+        assert ((got[0] >= 0.5) == truth).mean() > 0.8
