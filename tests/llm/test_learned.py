@@ -110,3 +110,46 @@ def test_label_model_equals_the_plain_one():
             assert np.allclose(a, b, atol=1e-9)
         assert got[2][4] < got[2][0] and got[2][4] < 0.8
         assert ((got[0] >= 0.5) == truth).mean() > 0.8
+
+
+def plain_quality_odds(rows, buckets, dim, epochs, seed=7):
+    """The classifier's log-odds of each bucket and bias, number by number."""
+    from math import exp, log
+
+    random = np.random.default_rng(seed)
+    vectors = random.uniform(-1 / dim, 1 / dim, (buckets, dim)).tolist()
+    layer = [[0.0, 0.0] for _ in range(dim)]
+    share = min(max(sum(y for *_, y in rows) / len(rows), 0.01), 0.99)
+    bias = [log(1 - share), log(share)]
+    for epoch in range(epochs):
+        for step, i in enumerate(random.permutation(len(rows))):
+            bucket, n, y = rows[i]
+            rate = quality.RATE * (1 - (epoch + step / len(rows)) / epochs)
+            total = sum(n)
+            mean = [sum(c / total * vectors[b][d] for b, c in zip(bucket, n, strict=True)) for d in range(dim)]
+            logit = [sum(mean[d] * layer[d][k] for d in range(dim)) + bias[k] for k in (0, 1)]
+            e = [exp(x - max(logit)) for x in logit]
+            p = [x / sum(e) - (k == y) for k, x in enumerate(e)]
+            back = [sum(layer[d][k] * p[k] for k in (0, 1)) for d in range(dim)]
+            for k in (0, 1):
+                for d in range(dim):
+                    layer[d][k] -= rate * mean[d] * p[k]
+                bias[k] -= 0.1 * rate * p[k]
+            for b, c in zip(bucket, n, strict=True):
+                for d in range(dim):
+                    vectors[b][d] -= rate * min(c, 8) * back[d] / len(bucket) * 16
+    return [sum(v[d] * (layer[d][1] - layer[d][0]) for d in range(dim)) for v in vectors], bias[1] - bias[0]
+
+
+def test_quality_steps_equal_the_plain_ones(monkeypatch):
+    for name, value in (("BUCKETS", 40), ("DIM", 4), ("EPOCHS", 6), ("STEPS", 1)):
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(30):
+        bucket = np.unique(rng.integers(0, 30, 8) + 10 * (i % 2))
+        rows.append((bucket, rng.integers(1, 12, len(bucket)), i % 2))
+    model = quality.Model(rows)
+    odds, bias = plain_quality_odds([(b.tolist(), n.tolist(), y) for b, n, y in rows], 40, 4, 6)
+    assert np.allclose(model.odds, odds, atol=2e-3) and abs(model.bias - bias) < 2e-3
+    assert np.abs(odds).max() > 0.1
