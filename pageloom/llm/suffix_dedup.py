@@ -10,6 +10,10 @@ joins its runs with a loser tree that holds, for every run, the prefix length sh
 compares from there on. The prefix lengths that come out of the merge say how far texts agree to the right of an
 anchor; inside the intervals of equal prefixes the left parts are compared the same way, and so every window of an
 anchor is decided exactly.
+
+A receiver holds the different surroundings of one anchor at a time. An anchor with more than HOT of them (the edge of a
+passage that very many texts share) is split: each window it owns becomes a suffix of its own, cut off after LENGTH bytes,
+if the window's hash occurs twice. A suffix that a task meets twice is decided there, and only two of its places are sent.
 """
 
 from __future__ import annotations
@@ -36,20 +40,33 @@ GRAM = 64
 RUN_BYTES = 48 << 20
 #: Windows of a text that are looked at together; a longer text is taken in stretches.
 STRETCH = 1 << 22
+#: Different surroundings of an anchor that are compared in one place; an anchor with more is split.
+HOT = 1 << 14
+#: Anchors of all texts for each receiver.
+PER_RECEIVER = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 #: Types of a doc_id that is its own number; another one is hashed.
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
+#: What a task sends: runs of suffixes at anchors, runs of windows, spans that it decided itself.
+SUFFIXES, WINDOWS, SPANS = 0, 1, 2
 #: Ends the right part of a key; it is no byte of UTF-8.
 _END = b"\xff"
 
 
 def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Anchors of a text: hash, place, and the first and last start of the windows that each owns."""
+    for h, place, first, last, _ in _surrounded(data):
+        yield h, place, first, last
+
+
+def _surrounded(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The anchors, and a hash of all bytes in the windows of each."""
     width = LENGTH - GRAM + 1
     for begin in range(0, max(len(data) - LENGTH + 1, 0), STRETCH):
         part = data[begin : begin + STRETCH + LENGTH - 1]
         n = len(part) - GRAM + 1
-        grams = hashing.runs(hashing.prefix_sums(part), slice(0, n), slice(GRAM, GRAM + n), len(part))
+        sums = hashing.prefix_sums(part)
+        grams = hashing.runs(sums, slice(0, n), slice(GRAM, GRAM + n), len(part))
         least, size = (grams & ~_PLACE) | np.arange(n, dtype=np.uint64), 1
         while size * 2 <= width:
             least, size = np.minimum(least[:-size], least[size:]), size * 2
@@ -59,20 +76,46 @@ def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         last = np.r_[first[1:], len(owner)] - 1
         place = owner[first]
-        yield grams[place].astype(np.int64), place + begin, first + begin, last + begin
+        around = hashing.runs(sums, first, last + LENGTH, len(part))
+        yield grams[place].astype(np.int64), place + begin, first + begin, last + begin, around.astype(np.int64)
+
+
+def windows(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of the windows of LENGTH bytes that begin in any of the ranges first to last."""
+    if not len(first):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    size = last - first + 1
+    start = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    part = data[first[0] : last[-1] + LENGTH]
+    at = start - first[0]
+    return start, hashing.runs(hashing.prefix_sums(part), at, at + LENGTH, len(part)).astype(np.int64)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, id and how often for the different anchors of each text."""
+    """h, id, how often and the surroundings' hash s for the different surroundings of anchors in each text."""
     for batch in batches:
         columns = []
         for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-            for h, *_ in anchors(np.frombuffer(text.as_buffer(), dtype=np.uint8)):
-                own, n = np.unique(h, return_counts=True)
-                columns.append((own, np.full(len(own), doc), n))
+            for h, *_, around in _surrounded(np.frombuffer(text.as_buffer(), dtype=np.uint8)):
+                own, at, n = np.unique(around, return_index=True, return_counts=True)
+                columns.append((h[at], np.full(len(own), doc), n, own))
         if columns:
             arrays = [pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["h", "id", "n"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["h", "id", "n", "s"])
+
+
+def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, id and how often for the different windows that the hot anchors of each text own."""
+    for batch in batches:
+        for doc, text, hot in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("hot"), strict=True):
+            data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
+            wanted = hot.values.to_numpy(zero_copy_only=False)
+            for h, _, first, last in anchors(data):
+                own = np.isin(h, wanted)
+                made, n = np.unique(windows(data, first[own], last[own])[1], return_counts=True)
+                if len(made):
+                    arrays = [pa.array(made), pa.array(np.full(len(made), doc)), pa.array(n)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["h", "id", "n"])
 
 
 def front_coded(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -235,8 +278,13 @@ def _decided(group: list[tuple[int, bytes, list]]) -> Iterator[tuple[np.ndarray,
 
 
 def _merge(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
-    """Repeated bytes as node, id, start, stop, of the runs of one receiver."""
-    out: list[np.ndarray] = []
+    """Repeated bytes as node, id, start, stop, of the runs of one receiver.
+
+    kind says what a blob holds: a run of suffixes at anchors, a run of windows, or spans decided in the task that sent it.
+    """
+    kind = blobs["kind"]
+    spans = [np.frombuffer(zstandard.decompress(b), dtype=np.int64).reshape(4, -1) for b in blobs["blob"][kind == SPANS]]
+    out: list[np.ndarray] = spans
 
     def close(group: list) -> None:
         if len(group) > 1 or (group and sum(p.shape[1] for p in group[0][2]) > 1):
@@ -244,16 +292,17 @@ def _merge(key: tuple, blobs: pd.DataFrame) -> pd.DataFrame:
                 node, doc, at = places
                 out.append(np.stack([node, doc, at - most, at - least + LENGTH]))
 
-    group: list[tuple[int, bytes, list]] = []
-    for shared, suffix, places in merged([Run(b) for b in blobs["blob"]]):
-        if group and shared == len(suffix) == len(group[-1][1]):
-            group[-1][2].append(places)
-            continue
-        if group and shared < GRAM:
-            close(group)
-            group = []
-        group.append((shared, suffix, [places]))
-    close(group)
+    for of, anchor in ((SUFFIXES, GRAM), (WINDOWS, LENGTH)):
+        group: list[tuple[int, bytes, list]] = []
+        for shared, suffix, places in merged([Run(b) for b in blobs["blob"][kind == of]]):
+            if group and shared == len(suffix) == len(group[-1][1]):
+                group[-1][2].append(places)
+                continue
+            if group and shared < anchor:
+                close(group)
+                group = []
+            group.append((shared, suffix, [places]))
+        close(group)
     cells = np.concatenate(out, axis=1) if out else np.zeros((4, 0), dtype=np.int64)
     return pd.DataFrame(dict(zip(("node", "id", "start", "stop"), cells, strict=True)))
 
@@ -269,38 +318,64 @@ def covered(spans: list, n: int) -> np.ndarray:
     return np.stack([cells[new, 0], reach[np.r_[np.flatnonzero(new)[1:], len(cells)] - 1]], axis=1)
 
 
+def _settled(found: dict[bytes, list]) -> np.ndarray:
+    """Spans of the suffixes met several times, whose windows are all repeated; two places of each are left in `found`."""
+    out = []
+    for key, places in found.items():
+        if len(places) > 6:
+            right = key.index(_END)
+            node, doc, at = np.array(places, dtype=np.int64).reshape(-1, 3).T
+            out.append(np.stack([node, doc, at - (len(key) - right - 1), at - (LENGTH - right) + LENGTH]))
+            del places[6:]
+    return np.concatenate(out, axis=1) if out else np.zeros((4, 0), dtype=np.int64)
+
+
 def _sent(parts: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, list] = {}
+        found: dict[int, dict[bytes, list]] = {SUFFIXES: {}, WINDOWS: {}}
         held = 0
 
+        def add(kind: int, key: bytes, *place: int) -> None:
+            nonlocal held
+            places = found[kind].get(key)
+            if places is None:
+                found[kind][key] = places = []
+                held += len(key) + 150
+            places += place
+            held += 100
+
+        def row(kind: int, part: int, blob: bytes) -> pa.RecordBatch:
+            cells = [pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())]
+            return pa.RecordBatch.from_arrays(cells, names=["part", "kind", "blob"])
+
         def packed() -> Iterator[pa.RecordBatch]:
-            for part, blob in _run(found, parts):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
+            nonlocal held
+            for kind, keys in found.items():
+                spans = _settled(keys)
+                if spans.shape[1]:
+                    yield row(SPANS, int(spans[0, 0] % parts), zstandard.compress(spans.tobytes(), 3))
+                for part, blob in _run(keys, parts):
+                    yield row(kind, part, blob)
+                keys.clear()
+            held = 0
 
         for batch in batches:
-            for node, doc, text, wanted in zip(
-                batch.column("node").to_pylist(),
-                batch.column("id").to_pylist(),
-                batch.column("text").to_pylist(),
-                batch.column("hashes"),
-                strict=True,
-            ):
-                wanted = wanted.values.to_numpy(zero_copy_only=False)
-                for h, place, lo, hi in anchors(np.frombuffer(text, dtype=np.uint8)):
+            lists = [batch.column(c) for c in ("hashes", "hot", "repeated")]
+            for i, (node, doc, text) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("node", "id", "text")], strict=True)):
+                wanted, hot, repeated = (c[i].values.to_numpy(zero_copy_only=False) for c in lists)
+                data = np.frombuffer(text, dtype=np.uint8)
+                for h, place, lo, hi in anchors(data):
                     own = np.isin(h, wanted)
                     for at, first, last in zip(place[own].tolist(), lo[own].tolist(), hi[own].tolist(), strict=True):
-                        key = text[at : last + LENGTH] + _END + text[first:at][::-1]
-                        places = found.get(key)
-                        if places is None:
-                            found[key] = places = []
-                            held += len(key) + 150
-                        places += (node, doc, at)
-                        held += 100
+                        add(SUFFIXES, text[at : last + LENGTH] + _END + text[first:at][::-1], node, doc, at)
+                    if len(hot):
+                        own = np.isin(h, hot)
+                        start, made = windows(data, lo[own], hi[own])
+                        for at in start[np.isin(made, repeated)].tolist():
+                            add(WINDOWS, text[at : at + LENGTH] + _END, node, doc, at)
                     if held > RUN_BYTES:
                         yield from packed()
-                        found, held = {}, 0
-        if found:
+        if held:
             yield from packed()
 
     return send
@@ -323,6 +398,25 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch[["doc_id"]].reset_index(drop=True), made], axis=1)
 
 
+def _wanted(compared: DataFrame, found: DataFrame, twice: DataFrame) -> DataFrame:
+    """What each text sends: id, hashes (of anchors that occur twice), hot (of anchors to split), repeated (of the
+    windows of those that occur twice)."""
+    none = F.array().cast("array<long>")
+    busy = twice.where(F.col("n") > HOT).select("h")
+    each = found.join(busy, "h").groupBy("h", "s").agg(F.lit(1).alias("one"))
+    hot = written(each.groupBy("h").agg(F.sum("one").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
+    listed = lambda rows, name: rows.groupBy("id").agg(F.collect_set("h").alias(name))
+    if hot.isEmpty():
+        return listed(found.join(twice.select("h"), "h"), "hashes").select("id", "hashes", none.alias("hot"), none.alias("repeated"))
+    cold = listed(found.join(twice.select("h"), "h").join(hot, "h", "left_anti"), "hashes")
+    owners = written(listed(found.join(hot, "h"), "hot"), "owners")
+    split = compared.join(owners, "id").select("id", "text", "hot").mapInArrow(_window_hashes, "h long, id long, n long")
+    split = written(split, "windows")
+    again = written(split.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "again")
+    rows = cold.join(owners, "id", "full").join(listed(split.join(again, "h"), "repeated"), "id", "full")
+    return rows.select("id", *[F.coalesce(c, none).alias(c) for c in ("hashes", "hot", "repeated")])
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, stops (of the removed runs).
 
@@ -333,7 +427,6 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     columns are ignored.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     node = F.xxhash64(F.col(doc_id), whole(text))
     # Rows without a doc_id are spread by what they hold.
     number = F.xxhash64(doc_id) if docs.schema[doc_id].dataType.simpleString() not in INTEGERS else F.col(doc_id).cast("long")
@@ -350,16 +443,17 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     compared = long.join(copied, key, "left_anti").withColumn("lone", F.lit(True)).unionByName(
         copies.dropDuplicates(key).withColumn("lone", F.lit(False))
     )
-    found = written(compared.select("id", "text").mapInArrow(_hashes, "h long, id long, n long"), "anchors")
+    found = written(compared.select("id", "text").mapInArrow(_hashes, "h long, id long, n long, s long"), "anchors")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // PER_RECEIVER)
     # Written, so that the join deals out both sides and can split a frequent hash.
-    twice = written(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "twice")
-    wanted = found.join(twice, "h").groupBy("id").agg(F.collect_set("h").alias("hashes"))
+    twice = written(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "twice")
+    wanted = _wanted(compared, found, twice)
     # One exchange of the texts serves both joins: they have the same key and take the same columns.
     dealt = compared.repartition(parts, "id")
     runs = (
         dealt.join(wanted, "id")
-        .select("doc_id", "node", "id", "text", "lone", "hashes")
-        .mapInArrow(_sent(parts), "part int, blob binary")
+        .select("doc_id", "node", "id", "text", "lone", "hashes", "hot", "repeated")
+        .mapInArrow(_sent(parts), "part int, kind int, blob binary")
     )
     spans = runs.groupBy("part").applyInPandas(_merge, "node long, id long, start long, stop long")
     of_text = spans.groupBy("id").agg(F.collect_list(F.struct("node", "start", "stop")).alias("spans"))

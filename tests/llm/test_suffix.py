@@ -62,7 +62,7 @@ def test_many_runs_and_stretches(spark, monkeypatch):
     blobs = [b for k in range(7) for _, b in sd._run({x: whole[x] for x in keys[k::7]}, 1)]
     import pandas as pd
 
-    found = sd._merge((0,), pd.DataFrame({"blob": blobs}))
+    found = sd._merge((0,), pd.DataFrame({"blob": blobs, "kind": sd.SUFFIXES}))
     for i, want in enumerate(sd.brute(texts)):
         own = found[found.node == i][["start", "stop"]].to_numpy()
         assert sd.covered(list(own), len(texts[i])).tolist() == want.tolist()
@@ -113,3 +113,22 @@ def test_many_equal_rows(spark):
     check(spark, equal.limit(5).union(lone.limit(4)).union(shares).union(equal.limit(3).withColumn("text", F.lit("short"))))
     named = documents(spark, [text, text, other]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
     assert sorted((r.doc_id, r.n_removed) for r in sd.repeated_spans(named).collect()) == [("d0", len(text)), ("d1", len(text)), ("d2", 0)]
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """A passage in a third of the texts, its surroundings different everywhere, with few surroundings to a receiver."""
+    random.seed(5)
+    letters = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    passage, edge = letters(700), letters(90)
+    texts = [letters(random.randint(0, 300)) + (passage if i % 3 == 0 else "") + letters(random.randint(0, 300)) for i in range(300)]
+    # Windows that reach over the edge, some of them twice.
+    texts += [letters(50) + edge + passage[:150] + letters(99) for _ in range(20)] + [edge[-40:] + passage[:170]] * 2
+    docs = documents(spark, texts).repartition(6)
+    monkeypatch.setattr(sd, "HOT", 8)
+    seen = []
+    held = sd.written
+    monkeypatch.setattr(sd, "written", lambda df, name: seen.append((name, out := held(df, name))) or out)
+    check(spark, docs)
+    tables = dict(seen)
+    assert tables["hot"].count() > 1 and tables["again"].count() > 100
+    check(spark, documents(spark, mosaic(60)).repartition(5))
