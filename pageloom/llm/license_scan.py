@@ -1,9 +1,10 @@
 """Licences of files: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-Lines that speak of rights (and, of licence files, the whole text) are compared with short licence notices; as headers
-are often wrapped, so are runs of neighbouring lines around such a line. Different
-texts are compared once, however many files hold them. A file without a notice takes the licence that a licence file
-gives to the nearest directory above it; directories, not files, are joined with their ancestors.
+Lines that speak of rights (and, of licence files, the whole text) are compared with licence notices and whole licences.
+As headers are wrapped at any width, so are the words that follow the start of a line, in several numbers, if the first of
+them speak of rights. Different texts are compared once, however many files hold them. A whole licence found counts before
+a notice, a notice before a bare claim of copyright, each whatever its cosine. A file without a notice takes the licence
+that a licence file gives to the nearest directory above it; directories, not files, are joined with their ancestors.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions import text as X
+from pageloom.functions.text import let
 from pageloom.functions.rows import exploded
 from pageloom.llm.common import whole, written
 
-#: Cosine from which a line or file counts as a template's licence.
-SIMILAR = 0.6
+#: Cosine from which a text counts as a notice's licence, and as a whole licence (a template of WHOLE words or more).
+SIMILAR, SAME, WHOLE = 0.6, 0.8, 80
 #: Notices by licence, and what a line must say to be compared.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -33,6 +34,12 @@ NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
 )
@@ -52,11 +59,72 @@ HEADERS = tuple(
         ("AGPL-3.0", "This program", "Affero", "3"),
     )
 )
-#: Lines of the widest run that is compared; the longest header takes four.
-WIDE = 4
+#: First words of the licences that are too long to be compared whole.
+TITLES = tuple(
+    (
+        name,
+        f"GNU {of} GENERAL PUBLIC LICENSE Version {version}, {date} Copyright (C) Free Software Foundation, Inc. Everyone is"
+        " permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    )
+    for name, of, version, date in (
+        ("GPL-2.0", "", "2", "June 1991"),
+        ("GPL-3.0", "", "3", "29 June 2007"),
+        ("LGPL-2.1", "LESSER", "2.1", "February 1999"),
+        ("LGPL-3.0", "LESSER", "3", "29 June 2007"),
+        ("AGPL-3.0", "AFFERO", "3", "19 November 2007"),
+    )
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+    " following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of"
+    " conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,"
+    " this list of conditions and the following disclaimer in the documentation and/or other materials provided with the"
+    " distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+    " derived from this software without specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES,"
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+    " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+    " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
+    " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,"
+    " WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF"
+    " THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+#: Licences that are compared whole.
+LICENCES = (
+    ("BSD-2-Clause", f"{_BSD[0]} {_BSD[2]}"),
+    ("BSD-3-Clause", f"{_BSD[0]} {_BSD[1]} {_BSD[2]}"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+        " documentation files (the Software), to deal in the Software without restriction, including without limitation the"
+        " rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to"
+        " permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright"
+        " notice and this permission notice shall be included in all copies or substantial portions of the Software. THE"
+        " SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE"
+        " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"
+        " OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
+        " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+        " granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS"
+        " PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES"
+        " OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR"
+        " CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF"
+        " CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS"
+        " SOFTWARE.",
+    ),
+)
+TEMPLATES = NOTICES + HEADERS + TITLES + LICENCES
+#: The licence that a text has only if it has no other.
+BARE = "Proprietary"
+#: Words from a line's start that are compared together, and those of them that must speak of rights.
+SIZES, HEAD = (12, 24, 48, 96, 192), 24
 CUE = (
     r"licen[sc]e|copyright|spdx-|all rights reserved|creative commons|public domain|free of charge"
-    r"|redistribution and use|cc by|cc0"
+    r"|redistribution and use|permission to use|cc by|cc0"
 )
 
 
@@ -74,43 +142,47 @@ def _weighted(counts: DataFrame, key: str, idf: DataFrame, n: DataFrame) -> Data
 
 
 def matches(segments: DataFrame, templates: DataFrame) -> DataFrame:
-    """Best licence of each different token list: seg, license, cosine. segments: toks, files (how many hold it; 0 for
-    runs of lines, whose lines are counted already)."""
-    segs = written(segments.select(F.monotonically_increasing_id().alias("seg"), "toks", "files"), "segments")
-    counts = exploded(segs, "toks", "seg", "files").groupBy("seg", "files", F.col("e").alias("token"))
-    counts = counts.agg(F.count("*").alias("c"))
+    """Best licence of each different segment: words, b (place in the order of matches, license, cosine). segments: words
+    (one space between), files (how many hold it; 0 for runs of words, whose lines are counted already)."""
+    segs = written(segments.select(F.monotonically_increasing_id().alias("seg"), "words", "files"), "segments")
+    counts = exploded(segs, F.split("words", " "), "seg", "files").groupBy("seg", "files", F.col("e").alias("token"))
+    counts = written(counts.agg(F.count("*").alias("c")), "counts")
     # Statistics over all files: every file's copy of a line counts.
     idf = written(counts.groupBy("token").agg(F.sum("files").alias("df")), "idf")
     n = segs.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("N"))
     listed = templates.select(F.monotonically_increasing_id().alias("tpl"), "license", tokens(F.col("text")).alias("toks"))
-    listed = written(listed, "templates")
+    # 0 for whole licences, 1 for notices, 2 for what says no more than that there are rights.
+    kind = F.when(F.col("license") == BARE, 2).when(F.size("toks") >= WHOLE, 0).otherwise(1)
+    listed = written(listed.withColumn("kind", kind), "templates")
     own = exploded(listed, "toks", "tpl").groupBy("tpl", F.col("e").alias("token")).agg(F.count("*").alias("c"))
     left = _weighted(counts, "seg", idf, n)
     right = _weighted(own, "tpl", idf, n).select("tpl", "token", F.col("w").alias("tw"))
     dots = left.join(right, "token").groupBy("seg", "tpl").agg(F.round(F.sum(F.col("w") * F.col("tw")), 6).alias("cosine"))
-    named = dots.where(F.col("cosine") >= SIMILAR).join(listed.select("tpl", "license"), "tpl")
-    best = named.groupBy("seg").agg(_first())
-    return segs.join(best, "seg").select("toks", F.col("b.license").alias("license"), F.col("b.cosine").alias("cosine"))
+    least = F.when(F.col("kind") == 0, SAME).otherwise(SIMILAR)
+    named = dots.join(listed.select("tpl", "license", "kind"), "tpl").where(F.col("cosine") >= least)
+    # The match that counts of several: its kind, the best cosine, then the licence first in order of name.
+    first = F.min(F.struct("kind", (-F.col("cosine")).alias("order"), "license", "cosine")).alias("b")
+    return segs.join(named.groupBy("seg").agg(first), "seg").select("words", "b")
 
 
-def _runs(lines: Column) -> Column:
-    """Runs of 2 to WIDE neighbouring lines, lines without a word left out, that hold a line with a cue."""
-    shapes = [(w, before) for w in range(2, WIDE + 1) for before in range(w)]
-    listed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(b).alias("b")) for w, b in shapes])
+def _starts(lines: Column) -> Column:
+    """The words that follow the start of a line, as many as are ever compared, where the first speak of rights."""
+    most = SIZES[-1]
+    own = F.filter(F.transform(lines, lambda x: F.slice(tokens(x), 1, most)), lambda t: F.size(t) > 0)
 
-    def around(own: Column) -> Column:
-        n = F.size(own)
-        cues = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(own, i - 1).rlike(CUE))
-        starts = F.transform(cues, lambda i: F.transform(listed, lambda s: F.struct((i - s["b"]).alias("at"), s["w"].alias("w"))))
-        inside = F.filter(F.array_distinct(F.flatten(starts)), lambda s: (s["at"] >= 1) & (s["at"] + s["w"] - 1 <= n))
-        return F.transform(inside, lambda s: F.array_join(F.slice(own, s["at"], s["w"]), " "))
+    def runs(listed: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(listed), F.lit(1)))
+        each = F.transform(at, lambda i: F.array_join(F.slice(F.flatten(F.slice(listed, i, most)), 1, most), " "))
+        return F.filter(each, lambda x: F.substring_index(x, " ", HEAD).rlike(CUE))
 
-    return X.let(F.filter(lines, lambda x: x.rlike("[a-z0-9]")), around)
+    return let(own, runs)
 
 
-def _first() -> Column:
-    """The match that counts of several: the best cosine, then the licence first in order of name."""
-    return F.min(F.struct((-F.col("cosine")).alias("order"), "license", "cosine")).alias("b")
+def _sized(words: Column) -> Column:
+    """The first words of a run in each of the sizes, shorter runs whole."""
+    size = F.size(F.split(words, " "))
+    cut = [F.when(size > before, F.substring_index(words, " ", n)) for before, n in zip((0, *SIZES), SIZES, strict=False)]
+    return F.filter(F.array(*cut), lambda x: x.isNotNull())
 
 
 def licences(files: DataFrame, templates: DataFrame, path: str = "path", text: str = "text", is_licence: str | None = None):
@@ -118,7 +190,7 @@ def licences(files: DataFrame, templates: DataFrame, path: str = "path", text: s
 
     path: folders and name with `/` between. is_licence: a condition (SQL) that says which files are licence files;
     by default the name (LICENSE, LICENCE, COPYING, NOTICE, with any ending). A licence file gives its licence to its
-    folder; of several in a folder the best cosine counts, then the name of the licence. Null and empty texts have no
+    folder; of several in a folder the best match counts, then the name of the licence. Null and empty texts have no
     notice; null paths read as the empty path, whose folder is the root. Repeated rows give rows like any other; an
     empty table gives an empty table; a table without columns named here is the caller's error, others are ignored.
     """
@@ -128,22 +200,24 @@ def licences(files: DataFrame, templates: DataFrame, path: str = "path", text: s
         F.coalesce(named, F.lit(False)).alias("gives"),
         whole(text).alias("text"),
     )
-    split = F.split(F.lower("text"), "\n", -1)
-    lines = F.filter(split, lambda x: x.rlike(CUE))
-    all_ = F.when(F.col("gives"), F.concat(lines, F.array("text"))).otherwise(lines)
-    segs = F.filter(F.array_distinct(F.transform(all_, tokens)), lambda t: F.size(t) > 0)
-    # Most texts have no cue; only those that have are cut into runs.
-    runs = F.when(F.lower("text").rlike(CUE), F.array_distinct(F.transform(_runs(split), tokens)))
+    low = F.lower("text")
+    # Most texts have no cue; only those that have are cut into lines.
+    split = F.when(low.rlike(CUE), F.split(low, "\n", -1)).otherwise(F.array().cast("array<string>"))
+    words = lambda x: F.array_join(tokens(x), " ")
+    lines = F.transform(F.filter(split, lambda x: x.rlike(CUE)), words)
+    segs = F.when(F.col("gives"), F.concat(lines, F.array(words(F.col("text"))))).otherwise(lines)
     # Rows are numbered as they are written, so that repeated paths stay apart.
     table = written(
-        rows.select("path", "gives", segs.alias("segs"), runs.alias("runs"), F.monotonically_increasing_id().alias("row")),
+        rows.select("path", "gives", segs.alias("segs"), _starts(split).alias("starts"), F.monotonically_increasing_id().alias("row")),
         "files",
     )
-    each = exploded(table, "segs", "row", "path", "gives").select("row", "path", "gives", F.col("e").alias("toks"), F.lit(1).alias("one"))
-    wide = exploded(table, "runs", "row", "path", "gives").select("row", "path", "gives", F.col("e").alias("toks"), F.lit(0).alias("one"))
-    each = each.unionByName(wide)
-    best = matches(each.groupBy("toks").agg(F.sum("one").alias("files")), templates)
-    found = written(each.join(best, "toks").groupBy("row", "path", "gives").agg(_first()), "found")
+    keys = ("row", "path", "gives")
+    each = exploded(table, "segs", *keys).select(*keys, F.col("e").alias("words"), F.lit(1).alias("one"))
+    runs = exploded(exploded(table, "starts", *keys).select(*keys, F.col("e").alias("run")), _sized(F.col("run")), *keys)
+    each = each.unionByName(runs.select(*keys, F.col("e").alias("words"), F.lit(0).alias("one"))).where("words <> ''")
+    each = written(each.groupBy(*keys, "words").agg(F.max("one").alias("one")), "lines")
+    best = matches(each.groupBy("words").agg(F.sum("one").alias("files")), templates)
+    found = written(each.join(best, "words").groupBy(*keys).agg(F.min("b").alias("b")), "found")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     given = found.where("gives").groupBy(folder.alias("dir")).agg(F.min("b").alias("b"))
     # Each folder once, with itself and all folders above it; the longest that is given a licence is the nearest.

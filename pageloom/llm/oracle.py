@@ -85,43 +85,53 @@ select doc_id, source, copy_no::int as copy_no, repeats::int as repeats, md5('or
 from (select *, unnest(range(0, repeats)) as copy_no from n where repeats > 0)
 """
 
-_NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.NOTICES))
+_NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+_SIZED = " union all ".join(
+    f"select rid, array_to_string(w[1:{n}], ' ') as words, 0 as one from st0 where len(w) > {before}"
+    for before, n in zip((0, *license_scan.SIZES), license_scan.SIZES, strict=False)
+)
+_MOST = license_scan.SIZES[-1]
 
 LICENSE = rf"""
 with t(tpl, license, text) as (values {_NOTICES}),
-f as (
-  select row_number() over () as rid, doc_id, source, coalesce(text, '') as text,
-         len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) <= 60
-           and regexp_matches(lower(coalesce(text, '')), '{license_scan.CUE}') as gives
-  from documents
-),
+f as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text, doc_id % 10 = 0 as gives from documents),
 p as (
   select *, source || case when not gives or doc_id % 3 >= 1 then '/' || (doc_id // 100) else '' end
          || case when not gives or doc_id % 3 >= 2 then '/' || (doc_id // 10) else '' end as dir
   from f
 ),
-seg as (
-  select distinct rid, regexp_extract_all(l, '[a-z0-9]+') as toks
-  from (select rid, unnest(list_filter(string_split(lower(text), chr(10)), lambda x: regexp_matches(x, '{license_scan.CUE}'))) as l from p
+cut as (select rid, string_split(lower(text), chr(10)) as lines from p where regexp_matches(lower(text), '{license_scan.CUE}')),
+lt as (select rid, list_filter(list_transform(lines, lambda x: regexp_extract_all(x, '[a-z0-9]+')[1:{_MOST}]), lambda x: len(x) > 0) as l from cut),
+st0 as (
+  select rid, w from (select rid, flatten(l[s:s + {_MOST - 1}])[1:{_MOST}] as w from (select rid, l, unnest(range(1, len(l) + 1)) as s from lt))
+  where regexp_matches(array_to_string(w[1:{license_scan.HEAD}], ' '), '{license_scan.CUE}')
+),
+every as (
+  select rid, array_to_string(regexp_extract_all(l, '[a-z0-9]+'), ' ') as words, 1 as one
+  from (select rid, unnest(list_filter(lines, lambda x: regexp_matches(x, '{license_scan.CUE}'))) as l from cut
         union all select rid, lower(text) from p where gives)
-  where len(regexp_extract_all(l, '[a-z0-9]+')) > 0
+  union all {_SIZED}
 ),
-st as (select rid, toks, tok, count(*) as c from (select rid, toks, unnest(toks) as tok from seg) group by all),
-df as (select tok, count(*) as df from st group by tok),
-n as (select count(*) as n from seg),
+seg as (select rid, words, max(one) as one from every where words <> '' group by all),
+su as (select words, sum(one) as files from seg group by words),
+st as (select words, files, tok, count(*) as c from (select words, files, unnest(string_split(words, ' ')) as tok from su) group by all),
+df as (select tok, sum(files) as df from st group by tok),
+n as (select sum(files) as n from su),
 tt as (select tpl, license, tok, count(*) as c from (select tpl, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as tok from t) group by all),
-sw as (select distinct toks, tok, c * (ln((1.0 + n)::double / (1.0 + df)::double) + 1.0) as w from st join df using (tok), n),
-tw as (select tpl, license, tok, c * (ln((1.0 + n)::double / (1.0 + coalesce(df, 0))::double) + 1.0) as w from tt left join df using (tok), n),
-sn as (select toks, sqrt(sum(w * w)) as norm from sw group by toks),
+kinds as (select tpl, license, case when license = '{license_scan.BARE}' then 2 when sum(c) >= {license_scan.WHOLE} then 0 else 1 end as kind from tt group by all),
+sw as (select words, tok, c * (ln((1.0 + n)::double / (1.0 + df)::double) + 1.0) as w from st join df using (tok), n),
+tw as (select tpl, tok, c * (ln((1.0 + n)::double / (1.0 + coalesce(df, 0))::double) + 1.0) as w from tt left join df using (tok), n),
+sn as (select words, sqrt(sum(w * w)) as norm from sw group by words),
 tn as (select tpl, sqrt(sum(w * w)) as norm from tw group by tpl),
-dot as (select sw.toks, tw.tpl, license, round(sum((sw.w / sn.norm) * (tw.w / tn.norm)), 6) as cosine
-        from sw join tw using (tok) join sn on sn.toks = sw.toks join tn on tn.tpl = tw.tpl group by all),
-best as (select toks, license, cosine from dot where cosine >= {license_scan.SIMILAR}
-         qualify row_number() over (partition by toks order by cosine desc, license) = 1),
-own as (select rid, license, cosine from seg join best using (toks)
-        qualify row_number() over (partition by rid order by cosine desc, license) = 1),
+dot as (select sw.words, tw.tpl, round(sum((sw.w / sn.norm) * (tw.w / tn.norm)), 6) as cosine
+        from sw join tw using (tok) join sn on sn.words = sw.words join tn on tn.tpl = tw.tpl group by all),
+best as (select words, kind, license, cosine from dot join kinds using (tpl)
+         where cosine >= case kind when 0 then {license_scan.SAME} else {license_scan.SIMILAR} end
+         qualify row_number() over (partition by words order by kind, cosine desc, license) = 1),
+own as (select rid, kind, license, cosine from seg join best using (words)
+        qualify row_number() over (partition by rid order by kind, cosine desc, license) = 1),
 given as (select dir, license, cosine from own join p using (rid) where gives
-          qualify row_number() over (partition by dir order by cosine desc, license) = 1),
+          qualify row_number() over (partition by dir order by kind, cosine desc, license) = 1),
 heir as (select p.rid, g.dir, g.license, g.cosine from p join given g on starts_with(p.dir || '/', g.dir || '/')
          qualify row_number() over (partition by p.rid order by length(g.dir) desc) = 1)
 select doc_id, p.dir || '/' || case when gives then 'LICENSE-' else 'text-' end || doc_id as path,

@@ -37,17 +37,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: they are laid out as source/hundreds/tens, with short texts that end in a notice as
-    licence files of one of the three folders."""
+    """Documents have no paths: they are laid out as source/hundreds/tens, every tenth id as licence file of one of the
+    three folders."""
     docs = table(spark, sf_dir, "documents")
-    notice = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))) <= 60
-    gives = F.coalesce(notice & F.lower("text").rlike(license_scan.CUE), F.lit(False))
+    gives = F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False))
     hundreds, tens = F.floor(F.col("doc_id") / 100).cast("string"), F.floor(F.col("doc_id") / 10).cast("string")
     level = F.col("doc_id") % 3
     inner = F.concat_ws("/", F.when(~gives | (level >= 1), hundreds), F.when(~gives | (level >= 2), tens))
     name = F.concat(F.when(gives, "LICENSE-").otherwise("text-"), F.col("doc_id").cast("string"))
     path = F.regexp_replace(F.concat_ws("/", "source", inner, name), "//", "/")
-    templates = spark.createDataFrame(license_scan.NOTICES + license_scan.HEADERS, "license string, text string")
+    templates = spark.createDataFrame(license_scan.TEMPLATES, "license string, text string")
     found = license_scan.licences(docs.select(path.alias("path"), "text"), templates)
     return found.withColumn("doc_id", F.regexp_extract("path", r"-(-?\d+)$", 1).cast("long"))
 
