@@ -118,7 +118,7 @@ st as (select words, files, tok, count(*) as c from (select words, files, unnest
 df as (select tok, sum(files) as df from st group by tok),
 n as (select sum(files) as n from su),
 tt as (select tpl, license, tok, count(*) as c from (select tpl, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as tok from t) group by all),
-kinds as (select tpl, license, case when license = '{license_scan.BARE}' then 2 when sum(c) >= {license_scan.WHOLE} then 0 else 1 end as kind from tt group by all),
+kinds as (select tpl, license, case when license = '{license_scan.BARE}' then 2 when sum(c) >= {license_scan.WHOLE} then 0 else 1 end as kind from tt group by tpl, license),
 sw as (select words, tok, c * (ln((1.0 + n)::double / (1.0 + df)::double) + 1.0) as w from st join df using (tok), n),
 tw as (select tpl, tok, c * (ln((1.0 + n)::double / (1.0 + coalesce(df, 0))::double) + 1.0) as w from tt left join df using (tok), n),
 sn as (select words, sqrt(sum(w * w)) as norm from sw group by words),
