@@ -2,8 +2,8 @@
 
 Every shingle of a text sends arrivals of a Poisson process whose rate is its weight, each to a random register; a
 register keeps the shingle that arrives first. Arrivals of a shingle end as soon as they come later than every
-register's time. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles;
-with weights that are the same in every text, as here, that is the similarity which decides. Registers are joined to bands; texts that share a band may be similar, and the Jaccard similarity of their shingle sets
+register's time. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles.
+Registers are joined to bands; texts that share a band may be similar, and the Jaccard similarity of their shingle sets
 decides. Equal texts are one class from the start, so copies cost nothing further. A bucket is not expanded into pairs:
 stars link most of it, and what they leave apart meets by a prefix filter, which is exact.
 """
@@ -28,7 +28,8 @@ from pageloom.llm.quality import portions
 WORDS = 5
 #: Similarity from which texts are linked.
 SIMILAR = 0.8
-#: Registers, a power of two; bands of ROWS registers. At similarity 0.8 a pair shares a band with probability 0.99995.
+#: Registers, a power of two; bands of ROWS registers. At similarity 0.8 a pair shares a band with probability 0.99995 if
+#: what differs weighs like the rest, and 0.997 if all that differs has the greatest weight and the rest the least.
 REGISTERS, BANDS, ROWS = 128, 25, 5
 #: Rounds of stars before pairs are formed.
 STARS = 2
@@ -36,7 +37,7 @@ _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: place of the text, hash, count. Sorted by place and hash."""
+    """Distinct shingles of each text: place of the text, hash, letters. Sorted by place and hash."""
     parts = [b" " + t.encode("utf-8", "surrogatepass") + b" " for t in texts]
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
     ends = np.cumsum([len(p) for p in parts])
@@ -53,22 +54,26 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begins &= (place + WORDS <= (first + size)[owner]) | ((place == first[owner]) & (size[owner] < WORDS))
     at = place[begins]
     made = word[at]
+    size_of = stop - start
+    letters = size_of[at]
     for k in range(1, WORDS):
         then = np.minimum(at + k, len(word) - 1)
         inside = at + k < (first + size)[owner[at]]
         made = np.where(inside, hashing.mixed(made * _STEP + word[then]), made)
+        letters = letters + np.where(inside, size_of[then], 0)
     own = owner[at]
     order = np.lexsort((made, own))
-    made, own = made[order], own[order]
+    made, own, letters = made[order], own[order], letters[order]
     new = np.r_[True, (made[1:] != made[:-1]) | (own[1:] != own[:-1])] if len(made) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
-    return own[begin], made[begin], np.diff(np.r_[begin, len(made)])
+    return own[begin], made[begin], letters[begin]
 
 
-def weights(counts: np.ndarray) -> np.ndarray:
-    """Weight of a shingle: 1 however often it occurs, as links are decided by sets. A weight that grew with the count
-    would differ between two texts that repeat shingles differently, and keep similar ones from meeting."""
-    return np.ones(len(counts))
+def weights(letters: np.ndarray) -> np.ndarray:
+    """Weight of a shingle, 1 to 1.5: long words say more than short ones, which many texts share. It depends on nothing
+    but the shingle: a weight that grew with the count would differ between two texts that repeat shingles differently,
+    and keep similar ones from meeting."""
+    return 1 + np.minimum(letters, 64) / 128
 
 
 def registers(place: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -105,9 +110,9 @@ def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         n, out = [], []
         for part in portions(batch):
-            place, made, counts = shingles(part)
+            place, made, letters = shingles(part)
             n.extend(np.bincount(place, minlength=len(part)).tolist())
-            out.extend(bands(registers(place, made, weights(counts), len(part))))
+            out.extend(bands(registers(place, made, weights(letters), len(part))))
         yield pd.DataFrame({"n": pd.Series(n, dtype="int32"), "bands": pd.Series(out, dtype=object)})
 
 

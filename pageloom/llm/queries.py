@@ -22,7 +22,7 @@ from pageloom.llm import (
     toxicity,
     vector_search,
 )
-from pageloom.llm.common import table
+from pageloom.llm.common import remainder, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +53,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scores = toxicity.scored(docs, corpus_pipeline.toxicity_model(spark, docs, sf_dir))
+    scores = toxicity.scored(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
     return scores.select(
         "doc_id",
-        (F.coalesce(corpus_pipeline.remainder("doc_id", 3), F.lit(0)) == 1).alias("held_out"),
+        (F.coalesce(remainder("doc_id", 3), F.lit(0)) == 1).alias("held_out"),
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
@@ -64,10 +64,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.trained(docs, table(spark, sf_dir, "labels"), corpus_pipeline.remainder("labelled", 5) != 0)
+    model = quality.trained(docs, table(spark, sf_dir, "labels"), remainder("labelled", 5) != 0)
     return quality.scored(docs, model).select(
         "doc_id",
-        (F.coalesce(corpus_pipeline.remainder("doc_id", 5), F.lit(1)) == 0).alias("held_out"),
+        (F.coalesce(remainder("doc_id", 5), F.lit(1)) == 0).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )

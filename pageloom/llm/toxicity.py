@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import whole, written
+from pageloom.llm.common import remainder, whole, written
 from pageloom.llm.quality import labelled
 
 #: Labelled rows that are learned from at most: those with the smallest hashes of their ids.
@@ -216,6 +216,11 @@ def trained(docs: DataFrame, labels: DataFrame, train: Column, label: str = "tox
     return Model(known, strong, data)
 
 
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learned from the labels of the documents at hand; the fold with remainder 1 of 3 is held out."""
+    return trained(docs, labels, remainder("labelled", 3) != 1)
+
+
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, score (0 to 1, higher is likelier toxic).
 

@@ -3,7 +3,8 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from helpers import documents, hostile
+import pytest
+from helpers import HERE, SF, documents, hostile
 
 from pageloom.llm import near_dedup as nd
 from pageloom.llm.components import components
@@ -109,15 +110,15 @@ def test_registers_estimate_probability_jaccard():
     random.seed(1)
     words = ["".join(random.choices("abcdefgh", k=4)) for _ in range(300)]
     texts = [" ".join(words), " ".join(words[:270] + words[:60])]
-    place, made, counts = nd.shingles(texts)
+    place, made, letters = nd.shingles(texts)
     many = np.mean(
         [
             (f[0] == f[1]).mean()
             for salt in range(20)
-            for f in [nd.registers(place, made ^ np.uint64(salt * 7919), nd.weights(counts), 2)]
+            for f in [nd.registers(place, made ^ np.uint64(salt * 7919), nd.weights(letters), 2)]
         ]
     )
-    x, y = ({h: w for h, w in zip(made[place == i], nd.weights(counts[place == i]), strict=True)} for i in (0, 1))
+    x, y = ({h: w for h, w in zip(made[place == i], nd.weights(letters[place == i]), strict=True)} for i in (0, 1))
     true = sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in {*x, *y}) for i in {*x} & {*y})
     assert abs(many - true) < 0.03
 
@@ -127,3 +128,14 @@ def test_components(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.skipif(not HERE, reason="driver tables are not here")
+def test_recall_of_bands_on_the_driver_table(spark):
+    texts = sorted({" ".join((r.text or "").lower().split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()} - {""})
+    place, made, letters = nd.shingles(texts)
+    assert len({*nd.weights(letters).round(3).tolist()}) > 10
+    own = nd.bands(nd.registers(place, made, nd.weights(letters), len(texts)))
+    links = nd.brute_links(texts)
+    met = sum(bool((own[a] == own[b]).any()) for a, b in links)
+    assert links and met >= 0.99 * len(links)
