@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
 from pageloom.llm.common import table, written
@@ -14,14 +13,8 @@ REJECT = 0.7
 POWER = 0.5
 
 
-def remainder(doc_id: str, n: int) -> Column:
-    """The fold of a document: CRC-32 of its id as text, modulo n."""
-    return F.crc32(F.col(doc_id).cast("string")) % n
-
-
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
-    """Learned from the labels of the documents at hand; the fold with remainder 1 of 3 is held out."""
-    return toxicity.trained(docs, table(spark, sf_dir, "labels"), remainder("labelled", 3) != 1)
+    return toxicity.learned(docs, table(spark, sf_dir, "labels"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
