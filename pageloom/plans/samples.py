@@ -26,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows are dealt evenly to all cores.
+
+    Its narrow rows compress well, so one row group, and thus one task, can hold millions of them, each a page to be
+    searched. The narrow rows are dealt out, not the pages made from them.
+    """
+    return table(spark, sf_dir, name, *columns).repartition(2 * spark.sparkContext.defaultParallelism)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages", "page_id", "url", "html")
 
@@ -44,7 +53,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page per part with meta tags, headings of all levels, images, videos and audio."""
-    part = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = spread(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
     odd = F.col("p_size") % 2 == 1
     head = F.concat(
         template("<html><head><title> {p_name} &amp; {p_brand} of {p_type} </title>"),
@@ -78,7 +87,7 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page per supplier with two forms."""
-    supplier = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    supplier = spread(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
     html = F.concat(
         template("<form action='/order/{s_suppkey}' method=\"post\"><input type='email' name='mail_{s_nationkey}'><input name=\"qty\">"),
         template('<textarea class="w" name="note_{s_suppkey}"></textarea><select name=\'nation_{s_nationkey}\'><option></select><input type="submit"></form>'),
@@ -91,7 +100,7 @@ def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page per customer with links of every kind."""
-    customer = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    customer = spread(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     html = F.concat(
         template("<a name='top'></a><a href='/c/{c_custkey}'><b>{c_name}</b></a><a class=x href=\"https://n{c_nationkey}.example.com/home\"> Home &amp; more </a>"),
         template('<abbr href="/no">no</abbr><a href="tel:555{c_custkey}">call</a><a href="http://{c_mktsegment}.example.net/a?b=1">{c_mktsegment}</a>'),
@@ -116,7 +125,7 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shortcode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text per part wrapped in page-builder shortcodes."""
-    part = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size")
+    part = spread(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size")
     text = F.concat(
         template('[vc_row full="{p_size}"][vc_column_text]{p_name}[/vc_column_text][/vc_row]'),
         template('[vc_raw_html]JTND{p_partkey}[/vc_raw_html][divider line="x"][et_pb_section a="1"] {p_brand} [/et_pb_section]'),
@@ -130,7 +139,7 @@ def phone_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     phone holds the ten digits in the one shape all spellings become.
     """
-    customer = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
+    customer = spread(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
     n = F.col("c_custkey")
     parted = customer.select(
         "*",
@@ -151,7 +160,7 @@ def phone_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def address_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text per supplier with a street address, a city-only address and social names."""
-    supplier = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    supplier = spread(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
     zipped = supplier.withColumn("z", F.lpad((F.col("s_suppkey") % 90000 + 10000).cast("string"), 5, "0"))
     text = template(
         "visit us: {s_suppkey}5 Oak Lane, Elk River, MN {z}-1234. find us on Facebook and YouTube.\n"

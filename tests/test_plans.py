@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import text as X
 from pageloom.functions.rows import exploded
 from pageloom.operators import audit, directory, elements, rollups, terms, texts
-from pageloom.plans import page_extract, site_reports
+from pageloom.plans import page_extract, samples, site_reports
 
 
 def plan(df) -> str:
@@ -125,3 +125,13 @@ def test_hostile_pages_stay_fast(spark):
     counts = rows(page_extract.page_metrics(df.repartition(len(cases))), "page_id", "heading_count", "link_count", "paragraph_count")
     assert counts == [(i, 0, 0, 0) for i in range(len(cases))]
     assert time.monotonic() - start < 60
+
+
+def test_pages_made_from_one_row_group_are_read_by_all_cores(spark, tmp_path):
+    made = spark.range(800).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(id % 9 AS INT) AS p_size")
+    made.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for job in (elements.seo_tags, elements.headings, elements.filled_headings, audit.page_audit):
+        made_from = job(samples.product_pages(spark, str(tmp_path)))
+        per_task = made_from.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("page_id").alias("pages")).collect()
+        assert sum(r.pages for r in per_task) == 800
+        assert max(r.pages for r in per_task) <= 800 / spark.sparkContext.defaultParallelism
