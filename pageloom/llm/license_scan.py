@@ -132,21 +132,42 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def _weighted(counts: DataFrame, key: str, idf: DataFrame, n: DataFrame) -> DataFrame:
-    """key, token, w with w = count * (ln((1 + N) / (1 + df)) + 1), scaled to length 1. counts: key, token, c."""
+def _key(words: Column) -> Column:
+    """Half of a SHA-256 in place of a text where rows are only told apart."""
+    return F.unhex(F.substring(F.sha2(words, 256), 1, 32))
+
+
+def _counted(words: Column) -> Column:
+    """array<struct<token, c>> of the different words of a list."""
+
+    def at_starts(ordered: Column, starts: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(ordered))
+        return F.transform(starts, lambda at, k: F.struct(F.get(ordered, at).alias("token"), (end(k) - at).alias("c")))
+
+    def runs(ordered: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(ordered) - 1)
+        return let(F.filter(at, lambda j: (j == 0) | (F.get(ordered, j) != F.get(ordered, j - 1))), lambda s: at_starts(ordered, s))
+
+    return let(F.sort_array(words), runs)
+
+
+def _weighed(counts: DataFrame, key: str, idf: DataFrame, n: DataFrame) -> DataFrame:
+    """key, token, w with w = count * (ln((1 + N) / (1 + df)) + 1). counts: key, token, c."""
     rows = counts.join(idf, "token", "left").crossJoin(F.broadcast(n))  # n is one row
     weight = F.col("c") * (F.log((1.0 + F.col("N")) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0)
-    rows = rows.select(key, "token", weight.alias("w"))
-    norms = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.join(norms, key).select(key, "token", (F.col("w") / F.col("norm")).alias("w"))
+    return rows.select(key, "token", weight.alias("w"))
+
+
+def _norms(weighed: DataFrame, key: str) -> DataFrame:
+    return weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
 def matches(segments: DataFrame, templates: DataFrame) -> DataFrame:
-    """Best licence of each different segment: words, b (place in the order of matches, license, cosine). segments: words
+    """Best licence of each different segment: key, b (place in the order of matches, license, cosine). segments: key, words
     (one space between), files (how many hold it; 0 for runs of words, whose lines are counted already)."""
-    segs = written(segments.select(F.monotonically_increasing_id().alias("seg"), "words", "files"), "segments")
-    counts = exploded(segs, F.split("words", " "), "seg", "files").groupBy("seg", "files", F.col("e").alias("token"))
-    counts = written(counts.agg(F.count("*").alias("c")), "counts")
+    counted = _counted(F.split("words", " ")).alias("counts")
+    segs = written(segments.select(F.monotonically_increasing_id().alias("seg"), "key", "files", counted), "segments")
+    counts = exploded(segs, "counts", "seg", "files").select("seg", "files", "e.token", "e.c")
     # Statistics over all files: every file's copy of a line counts.
     idf = written(counts.groupBy("token").agg(F.sum("files").alias("df")), "idf")
     n = segs.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("N"))
@@ -155,14 +176,21 @@ def matches(segments: DataFrame, templates: DataFrame) -> DataFrame:
     kind = F.when(F.col("license") == BARE, 2).when(F.size("toks") >= WHOLE, 0).otherwise(1)
     listed = written(listed.withColumn("kind", kind), "templates")
     own = exploded(listed, "toks", "tpl").groupBy("tpl", F.col("e").alias("token")).agg(F.count("*").alias("c"))
-    left = _weighted(counts, "seg", idf, n)
-    right = _weighted(own, "tpl", idf, n).select("tpl", "token", F.col("w").alias("tw"))
+    own = _weighed(own, "tpl", idf, n)
+    right = own.join(_norms(own, "tpl"), "tpl").select("tpl", "token", (F.col("w") / F.col("norm")).alias("tw"))
+    right = written(right, "weights")
+    # The length of a segment is made of all its words; beyond that only words of templates count.
+    counts = counts.select("seg", "token", "c")
+    norms = _norms(_weighed(counts, "seg", idf, n), "seg")
+    shared = right.select("token").distinct()
+    left = _weighed(counts.join(shared, "token"), "seg", written(idf.join(shared, "token"), "shared"), n)
+    left = left.join(norms, "seg").select("seg", "token", (F.col("w") / F.col("norm")).alias("w"))
     dots = left.join(right, "token").groupBy("seg", "tpl").agg(F.round(F.sum(F.col("w") * F.col("tw")), 6).alias("cosine"))
     least = F.when(F.col("kind") == 0, SAME).otherwise(SIMILAR)
     named = dots.join(listed.select("tpl", "license", "kind"), "tpl").where(F.col("cosine") >= least)
     # The match that counts of several: its kind, the best cosine, then the licence first in order of name.
     first = F.min(F.struct("kind", (-F.col("cosine")).alias("order"), "license", "cosine")).alias("b")
-    return segs.join(named.groupBy("seg").agg(first), "seg").select("words", "b")
+    return segs.select("seg", "key").join(named.groupBy("seg").agg(first), "seg").select("key", "b")
 
 
 def _starts(lines: Column) -> Column:
@@ -211,17 +239,21 @@ def licences(files: DataFrame, templates: DataFrame, path: str = "path", text: s
         rows.select("path", "gives", segs.alias("segs"), _starts(split).alias("starts"), F.monotonically_increasing_id().alias("row")),
         "files",
     )
-    keys = ("row", "path", "gives")
-    each = exploded(table, "segs", *keys).select(*keys, F.col("e").alias("words"), F.lit(1).alias("one"))
-    runs = exploded(exploded(table, "starts", *keys).select(*keys, F.col("e").alias("run")), _sized(F.col("run")), *keys)
-    each = each.unionByName(runs.select(*keys, F.col("e").alias("words"), F.lit(0).alias("one"))).where("words <> ''")
-    each = written(each.groupBy(*keys, "words").agg(F.max("one").alias("one")), "lines")
-    best = matches(each.groupBy("words").agg(F.sum("one").alias("files")), templates)
-    found = written(each.join(best, "words").groupBy(*keys).agg(F.min("b").alias("b")), "found")
+    each = exploded(table, "segs", "row").select("row", F.col("e").alias("words"), F.lit(1).alias("one"))
+    runs = exploded(exploded(table, "starts", "row").select("row", F.col("e").alias("run")), _sized(F.col("run")), "row")
+    each = each.unionByName(runs.select("row", F.col("e").alias("words"), F.lit(0).alias("one"))).where("words <> ''")
+    each = each.withColumn("key", _key(F.col("words")))
+    # Keys stand for the texts wherever rows move; each different text moves once, from every task that holds it.
+    lines = written(each.groupBy("row", "key").agg(F.max("one").alias("one")), "lines")
+    told = lines.select("key", F.lit(None).cast("string").alias("words"), "one")
+    segments = each.select("key", "words", F.lit(0).alias("one")).unionByName(told)
+    best = matches(segments.groupBy("key").agg(F.max("words").alias("words"), F.sum("one").alias("files")), templates)
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    given = found.where("gives").groupBy(folder.alias("dir")).agg(F.min("b").alias("b"))
+    found = lines.join(best, "key").groupBy("row").agg(F.min("b").alias("b"))
+    found = written(table.select("path", "gives", folder.alias("dir"), "row").join(found, "row", "left").drop("row"), "found")
+    given = found.where("gives AND b IS NOT NULL").groupBy("dir").agg(F.min("b").alias("b"))
     # Each folder once, with itself and all folders above it; the longest that is given a licence is the nearest.
-    folders = table.select(folder.alias("dir")).distinct()
+    folders = found.select("dir").distinct()
     parts = F.split("dir", "/", -1)
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     reach = exploded(folders, F.array_distinct(above), "dir").select("dir", F.col("e").alias("up"))
@@ -230,7 +262,7 @@ def licences(files: DataFrame, templates: DataFrame, path: str = "path", text: s
         .groupBy("dir")
         .agg(F.max_by(F.struct("up", "b"), F.length("up")).alias("h"))
     )
-    out = table.select("row", "path", folder.alias("dir")).join(found.select("row", "b"), "row", "left").join(heirs, "dir", "left")
+    out = found.select("path", "dir", "b").join(heirs, "dir", "left")
     own = F.col("b").isNotNull()
     return out.select(
         "path",

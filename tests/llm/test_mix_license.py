@@ -122,6 +122,19 @@ def test_root_licence_and_empty_table(spark):
         license_scan.licences(df.drop("text"), templates).count()
 
 
+def test_texts_are_stored_once(spark, monkeypatch):
+    stored, written = {}, license_scan.written
+
+    def noted(df, name):
+        stored[name] = set(df.columns)
+        return written(df, name)
+
+    monkeypatch.setattr(license_scan, "written", noted)
+    files = [("a/x.py", "Released under the MIT License.\ncode"), ("a/y.py", "Released under the MIT License.\ncode"), ("b.py", "x")]
+    assert sorted((r.path, r.license) for r in scan(spark, files).collect()) == [("a/x.py", "MIT"), ("a/y.py", "MIT"), ("b.py", None)]
+    assert [name for name, columns in stored.items() if columns & {"segs", "starts", "words", "text"}] == ["files"]
+
+
 BSD2 = """Copyright (c) 2020, Some Body
 All rights reserved.
 
